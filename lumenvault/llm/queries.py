@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, toxicity
+from . import bpe, decontaminate, merkle, pii, simhash, toxicity, urls
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -28,15 +32,27 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(marked, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.count_tokens(docs, tokenizer("word_bpe_49k.json")[0]).drop("text")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, *tokenizer("byte_bpe_multi_50k.tiktoken")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op6_token_counts, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_toxicity, op4_decontaminate, op5_merkle, op6_token_counts, op8_pii, op9_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
