@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, merkle, pii, simhash, toxicity, urls
+from . import bpe, chunks, decontaminate, merkle, pii, simhash, suffixes, toxicity, urls
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(docs, tokenizer("word_bpe_49k.json")[0]).drop("text")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,5 +58,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, *tokenizer("byte_bpe_multi_50k.tiktoken")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_toxicity, op4_decontaminate, op5_merkle, op6_token_counts, op8_pii, op9_byte_bpe)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_toxicity, op4_decontaminate, op5_merkle, op6_token_counts, op7_substring_dedup, op8_pii, op9_byte_bpe, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
