@@ -19,8 +19,8 @@ SIZES = (3, 4, 5)
 BITS = 18
 #: Labelled rows that the classifier is fitted on at most: those of smallest hash of their key.
 TRAIN_ROWS = 20_000
-#: Features kept for the linear fit: those whose log-count ratio stands out most from its error.
-KEEP = 4096
+#: Features kept for the linear fit: those whose log-count ratio speaks for the label and stands out most from its error.
+KEEP = 1024
 #: Code points whose n-grams are hashed at a time.
 BLOCK = 1 << 20
 
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     ratio = F.log((F.col("n1") + 1) / (one + 2)) - F.log((F.col("n0") + 1) / (zero + 2))
     error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
     counts = rows.mapInArrow(count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select("f", ratio.alias("r"), (F.abs(ratio) / error).alias("z"))
-    top = counts.orderBy(F.desc("z"), "f").limit(KEEP).collect()
+    top = counts.where("r > 0").orderBy(F.desc("z"), "f").limit(KEEP).collect()
     ids = np.array([x.f for x in top], np.int32)
     r = np.array([x.r for x in top], np.float64)
     at = np.full(size, -1, np.int32)
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     return Model(weight, bias)
 
 
-def logistic(sets: list[np.ndarray], r: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 2.0) -> tuple[np.ndarray, float]:
+def logistic(sets: list[np.ndarray], r: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 0.2) -> tuple[np.ndarray, float]:
     """Coefficients over binary features scaled by r, by accelerated gradient steps on the ridge-penalised loss."""
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.concatenate(sets).astype(np.int64) if sets else np.empty(0, np.int64)
