@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import written
 from .simhash import row_key
 
 #: A run of this many consecutive item words is a hit; an item of fewer words is one window.
@@ -16,28 +16,37 @@ GRAM = 5
 REACH = WINDOW - GRAM
 #: Item fingerprints up to this number (about 300 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Item fingerprints up to this number are also looked up before the join, so that few of the documents' leave their row.
+LOOKUP_ROWS = 20_000
+#: Words are runs of other characters than these: ASCII without digits and letters, A-Z lower-cased first.
+GAPS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+_UPPER = "".join(map(chr, range(0x41, 0x5B)))
 #: A kept k-gram is one BIGINT: 33 bits of hash, then 30 bits of position, so least means leftmost on ties.
 AT_BITS = 30
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + GAPS, _UPPER.lower() + " " * len(GAPS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def _winnowed(df: DataFrame) -> DataFrame:
+def _winnowed(df: DataFrame, among: list[int] | None = None) -> DataFrame:
     """`df` (with array `w`) with `kept`: structs (h, p, left, near) of its winnowed k-grams.
 
     near: the words within REACH of the k-gram at p (from 0), joined; left: how many come before it.
+    among: the hashes that can match at all, if these are few enough to list.
     """
     n = F.size("w")
+    df = df.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
     grams = F.transform(
         F.sequence(F.lit(0), n - GRAM),
-        lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get("w", i + j) for j in range(GRAM)]), AT_BITS + 1), AT_BITS).bitwiseOR(i.cast("long")),
+        lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get("hw", i + j) for j in range(GRAM)]), AT_BITS + 1), AT_BITS).bitwiseOR(i.cast("long")),
     )
     df = df.withColumn("g", F.when(n >= WINDOW, grams).otherwise(F.array().cast("array<bigint>")))
-    least = F.transform(F.sequence(F.lit(1), F.size("g") - REACH), lambda i: F.array_min(F.slice("g", i, REACH + 1)))
-    df = df.withColumn("m", F.when(F.size("g") > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))).drop("g")
+    least = F.transform(F.sequence(F.lit(0), F.size("g") - REACH - 1), lambda i: F.least(*[F.get("g", i + j) for j in range(REACH + 1)]))
+    df = df.withColumn("m", F.when(F.size("g") > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))).drop("g", "hw")
+    if among is not None:
+        df = df.withColumn("m", F.filter("m", lambda x: F.shiftright(x, AT_BITS).isin(among)))
     at = lambda x: x.bitwiseAND(F.lit((1 << AT_BITS) - 1)).cast("int")
     first = lambda x: F.greatest(at(x) - REACH, F.lit(0))
     kept = F.transform(
@@ -75,9 +84,11 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     long = _winnowed(bench.where(F.size("w") >= WINDOW)).select("item", F.inline("kept")).select("item", F.col("h").alias("ih"), F.col("left").alias("ileft"), F.split("near", " ").alias("iw"))
     rows = docs.select(F.col(key), words_of(F.col(text)).alias("w")).withColumn("n_words", F.size("w").cast("long")).withColumn("rid", F.monotonically_increasing_id())
     own = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("p"), F.lit(0).alias("left"), F.lit("").alias("near"))
-    grams = _winnowed(rows).select("rid", key, "n_words", F.inline(F.concat(F.array(own), "kept")))
     long = written(long)
-    long = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
+    size = long.count()
+    among = [r[0] for r in long.select("ih").distinct().collect()] if size <= LOOKUP_ROWS else None
+    grams = _winnowed(rows, among).select("rid", key, "n_words", F.inline(F.concat(F.array(own), "kept")))
+    long = F.broadcast(long) if size <= BROADCAST_ROWS else long
     met = grams.join(long, F.col("h") == F.col("ih"), "left").where("h is null or ih is not null")
     dw = F.split("near", " ")
     before = lambda w, left: F.reverse(F.slice(w, F.lit(1), left))
