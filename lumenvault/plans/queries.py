@@ -233,6 +233,16 @@ def _valid_items(t):
     return i.join(tags, "item", "left").where("coalesce(good, true) and coalesce(n, 0) <= 512")
 
 
+@query("""SELECT page_id AS index_id, item, 'k' || CAST(item AS STRING) AS key FROM (SELECT page_id, unnest(range(0, page_id % 7)) AS item FROM pages WHERE page_id % 5 <> 0 AND page_id % 4 <> 3) q""")
+def tag_index_read(t, spark, sf_dir):
+    """Indexes of some tags and items; every fifth has another version, every fourth too many tags for the limit of 10."""
+    d = c("page_id")
+    tag = F.transform(F.sequence(F.lit(1), F.when(d % 4 == 3, 12).otherwise(3)), lambda k: F.array(F.concat(F.lit("t"), k.cast("string")), k.cast("string")))
+    items = F.when(d % 7 > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), d % 7 - 1), lambda k: F.array(F.concat(F.lit("k"), k.cast("string")), F.lit("jpg")))).otherwise(F.array().cast("array<array<string>>"))
+    body = F.to_json(F.struct(F.when(d % 5 == 0, 2).otherwise(1).alias("version"), tag.alias("catalog"), items.alias("items")))
+    return readers.tag_index(t("pages").select(d.alias("index_id"), body.alias("body")), most_tags=10).select("index_id", "item", "key")
+
+
 @query(_VALID_ITEMS)
 def tag_items_valid(t, spark, sf_dir):
     return _valid_items(t).select("item", "key", "ext")
@@ -483,7 +493,18 @@ def crop_edges(t, spark, sf_dir):
     return similarity.crop_edges(pairs, p, similarity.still_edges(pairs, p))
 
 
-@query()
+_PAIR_MOVING = f", pair_moving AS MATERIALIZED ({_PAIR.format(_MOVING)}) "
+#: Alignment of each pair, a row for each length and start of a stretch of the longer series.
+_ALIGNED = """, lines AS MATERIALIZED (SELECT a, b, p, h, least(ld, rd) / greatest(ld, rd) AS ratio, CASE WHEN len(lt) <= len(rt) THEN lt ELSE rt END AS s, CASE WHEN len(lt) <= len(rt) THEN rt ELSE lt END AS l FROM pair_moving),
+sized AS (SELECT *, len(l) AS n, len(s) AS m, greatest(least(2, len(l)), least(len(l), CAST(floor(len(l) * ratio + 0.5) AS BIGINT))) AS e FROM lines),
+lens AS (SELECT *, unnest(range(greatest(least(2, n), CAST(floor(e * 0.82) AS BIGINT)), least(n, CAST(ceil(e * 1.18) AS BIGINT)) + 1)) AS w FROM sized),
+starts AS (SELECT *, unnest(range(0, n - w + 1)) AS o FROM lens),
+aligned AS MATERIALIZED (SELECT a, b, p, h, ratio, min(list_sum(list_transform(range(0, m), lambda i: bit_count(xor(s[i + 1], l[o + least(w - 1, CAST(floor(i * (w - 1) / greatest(1, m - 1) + 0.5) AS BIGINT)) + 1])))) / m) AS t FROM starts GROUP BY a, b, p, h, ratio) """
+_MOVING_EDGES = """SELECT a, b, round(greatest(0.0, least(1.0, 1.0 - 0.30 * p / 64.0 - 0.25 * h / 256.0 - 0.45 * t / 64.0))::DOUBLE, 9) AS score, CASE WHEN ratio < 0.9 THEN 'excerpt' ELSE 'same moving media' END AS evidence FROM aligned
+WHERE p <= 12 AND h <= 64 AND t <= 12 AND (ratio >= 0.60 OR t <= 7.8) AND 1.0 - 0.30 * p / 64.0 - 0.25 * h / 256.0 - 0.45 * t / 64.0 >= 0.76"""
+
+
+@query(_WITH + _PAIR_MOVING + _ALIGNED + "SELECT a, b, round(t, 9) AS distance FROM aligned")
 def timeline_distance(t, spark, sf_dir):
     p = P.prints(spark, sf_dir)
     both = similarity._with_prints(similarity.moving_candidates(p), p)
@@ -491,13 +512,16 @@ def timeline_distance(t, spark, sf_dir):
     return both.select("a", "b", F.round(similarity.timeline_distance("l.timeline", "r.timeline", ratio), 9).alias("distance"))
 
 
-@query()
+@query(_WITH + _PAIR_MOVING + _ALIGNED + _MOVING_EDGES)
 def moving_edges(t, spark, sf_dir):
     p = P.prints(spark, sf_dir)
     return similarity.moving_edges(similarity.moving_candidates(p), p)
 
 
-@query()
+_PLANTED = "SELECT least(x.key, y.key) AS a, greatest(x.key, y.key) AS b FROM prints x JOIN prints y ON y.id = x.id + 1000000 WHERE x.id < 1000000 AND x.id % 18 = 0"
+
+
+@query(_WITH_PAIRS + _PAIR_MOVING + _ALIGNED + f"SELECT * FROM (SELECT * FROM ({_STILL_EDGES}) s UNION ALL SELECT * FROM ({_CROP_EDGES}) k UNION ALL SELECT * FROM ({_MOVING_EDGES}) m) e WHERE (a, b) NOT IN (SELECT (a, b) FROM ({_PLANTED}) x)")
 def all_edges(t, spark, sf_dir):
     return similarity.all_edges(P.prints(spark, sf_dir), _excluded(spark, sf_dir))
 
@@ -681,27 +705,35 @@ def consolidate_graph(t, spark, sf_dir):
     return consolidate.survivors(*_graph(spark, sf_dir))
 
 
-@query(_CHOSEN + """SELECT l.key AS left_key, x.key AS right_key, e.score, e.evidence, 'g1' AS generation FROM (SELECT q.v, min(q.u) AS u FROM (SELECT g.u AS v, unnest(g.vs) AS u FROM g) q WHERE q.u IN (SELECT u FROM kept) AND q.v NOT IN (SELECT u FROM kept) GROUP BY q.v) m
-JOIN r l ON l.n = m.u JOIN r x ON x.n = m.v JOIN e ON (e.a = l.key AND e.b = x.key) OR (e.b = l.key AND e.a = x.key)""")
+_QUEUE = """SELECT l.key AS left_key, x.key AS right_key, e.score, e.evidence, 'g1' AS generation FROM (SELECT q.v, min(q.u) AS u FROM (SELECT g.u AS v, unnest(g.vs) AS u FROM g) q WHERE q.u IN (SELECT u FROM kept) AND q.v NOT IN (SELECT u FROM kept) GROUP BY q.v) m
+JOIN r l ON l.n = m.u JOIN r x ON x.n = m.v JOIN e ON (e.a = l.key AND e.b = x.key) OR (e.b = l.key AND e.a = x.key)"""
+
+
+@query(_CHOSEN + _QUEUE)
 def review_queue(t, spark, sf_dir):
     return consolidate.review_queue(*_graph(spark, sf_dir), "g1")
 
 
 def _decisions(spark, sf_dir):
     """The review queue with a decision for three of four cards; every tenth is of an older generation."""
-    q = consolidate.review_queue(*_graph(spark, sf_dir), "g1").withColumn("rank", F.crc32("right_key"))
+    q = consolidate.review_queue(*_graph(spark, sf_dir), "g1").withColumn("rank", F.expr("cast(regexp_extract(right_key, '([0-9]+)', 1) as bigint) div 3"))
     kind = F.when(c("rank") % 4 == 0, "keep both").when(c("rank") % 4 == 1, "delete left").when(c("rank") % 4 == 2, "delete right")
     return q, q.where("rank % 4 <> 3").select("left_key", "right_key", kind.alias("decision"), F.when(c("rank") % 10 == 0, "g0").otherwise("g1").alias("seen"))
 
 
-@query()
+_DECIDED = f"""SELECT left_key, right_key, CASE rank % 4 WHEN 0 THEN 'keep both' WHEN 1 THEN 'delete left' ELSE 'delete right' END AS decision, CASE WHEN rank % 10 = 0 THEN 'stale' ELSE 'accepted' END AS state
+FROM (SELECT left_key, right_key, CAST(regexp_extract(right_key, '([0-9]+)', 1) AS BIGINT) // 3 AS rank FROM ({_QUEUE}) q) d WHERE rank % 4 <> 3"""
+
+
+@query(_CHOSEN + _DECIDED)
 def decision_check(t, spark, sf_dir):
     queue, decisions = _decisions(spark, sf_dir)
     met = decisions.join(queue.select("left_key", "right_key", "generation"), ["left_key", "right_key"], "left")
     return met.select("left_key", "right_key", "decision", F.when(c("generation").isNull(), "unknown").when(c("seen") != c("generation"), "stale").otherwise("accepted").alias("state"))
 
 
-@query()
+@query(_CHOSEN + f"""SELECT DISTINCT CASE WHEN decision = 'keep both' THEN 'exclude' ELSE 'delete' END AS action, CASE decision WHEN 'keep both' THEN least(left_key, right_key) WHEN 'delete left' THEN left_key ELSE right_key END AS key,
+CASE WHEN decision = 'keep both' THEN greatest(left_key, right_key) END AS other FROM ({_DECIDED}) c WHERE state = 'accepted'""")
 def decision_apply(t, spark, sf_dir):
     good = decision_check(t, spark, sf_dir).where("state = 'accepted'")
     deleted = good.where("decision <> 'keep both'").select(F.lit("delete").alias("action"), F.when(c("decision") == "delete left", c("left_key")).otherwise(c("right_key")).alias("key"), F.lit(None).cast("string").alias("other"))

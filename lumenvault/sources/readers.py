@@ -37,6 +37,13 @@ def index_items(documents: DataFrame, strict: bool) -> DataFrame:
     return rows.withColumn("key", F.when(good, F.col("key")).otherwise(F.raise_error(F.lit("bad row in gallery index")).cast("string")))
 
 
+def tag_index(documents: DataFrame, most_tags: int = 20_000, most_items: int = 250_000) -> DataFrame:
+    """(index_id, item, key) of JSON tag indexes (index_id, body). One of another version than 1 or beyond a limit counts as empty."""
+    doc = F.from_json("body", "struct<version:int,catalog:array<array<string>>,items:array<array<string>>>")
+    good = documents.select("index_id", doc.alias("doc")).where((F.col("doc.version") == 1) & (F.size("doc.catalog") <= most_tags) & (F.size("doc.items") <= most_items))
+    return good.select("index_id", F.posexplode("doc.items").alias("item", "x")).select("index_id", F.col("item").cast("bigint").alias("item"), F.get("x", F.lit(0)).alias("key"))
+
+
 def source_list(documents: DataFrame) -> DataFrame:
     """(position, value) of a JSON list of names, or of an object with `sources`. Another shape raises."""
     body = F.col("body")
