@@ -43,13 +43,13 @@ def without(raw: bytes, starts, ends) -> bytes:
     return b"".join(out)
 
 
-def kept_digests(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Per row of `rows` (from keyed()): key, n_bytes, n_removed, n_spans, kept_sha256, spans, by the spans of `found`.
+def kept_digests(rows: DataFrame, found: DataFrame, key: str, *counts: str) -> DataFrame:
+    """Per row of `rows` (from keyed()): key, counts, n_bytes, n_removed, n_spans, kept_sha256, spans, by the spans of `found`.
 
-    found: (__k, __th, spans array<struct<s:bigint,e:bigint>>), merged and written to a table.
+    found: (__k, __th, spans array<struct<s:bigint,e:bigint>>), merged and written to a table; counts: more BIGINT columns of it, 0 if missing.
     """
     ship(rows.sparkSession)
-    both = rows.join(found, list(KEYS), "left").select("__id", "__text", "spans")
+    both = rows.join(found, list(KEYS), "left").select("__id", "__text", "spans", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
     def run(batches):
         for batch in batches:
@@ -60,9 +60,9 @@ def kept_digests(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
                 kept = without(raw, [s for s, _ in own], [e for _, e in own])
                 for to, x in zip(made, (len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), ",".join(f"{s}:{e}" for s, e in own))):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x, kind in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *(pa.array(x, kind) for x, kind in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[key, *counts, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    schema = T.StructType([T.StructField(key, rows.schema["__id"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    schema = T.StructType([T.StructField(key, rows.schema["__id"].dataType), *(T.StructField(n, T.LongType()) for n in (*counts, "n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.StringType())])
     return both.mapInArrow(run, schema)
 
 
