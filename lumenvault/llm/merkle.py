@@ -1,4 +1,4 @@
-"""Merkle fingerprints of documents over sections, paragraphs and sentences, in DataFrame functions only."""
+"""Merkle fingerprints of documents over sections, paragraphs and phrases, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A section ends with a blank line, a paragraph with its line, a sentence with its end marks and white space.
+#: A section ends with a blank line, a paragraph with its line, a phrase with its sentence or after eight words.
 #: The pieces of each level, put together, give the text again.
 SECTION = r"(?s).+?(?:\n\n+|\z)"
 PARAGRAPH = r"[^\n]*\n+|[^\n]+"
-SENTENCE = r"[^.!?]*[.!?]+[ \t\r\n]*|[^.!?]+"
+PHRASE = r"(?:[^ \t\r\n]*[^ \t\r\n.!?][ \t\r\n]+){0,7}(?:[^ \t\r\n]+[ \t\r\n]*|[ \t\r\n]+)"
 LEAF = r"\.([0-9a-f]{12})"
 #: Documents that are put in order together, and most such buckets (their bounds go to the driver).
 BUCKET_ROWS = 1024
@@ -21,14 +21,14 @@ MOST_BUCKETS = 100_000
 def tree(text: Column) -> Column:
     """Sections as structs (d, ps), paragraphs as structs (d, ls); d and the leaves in ls are SHA-256 digests."""
     pieces = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    leaves = lambda p: F.transform(pieces(p, SENTENCE), lambda s: F.sha2(s, 256))
+    leaves = lambda p: F.transform(pieces(p, PHRASE), lambda s: F.sha2(s, 256))
     node = lambda ls: F.struct(F.sha2(F.array_join(ls, ""), 256).alias("d"), ls.alias("ls"))
     paragraphs = lambda s: F.transform(F.transform(pieces(s, PARAGRAPH), leaves), node)
     return F.transform(F.transform(pieces(text, SECTION), paragraphs), lambda ps: F.struct(F.sha2(F.array_join(ps["d"], ""), 256).alias("d"), ps.alias("ps")))
 
 
 def written_tree(sections: Column) -> Column:
-    """The fingerprint: the root digest, then per section `/` and its digest, per paragraph `;`, per sentence `.`, cut short."""
+    """The fingerprint: the root digest, then per section `/` and its digest, per paragraph `;`, per phrase `.`, cut short."""
     leaf = lambda x: F.concat(F.lit("."), F.substring(x, 1, 12))
     paragraph = lambda p: F.concat(F.lit(";"), F.substring(p["d"], 1, 16), F.array_join(F.transform(p["ls"], leaf), ""))
     section = lambda s: F.concat(F.lit("/"), F.substring(s["d"], 1, 16), F.array_join(F.transform(s["ps"], paragraph), ""))
@@ -45,7 +45,7 @@ def leaves_of(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of sentence digests that two fingerprints have in common, 0 to 1 (Dice); 1 for equal ones.
+    """Share of phrase digests that two fingerprints have in common, 0 to 1 (Dice); 1 for equal ones.
 
     a and b: arrays from leaves_of().
     """

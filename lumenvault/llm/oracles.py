@@ -1,6 +1,6 @@
 """DuckDB SQL with the rows of the text queries that SQL can express."""
 
-from .merkle import LEAF, PARAGRAPH, SECTION, SENTENCE
+from .merkle import LEAF, PARAGRAPH, SECTION, PHRASE
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -25,7 +25,7 @@ def _print(tree: str) -> str:
 
 
 def _tree(text: str) -> str:
-    return f"list_transform(regexp_extract_all({text}, '{SECTION}'), lambda s: list_transform(regexp_extract_all(s, '{PARAGRAPH}'), lambda p: list_transform(regexp_extract_all(p, '{SENTENCE}'), lambda x: sha256(x))))"
+    return f"list_transform(regexp_extract_all({text}, '{SECTION}'), lambda s: list_transform(regexp_extract_all(s, '{PARAGRAPH}'), lambda p: list_transform(regexp_extract_all(p, '{PHRASE}'), lambda x: sha256(x))))"
 
 
 def _leaves(fingerprint: str) -> str:

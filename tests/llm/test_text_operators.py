@@ -227,7 +227,7 @@ def test_merkle_edits(spark, docs):
 
 
 def test_merkle_pieces_give_the_text_again(spark, docs):
-    for pattern in (merkle.SECTION, merkle.PARAGRAPH, merkle.SENTENCE):
+    for pattern in (merkle.SECTION, merkle.PARAGRAPH, merkle.PHRASE):
         whole = F.array_join(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "")
         assert docs.where("text is not null").where(whole != F.col("text")).count() == 0
 
