@@ -45,3 +45,39 @@ h AS MATERIALIZED (SELECT *, {_leaves('fa')} AS la, {_leaves('fb')} AS lb FROM g
 k AS (SELECT *, coalesce(lead(la) OVER w, first_value(la) OVER w) AS ln FROM h WINDOW w AS (ORDER BY doc_id DESC))
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like('la', 'lb')} AS near_edited, {_like('la', 'ln')} AS near_next FROM k
 """
+
+OP10 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT r, s, md5(array_slice(b, s + 1, s + 400)) AS m FROM (SELECT r, b, unnest(range(0, n - 399)) AS s FROM d WHERE n >= 400) q),
+hit AS (SELECT r, s FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+runs AS (SELECT r, s, sum(CASE WHEN s <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS g FROM (SELECT r, s, coalesce(lag(s) OVER (PARTITION BY r ORDER BY s), -1000) AS before FROM hit) q),
+spans AS (SELECT r, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, sum(e - s) AS removed FROM (SELECT r, min(s) AS s, max(s) + 400 AS e FROM runs GROUP BY r, g) q GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(ss), 0) AS BIGINT) AS n_spans,
+ CASE WHEN ss IS NULL THEN sha256(b) ELSE sha256(unhex(array_to_string(list_transform(range(0, len(ss) + 1), lambda i: hex(array_slice(b, CASE WHEN i = 0 THEN 1 ELSE es[i] + 1 END, CASE WHEN i = len(ss) THEN n ELSE ss[i + 1] END))), ''))) END AS kept_sha256
+FROM d LEFT JOIN spans USING (r)
+"""
+
+#: Plain forms of the patterns, with the test that a match must pass.
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE 2 * CAST(c AS INT) - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_MOD97 = """list_reduce(list_transform(string_split(substring(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''), lambda c: ascii(c)), lambda z, c: CASE WHEN c < 58 THEN (z * 10 + c - 48) % 97 ELSE (z * 100 + c - 55) % 97 END, 0) = 1"""
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rf"regexp_full_match(m, '{_PART}(?:\.{_PART}){{3}}')"),
+    ("card", r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "regexp_matches(lower(right(g, 40)), 'ssn|social security')"),
+)
+_FOUND = " UNION ALL ".join(
+    f"""SELECT r, s, e, '{kind}' AS kind, {rank} AS rank FROM (SELECT r, m, g, sum(length(g) + length(m)) OVER w - length(m) AS s, sum(length(g) + length(m)) OVER w AS e FROM (
+ SELECT r, i, ms[i] AS m, gs[i] AS g FROM (SELECT r, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d) a) b) c WINDOW w AS (PARTITION BY r ORDER BY i)) q WHERE {test}"""
+    for rank, (kind, pattern, test) in enumerate(_KINDS)
+)
+OP8 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS MATERIALIZED ({_FOUND}),
+g AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in _KINDS[:4])},
+ string_agg(kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY s, rank) AS spans FROM f GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, _, _ in _KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""

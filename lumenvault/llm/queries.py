@@ -63,4 +63,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_toxicity, op4_decontaminate, op5_merkle, op6_token_counts, op7_substring_dedup, op8_pii, op9_byte_bpe, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": oracles.OP4, "op5_merkle": oracles.OP5}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": oracles.OP4, "op5_merkle": oracles.OP5, "op8_pii": oracles.OP8, "op10_suffix_dedup": oracles.OP10}
