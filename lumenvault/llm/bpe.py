@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Distinct pieces that a Python worker remembers before it starts afresh.
-REMEMBER = 500_000
+REMEMBER = 300_000
 #: Pieces of more bytes than this are merged by heap: a matrix round merges one pair a row.
 LONGEST_ROW = 256
 #: Cells of a padded matrix.
@@ -189,7 +189,7 @@ class ByteBpe:
                     found[left << 32 | right] = rank
         self.pairs = found
         self._hash(np.fromiter(found.keys(), np.uint64, len(found)), np.fromiter(found.values(), np.int32, len(found)))
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, dict[str, object]] = {}
 
     def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing, filled in vectorised rounds."""
@@ -292,23 +292,29 @@ class ByteBpe:
             at = after[at]
         return out
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """(number of ids, ids as text, their bytes) of every piece of each text.
+    def encode(self, texts: list[str], form) -> list[list]:
+        """form(ids) of every piece of each text.
 
-        Pieces that are not remembered are encoded together, once for all the texts given.
+        Pieces that are not remembered under this form are encoded together, once for all the texts given.
         """
+        known = self.known.setdefault(form.__name__, {})
         split = [self.piece.findall(t) for t in texts]
-        fresh = [p for p in {p for s in split for p in s} if p not in self.known]
-        new = {}
-        for p, ids in zip(fresh, self.encode_pieces([p.encode("utf-8") for p in fresh])):
-            new[p] = (len(ids), ",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids]))
-        if len(self.known) + len(new) <= REMEMBER:
-            self.known.update(new)
-            look = self.known.__getitem__
+        fresh = [p for p in {p for s in split for p in s} if p not in known]
+        new = {p: form(self, ids) for p, ids in zip(fresh, self.encode_pieces([p.encode("utf-8") for p in fresh]))}
+        if len(known) + len(new) <= REMEMBER:
+            known.update(new)
+            look = known.__getitem__
         else:
-            look = (lambda p, old=self.known.get: old(p) or new[p])
+            look = lambda p, old=known.get: old(p) or new[p]
         return [list(map(look, s)) for s in split]
 
+    def as_digest(self, ids: list[int]) -> tuple[int, str, bytes]:
+        """(number of ids, ids as text, their bytes)"""
+        return len(ids), ",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids])
+
+    def as_packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, np.int32).tobytes()
+
 
 @lru_cache(2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
@@ -322,7 +328,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text")
         bpe = byte_bpe(path, pattern)
 
         def work(texts):
-            return [([int(i) for _, ids, _ in s for i in ids.split(",")],) for s in bpe.encode(texts)]
+            return [(np.frombuffer(b"".join(s), np.int32),) for s in bpe.encode(texts, ByteBpe.as_packed)]
 
         return work
 
@@ -337,7 +343,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
 
         def work(texts):
             out = []
-            for found in bpe.encode(texts):
+            for found in bpe.encode(texts, ByteBpe.as_digest):
                 ids = ",".join([f[1] for f in found])
                 back = b"".join([f[2] for f in found])
                 out.append((sum([f[0] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))

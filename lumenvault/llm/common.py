@@ -54,7 +54,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def slices(texts: Iterable[str | None]) -> Iterator[list[str]]:
-    """Runs of whole texts of about SLICE_BYTES; a longer text is a run of its own."""
+    """Runs of whole texts of about SLICE_BYTES; a longer text is a run of its own. Null is ""."""
     run, held = [], 0
     for text in texts:
         text = text or ""
@@ -81,11 +81,13 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], build:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = build()
         for batch in batches:
-            rows: list[tuple] = []
+            done = 0
             for part in slices(x.as_py() for x in batch.column(at)):
-                rows.extend(work(part))
-            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+                rows = work(part)
+                made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                own = batch.slice(done, len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([*own.columns, *made], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
