@@ -144,9 +144,21 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return found.select(key, *counts, F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
 
 
-def _shown(kind: Kind, text: str):
-    sure = lambda m: F.col(text).rlike("(?i)" + kind.context) if kind.name == "ssn" else valid(kind.name, m)
-    return lambda m: F.when(sure(m), F.lit(f"[{kind.name.upper()}]")).otherwise(m)
+def _bound(value: Column, make) -> Column:
+    """make(value) with `value` computed once, however often `make` names it and wherever a filter moves it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _without_kind(kind: Kind, text: Column) -> Column:
+    def joined(t: Column, m: Column) -> Column:
+        sure = (lambda x: t.rlike("(?i)" + kind.context)) if kind.name == "ssn" else (lambda x: valid(kind.name, x))
+        shown = F.transform(m, lambda x: F.when(sure(x), F.lit(f"[{kind.name.upper()}]")).otherwise(x))
+        return F.array_join(F.zip_with(F.split(t, kind.pattern, -1), F.concat(shown, F.array(F.lit(""))), lambda g, x: F.concat(g, x)), "")
+
+    def replaced(t: Column) -> Column:
+        return _bound(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, joined(t, m)).otherwise(t))
+
+    return _bound(text, replaced)
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -155,11 +167,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     Added kinds are replaced if they pass their checksum, or for those without one if the text names
     the kind. A null text stays null.
     """
-    df = docs
+    out = F.col(text)
     for kind in KINDS:
-        m, g = F.col("__m"), F.col("__g")
-        df = df.withColumn("__m", F.regexp_extract_all(F.col(text), F.lit(kind.pattern), F.lit(0)))
-        df = df.withColumn("__g", F.when(F.size(m) > 0, F.split(text, kind.pattern, -1)))
-        shown = F.concat(F.transform(m, _shown(kind, text)), F.array(F.lit("")))
-        df = df.withColumn(text, F.when(F.size(m) > 0, F.array_join(F.zip_with(g, shown, lambda a, b: F.concat(a, b)), "")).otherwise(F.col(text)))
-    return df.select(*docs.columns)
+        out = _without_kind(kind, out)
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), out)).select(*docs.columns)
