@@ -14,8 +14,9 @@ from .spans import KEYS, kept_digests, kept_text, keyed
 
 #: A cut falls where MASK_BITS bits of the gear hash of the last WINDOW bytes are zero, MIN to MAX bytes after the last cut.
 WINDOW, MASK_BITS, MIN, MAX = 16, 4, 20, 256
-#: Repeated chunks count where they line up to a run of this many bytes: about 15 words. Of passages of 51 words put
-#: into other texts, all showed such a run in trials, and no run occurred between unrelated texts.
+#: Repeated chunks count where they line up to a run of this many bytes: about 15 words. Of 500 passages of 51 words put
+#: into other texts, 489 showed such a run; the 11 others repeat a few words, so no cut falls inside them. None
+#: of 500 pairs of unrelated texts did. The same trials chose MASK_BITS, MIN and MIN_RUN among four settings.
 MIN_RUN = 80
 BLOCK = 1 << 22
 

@@ -20,6 +20,7 @@ BITS = 18
 #: Labelled rows that the classifier is fitted on at most: those of smallest hash of their key.
 TRAIN_ROWS = 20_000
 #: Features kept for the linear fit: those whose log-count ratio speaks for the label and stands out most from its error.
+#: This number and the ridge have the best F1 of eight settings in cross-validation over the rows that are learnt from.
 KEEP = 1024
 #: Code points whose n-grams are hashed at a time.
 BLOCK = 1 << 20
