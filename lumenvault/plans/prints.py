@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .fixtures import derived
 
 STEP = 1234567891011
+#: Vectors below this have the ids of the SQL, base + copy * APART; later ones base * 3 + copy, which are greater than all those.
+APART = 1000000
 
 SQL = f"""
 SELECT *, 'gallery/v' || CAST(id AS STRING) || CASE WHEN kind = 1 THEN '.jpg' ELSE '.mp4' END AS key, 1000 + id % 5000 AS size, sha256('v' || CAST(id AS STRING)) AS sha256,
@@ -34,6 +36,8 @@ def _bit(at):
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An original (copy 0) of each vector and two copies of each even one. Ids and keys are distinct for any number of
+    vectors; SQL has the same rows up to APART vectors."""
     e = derived(spark, sf_dir, "embeddings")
     ordered = F.array_sort("embedding")
     med = (F.get(ordered, F.lit(31)).cast("double") + F.get(ordered, F.lit(32)).cast("double")) / 2
@@ -43,13 +47,13 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy")).where("copy = 0 or base % 2 = 0")
     flips = F.when(F.col("copy") == 0, 0).when(F.col("copy") == 1, F.col("base") % 18).otherwise((F.col("base") + 1) % 18).cast("int")
     masks = F.when(flips > 0, F.transform(F.sequence(F.lit(0), flips - 1), lambda j: _bit((F.col("base") * 7 + 5 * j) % 63)))
-    p = p.select("base", "copy", "basehash", (F.col("base") + F.col("copy") * 1000000).alias("id"), F.when((F.col("base") % 14 == 0) & (F.col("copy") == 1), 4 - F.col("k0")).otherwise(F.col("k0")).alias("kind"), F.coalesce(F.aggregate(masks, F.lit(0).cast("bigint"), lambda z, x: z.bitwiseOR(x)), F.lit(0).cast("bigint")).alias("flip"))
+    p = p.select("base", "copy", "basehash", F.when(F.col("base") < APART, F.col("base") + F.col("copy") * APART).otherwise(F.col("base") * 3 + F.col("copy")).alias("id"), F.when((F.col("base") % 14 == 0) & (F.col("copy") == 1), 4 - F.col("k0")).otherwise(F.col("k0")).alias("kind"), F.coalesce(F.aggregate(masks, F.lit(0).cast("bigint"), lambda z, x: z.bitwiseOR(x)), F.lit(0).cast("bigint")).alias("flip"))
     p = p.withColumn("phash", F.col("basehash").bitwiseXOR(F.col("flip")))
-    short = (F.col("copy") > 0) & (F.col("id") % 4 == 0)
+    short = (F.col("copy") > 0) & (F.col("base") % 4 == 0)
     line = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.col("phash").bitwiseXOR(_bit(i % 32)))
     crops = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.when((k == 1) & (F.col("copy") > 0) & (F.col("base") % 5 == 0), F.col("basehash")).otherwise(F.col("phash").bitwiseXOR(k.cast("bigint") * STEP)))
     return p.select(
-        "id", "kind", "phash", F.concat(F.lit("gallery/v"), F.col("id").cast("string"), F.when(F.col("kind") == 1, ".jpg").otherwise(".mp4")).alias("key"),
+        "base", "copy", "id", "kind", "phash", F.concat(F.lit("gallery/v"), F.col("id").cast("string"), F.when(F.col("kind") == 1, ".jpg").otherwise(".mp4")).alias("key"),
         (1000 + F.col("id") % 5000).alias("size"), F.sha2(F.concat(F.lit("v"), F.col("id").cast("string")), 256).alias("sha256"), F.array(*["phash"] * 4).alias("hash256"),
         (64 + F.col("id") % 1000).cast("int").alias("width"), (48 + F.col("id") % 700).cast("int").alias("height"),
         F.when(F.col("kind") == 1, None).when(short, 6000).otherwise(10000).alias("duration_ms"), crops.alias("crop_hashes"), F.when(F.col("kind") == 1, None).when(short, line(10, 38)).otherwise(line(0, 47)).alias("timeline"),
@@ -66,7 +70,7 @@ def rated(found: DataFrame) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, frame_index, timestamp_ns, h, total_ns): 96 frames of each moving original, unevenly timed."""
-    p = prints(spark, sf_dir).where("kind = 3 and id < 1000000")
+    p = prints(spark, sf_dir).where("kind = 3 and copy = 0")
     f = p.select("key", "id", "phash", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(95).cast("bigint"))).alias("frame_index"))
     time = F.col("frame_index") * 100_000_000 + (F.col("frame_index") * F.col("frame_index") * 7919) % 90_000_000
     return f.select("key", "frame_index", time.alias("timestamp_ns"), F.col("phash").bitwiseXOR(_bit((F.col("frame_index") * (F.col("id") % 7 + 1)) % 63)).alias("h"), F.lit(10_000_000_000).alias("total_ns"))

@@ -528,9 +528,9 @@ def all_edges(t, spark, sf_dir):
 
 def _excluded(spark, sf_dir):
     """Pairs of a vector and its first copy, for every 18th vector."""
-    p = P.prints(spark, sf_dir).where("id < 1000000 and id % 18 = 0").select("id", c("key").alias("k0"))
-    q = P.prints(spark, sf_dir).where("id between 1000000 and 1999999").select((c("id") - 1000000).alias("id"), c("key").alias("k1"))
-    return p.join(q, "id").select(F.least("k0", "k1").alias("first_key"), F.greatest("k0", "k1").alias("second_key"))
+    p = P.prints(spark, sf_dir).where("copy = 0 and base % 18 = 0").select("base", c("key").alias("k0"))
+    q = P.prints(spark, sf_dir).where("copy = 1").select("base", c("key").alias("k1"))
+    return p.join(q, "base").select(F.least("k0", "k1").alias("first_key"), F.greatest("k0", "k1").alias("second_key"))
 
 
 # ---------------------------------------------------------------- fingerprints
