@@ -88,7 +88,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     met = found.join(first, ["d1", "d2"])
     own = (F.col("__k") == F.col("k0")) & F.coalesce(F.col("__th") == F.col("t0"), F.lit(True))
     places = F.transform("at", lambda s, i: F.struct(s.alias("s"), (s + F.col("len")).alias("e"), (~own | (i > 0)).alias("drop")))
-    lined = met.groupBy(*KEYS).agg(F.array_sort(F.flatten(F.collect_list(places))).alias("p"))
+    lined = met.groupBy(*KEYS).agg(F.array_sort(F.flatten(F.collect_set(places))).alias("p"))  # a set, as repeated rows bring the same places
     ship(rows.sparkSession)
 
     def run(batches):

@@ -303,6 +303,18 @@ def test_chunks_remove_repeated_passages(spark):
     assert all(got[i].kept_sha256 == hashlib.sha256(kept[i].encode()).hexdigest() for i in kept)
 
 
+def test_repeated_rows_count_as_one_document(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    passage = words(25)
+    once = [(i, words(60) + " " + passage + " " + words(50)) for i in range(6)] + [(6, words(90))]
+    again = once + [once[3]] * 3 + [once[0]] * 2 + [once[6]]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want, got = {tuple(r) for r in chunks.report(make(once)).collect()}, chunks.report(make(again).repartition(3)).collect()
+    assert len(got) == len(again) and {tuple(r) for r in got} == want
+    assert all(r.n_removed > len(passage) / 3 for r in got if 0 < r.doc_id < 6) and all(r.n_removed == 0 for r in got if r.doc_id in (0, 6))
+
+
 def test_chunk_cuts_resist_insertions():
     rng = random.Random(3)
     raw = bytes(rng.randrange(256) for _ in range(20000))
