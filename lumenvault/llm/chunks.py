@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from .common import ship, written
 from .spans import KEYS, kept_digests, kept_text, keyed
 
-#: A cut falls where MASK_BITS bits of the gear hash of the last WINDOW bytes are zero, MIN to MAX bytes after the last cut.
-WINDOW, MASK_BITS, MIN, MAX = 16, 4, 20, 256
-#: Repeated chunks count where they line up to a run of this many bytes: about 15 words. Of 500 passages of 51 words put
-#: into other texts, 489 showed such a run; the 11 others repeat a few words, so no cut falls inside them. None
-#: of 500 pairs of unrelated texts did. The same trials chose MASK_BITS, MIN and MIN_RUN among four settings.
+#: A cut falls where MASK_BITS bits of the gear hash of the last WINDOW bytes are zero, MIN bytes or more after the last cut.
+#: Of such places less than MIN bytes apart the least hash is taken, and where there is none within BACKUP bytes, the least
+#: hash from MIN to BACKUP bytes after the last cut; so words that repeat are cut at the same places in any document.
+WINDOW, MASK_BITS, MIN, BACKUP = 16, 4, 20, 64
+#: Repeated chunks count where they line up to a run of this many bytes: about 15 words.
 MIN_RUN = 80
 BLOCK = 1 << 22
 
@@ -30,22 +31,38 @@ def cut_points(raw: bytes, table: np.ndarray) -> list[int]:
     """Ends of the chunks of `raw`, the last of which is its length."""
     data, ends, last = np.frombuffer(raw, np.uint8), [], 0
     mask, want = np.uint32(((1 << MASK_BITS) - 1) << (WINDOW - MASK_BITS)), np.uint32(0)
+    known, places = np.empty(0, np.uint32), []  # hashes of the last bytes, from `base` on, and places whose followers are not known yet
+
+    def backups(upto: int) -> None:
+        """Cuts at least hashes as long as the next place, or the end of what is known, is beyond BACKUP."""
+        nonlocal last
+        while upto - last > BACKUP:
+            near = known[last + MIN - 1 - base : last + BACKUP - base]
+            last += MIN + int(near.argmin())
+            ends.append(last)
+
     for at in range(0, len(data), BLOCK):
         begin = max(0, at - WINDOW + 1)
         h, m = table[data[begin : at + BLOCK]], 1
         while m < WINDOW:  # h of m bytes to h of 2m: h[i] = (h[i - m] << m) + h[i]
             h = np.concatenate((h[:m], (h[:-m] << np.uint32(m)) + h[m:]))
             m *= 2
-        for x in (np.flatnonzero((h[at - begin :] & mask) == want) + at + 1).tolist():
-            while x - last > MAX:
-                last += MAX
-                ends.append(last)
+        h, tail = h[at - begin :], known[-BACKUP - MIN :]
+        base, known, top = at - len(tail), np.concatenate((tail, h)), at + len(h)
+        places += (np.flatnonzero((h & mask) == want) + at + 1).tolist()
+        done = len(places) if top == len(data) else bisect_right(places, top - MIN + 1)
+        for i in range(done):
+            x = places[i]
+            backups(x)
             if x - last >= MIN:
-                last = x
-                ends.append(x)
-    while len(raw) - last > MAX:
-        last += MAX
-        ends.append(last)
+                last, i = x, i + 1
+                while i < len(places) and places[i] < x + MIN:
+                    if known[places[i] - 1 - base] < known[last - 1 - base]:
+                        last = places[i]
+                    i += 1
+                ends.append(last)
+        places = places[done:]
+        backups(places[0] if places else top)
     if last < len(raw):
         ends.append(len(raw))
     return ends

@@ -324,6 +324,36 @@ def test_chunk_cuts_resist_insertions():
     assert len(split(raw) & split(b"inserted" + raw)) > 0.95 * len(split(raw))
 
 
+def test_chunk_cuts_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(6)
+    raw = bytes(rng.randrange(97, 123) for _ in range(6000)) + b"a" * 3000 + b"red green blue " * 200
+    table = chunks.gear()
+    want = chunks.cut_points(raw, table)
+    assert max(e - s for s, e in zip([0, *want], want)) < chunks.BACKUP + chunks.MIN
+    for block in (100, 777, 3000):
+        monkeypatch.setattr(chunks, "BLOCK", block)
+        assert chunks.cut_points(raw, table) == want
+
+
+def test_passages_that_repeat_words_are_cut_alike():
+    rng, table, found = random.Random(7), chunks.gear(), 0
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+    def split(text):
+        ends = chunks.cut_points(text.encode(), table)
+        return [text.encode()[s:e] for s, e in zip([0, *ends], ends)]
+
+    for _ in range(50):
+        passage = " ".join([words(rng.randrange(2, 6))] * 51)[:300]
+        a, b = set(split(words(40) + passage + words(40))), split(words(30) + passage + words(50))
+        best = run = 0
+        for x in b:
+            run = run + len(x) if x in a else 0
+            best = max(best, run)
+        found += best >= chunks.MIN_RUN
+    assert found >= 47
+
+
 def brute_repeats(docs, length):
     seen, raw = Counter(), [(i, (t or "").encode()) for i, t in docs]
     for _, b in raw:
