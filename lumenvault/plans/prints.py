@@ -84,6 +84,18 @@ FROM (SELECT key, id, phash, unnest(range(0, 96)) AS frame_index FROM ({SQL}) q
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, width, height, pixels): each vector as an 8 x 8 image of 0..255, every value a block of 8 x 8 pixels."""
+    return _drawn(derived(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("key"), "embedding"))
+
+
+def object_pixels(keys: DataFrame, sf_dir: str) -> DataFrame:
+    """The images of objects by key (as in pixels()): the number in a key, modulo the number of vectors, is its vector."""
+    e = derived(keys.sparkSession, sf_dir, "embeddings").select("vec_id", "embedding")
+    count = e.agg(F.max("vec_id") + 1).first()[0]
+    number = F.regexp_extract("key", r"([0-9]+)[.][^.]*$", 1).cast("bigint")
+    return _drawn(keys.withColumn("vec_id", number % F.lit(count)).join(e, "vec_id").select("key", "embedding"))
+
+
+def _drawn(vectors: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
@@ -94,6 +106,6 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
                 v = np.asarray(x, np.float64).reshape(8, 8)
                 g = np.floor((v - v.min()) / (np.ptp(v) or 1.0) * 255)
                 out.append(np.kron(g, np.ones((8, 8))).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"key": "v" + pdf.vec_id.astype(str), "width": 64, "height": 64, "pixels": out}).astype({"width": "int32", "height": "int32"})
+            yield pd.DataFrame({"key": pdf.key, "width": 64, "height": 64, "pixels": out}).astype({"width": "int32", "height": "int32"})
 
-    return derived(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(work, "key string, width int, height int, pixels binary")
+    return vectors.mapInPandas(work, "key string, width int, height int, pixels binary")

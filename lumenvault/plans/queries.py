@@ -756,7 +756,7 @@ def stream_sources(t, spark, sf_dir):
 
 @query(f"SELECT key, phash IS NULL AS computed FROM ({_RECONCILED}) q WHERE change <> 'gone'")
 def stream_fingerprint(t, spark, sf_dir):
-    return ingest.fingerprint_changes(spark, t("stored"), t("objects_v2")).select("key", "computed")
+    return ingest.fingerprint_changes(spark, t("stored"), t("objects_v2"), lambda keys: P.object_pixels(keys, sf_dir)).select("key", "computed")
 
 
 @query(f"SELECT generation FROM ({_LATEST}) q WHERE status IN ('building', 'recovering', 'ready') AND {NOW} - coalesce(updated_at, created_at, {NOW}) >= 86400")

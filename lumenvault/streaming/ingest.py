@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,8 +66,13 @@ def upsert_sources(spark: SparkSession, raw: DataFrame, most: int = MOST_SOURCES
     return spark.read.schema("folded string, source string, position long").parquet(state).select("folded")
 
 
-def fingerprint_changes(spark: SparkSession, stored: DataFrame, remote: DataFrame) -> DataFrame:
-    """(key, phash) of new and changed rows, computed batch by batch over the change feed; unchanged ones keep theirs."""
+def fingerprint_changes(spark: SparkSession, stored: DataFrame, remote: DataFrame, pixels: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, phash, computed) of the rows of `remote`, batch by batch over the change feed.
+
+    New and changed rows get the fingerprint of their pixels, unchanged ones keep theirs. pixels(keys) gives the
+    images (key, width, height, pixels) of a table of keys; a key without one, or with too large a one, stays without a fingerprint.
+    """
+    from ..operators.fingerprint import fingerprint_stills
     from ..operators.reconcile import reconciled
 
     folder = _folder(spark)
@@ -74,8 +80,11 @@ def fingerprint_changes(spark: SparkSession, stored: DataFrame, remote: DataFram
     sink = f"{folder}/sink"
 
     def work(batch: DataFrame, _: int) -> None:
-        made = F.coalesce("phash", F.abs(F.xxhash64("key", "file_id").bitwiseAND(F.lit((1 << 62) - 1))))
-        batch.select("key", made.alias("phash"), F.col("phash").isNull().alias("computed")).write.mode("append").parquet(sink)
+        missing = batch.where("phash is null").select("key")
+        made = fingerprint_stills(pixels(missing)).select("key", "phash", F.lit(True).alias("computed"))
+        kept = batch.where("phash is not null").select("key", "phash", F.lit(False).alias("computed"))
+        without = missing.join(made, "key", "left").select("key", "phash", F.coalesce("computed", F.lit(False)).alias("computed"))
+        kept.unionByName(without).write.mode("append").parquet(sink)
 
     _stream(spark, f"{folder}/feed", 10).writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("key string, phash long, computed boolean").parquet(sink)

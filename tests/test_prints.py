@@ -1,6 +1,8 @@
-"""Derived print tables on vectors whose ids pass a million."""
+"""Derived print and pixel tables: ids that pass a million, fingerprints of changes."""
 
 from lumenvault.plans import prints, queries
+from lumenvault.plans.fixtures import derived
+from lumenvault.streaming import ingest
 
 
 def test_originals_and_keys_of_any_size(spark, tmp_path):
@@ -16,3 +18,20 @@ def test_originals_and_keys_of_any_size(spark, tmp_path):
     keys = {(r.base, r.copy): r.key for r in p}
     want = {tuple(sorted((keys[v, 0], keys[v, 1]))) for v in ids if v % 18 == 0}
     assert {tuple(r) for r in queries._excluded(spark, str(tmp_path)).collect()} == want
+
+
+def test_changes_get_the_fingerprints_of_their_pixels(spark, sf):
+    stored, remote = derived(spark, sf, "stored"), derived(spark, sf, "objects_v2")
+    got = {r.key: r for r in ingest.fingerprint_changes(spark, stored, remote, lambda keys: prints.object_pixels(keys, sf)).collect()}
+    batch = {r.key: r.phash for r in queries.QUERIES["fingerprint_stills"](spark, sf).select("key", "phash").collect()}
+    was = {r.key: r.phash for r in stored.collect()}
+    assert len(got) == remote.count() and any(r.computed for r in got.values()) and not all(r.computed for r in got.values())
+    for key, r in got.items():
+        number = int(key.split("/")[-1].split(".")[0])
+        assert r.phash == (batch[f"v{number % len(batch)}"] if r.computed else was[key])
+
+
+def test_changes_without_an_image_are_not_called_computed(spark, sf):
+    none = lambda keys: prints.object_pixels(keys.where("false"), sf)
+    got = ingest.fingerprint_changes(spark, derived(spark, sf, "stored"), derived(spark, sf, "objects_v2"), none)
+    assert got.where("computed").count() == 0 and got.where("phash is null").count() > 0
