@@ -63,9 +63,9 @@ def staged_scan(t, spark, sf_dir):
 
 
 def _index_documents(t):
-    """JSON index documents of the objects of each source, in two shapes; every 50th item is bad."""
-    o = t("objects").select("doc_id", F.split("key", "/")[1].alias("src"), F.struct(F.when(c("doc_id") % 50 != 0, c("key")).alias("key"), c("extension").alias("ext"), c("size").alias("size")).alias("x"))
-    items = o.groupBy("src").agg(F.sort_array(F.collect_list("x")).alias("items"))
+    """JSON index documents of the objects of each source, 1000 doc_ids a document, in two shapes; every 50th item is bad."""
+    o = t("objects").select(F.floor(c("doc_id") / 1000).alias("run"), F.split("key", "/")[1].alias("src"), F.struct(F.when(c("doc_id") % 50 != 0, c("key")).alias("key"), c("extension").alias("ext"), c("size").alias("size")).alias("x"))
+    items = o.groupBy("src", "run").agg(F.sort_array(F.collect_list("x")).alias("items"))
     return items.select("src", F.when(F.length("src") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct("items"))).alias("body"))
 
 
@@ -77,7 +77,7 @@ def gallery_index_lenient(t, spark, sf_dir):
 @query("SELECT key, extension AS ext, size FROM {objects} o WHERE doc_id % 50 <> 0")
 def gallery_index_items(t, spark, sf_dir):
     good = t("objects").where("doc_id % 50 <> 0")
-    items = good.groupBy((c("doc_id") % 20).alias("g")).agg(F.collect_list(F.struct("key", c("extension").alias("ext"), "size")).alias("items"))
+    items = good.groupBy((c("doc_id") % 20).alias("g"), F.floor(c("doc_id") / 20_000).alias("run")).agg(F.collect_list(F.struct("key", c("extension").alias("ext"), "size")).alias("items"))
     return readers.index_items(items.select(F.when(c("g") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct("items"))).alias("body")), strict=True)
 
 

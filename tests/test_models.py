@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenvault.operators import consolidate, fingerprint, selection, similarity
+from lumenvault.plans import queries
 from lumenvault.sources import readers
 
 
@@ -79,6 +80,36 @@ def test_budget_too_small_takes_the_smallest(spark):
     assert [r.key for r in selection.budget_select(rows, 1, "s").collect()] == ["gallery/a"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_shards_follow_the_heap(spark, seed):
+    import heapq
+
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None]), f"k{i:03}", rng.choice([0, 1, 1, 2, 7, 7, 7, 40, rng.randrange(300)])) for i in range(600)]
+    want, shards = set(), 5
+    for g in ("a", "b", None):
+        loads = [(0, i) for i in range(shards)]
+        for _, key, size in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            load, i = heapq.heappop(loads)
+            heapq.heappush(loads, (load + size, i))
+            want.add((g, key, size, i))
+    got = [tuple(r) for r in selection.byte_shards(spark.createDataFrame(rows, "generation string, key string, size long").repartition(5), shards).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_packing_sees_a_row_for_each_size():
+    loads = [0, 10**12, 5]
+    steps = selection._turns(loads, 3, 10**12)
+    assert len(steps) <= len(loads) and sum(loads) == 10**12 + 5 + 3 * 10**12 and max(loads) - min(loads) <= 3
+
+
+def test_index_documents_are_bounded(spark):
+    n = 9000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("gallery/hot/"), F.col("id").cast("string"), F.lit(".jpg")).alias("key"), F.lit("jpg").alias("extension"), F.lit(5).cast("long").alias("size"))
+    made = queries._index_documents(lambda name: rows)
+    assert made.count() == 9 and made.agg(F.max(F.length("body"))).first()[0] < 1000 * 80
+
+
 def test_scaled_shards_stay_within_one_object(spark):
     rng = random.Random(3)
     rows = [(f"k{i}", rng.randrange(1, 1000)) for i in range(500)]
