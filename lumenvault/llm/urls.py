@@ -32,14 +32,14 @@ def stated(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """The distinct tokens of a url: scheme, top-level domain, registered name, other labels, path folders and query names."""
+    """The distinct tokens of a url: scheme, top-level domain, registered name, other labels, all path folders but numbers, and query names."""
     labels = F.split(host, r"\.")
     folders = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     names = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("query:"), x))
     parts = F.concat(
         F.array(F.concat(F.lit("tld:"), F.substring_index(host, ".", -1)), F.concat(F.lit("site:"), F.substring_index(host, ".", -2))),
         F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: F.concat(F.lit("sub:"), x)),
-        F.transform(F.slice(folders, 1, 3), lambda x: F.concat(F.lit("folder:"), x)),
+        F.transform(folders, lambda x: F.concat(F.lit("folder:"), x)),
         names,
     )
     return F.array_sort(F.array_distinct(parts))

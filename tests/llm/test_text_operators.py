@@ -62,6 +62,14 @@ def test_mined_rules_match_enumeration(spark):
     assert {(tuple(r.rule_tokens), r.verdict) for r in got.collect()} == want
 
 
+def test_rules_on_deep_folders(spark):
+    deep = lambda host, last, n: [f"http://{host}/{k}{last}" for k in (f"en/a/b/{i}/" for i in range(n))]
+    given = deep("example.com", "ads", 30) + deep("www.example.com", "news", 30) + deep("other.org", "ads", 2) + deep("other.org", "news", 2)
+    got = urls.judge(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r.rule is None for r in got] == [False] * 60 + [True] * 4
+    assert [r.verdict for r in got[60:]] == ["block", "block", "allow", "allow"] and "folder:ads" in got[60].mined_rule
+
+
 def test_urls_without_rows(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
