@@ -13,6 +13,12 @@ RUN = 256
 ACCEPT = 0.75
 #: Characters before a span that are searched for context words.
 CONTEXT = 40
+#: Length of a country's account numbers, by the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 @dataclass(frozen=True)
@@ -30,13 +36,20 @@ class Kind:
     base: bool = True
 
 
+def _iban() -> str:
+    """Numbers of their country's length; of other countries, as far as they go."""
+    known = [rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    other = rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+    return rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|{other})\b"
+
+
 #: Fixed formats and context words, in the order in which kinds are listed.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact|write"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, r"card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"phone|call|tel|mobile"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", 0.8, r"iban|account|bank", base=False),
+    Kind("iban", _iban(), 0.8, r"iban|account|bank", base=False),
     Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, r"ssn|social security", base=False),
 )
 
@@ -94,6 +107,13 @@ def _scored_span(rank: int, kind: Kind):
     return scored
 
 
+def _before(gaps: Column, matches: Column):
+    """From a match's number to the text in front of it: its gap and the four matches before with theirs, as
+    matches of added kinds have 11 characters or more, so that four reach over CONTEXT."""
+    end = lambda xs, i: F.coalesce(F.right(F.get(xs, i), F.lit(CONTEXT)), F.lit(""))
+    return lambda i: F.concat(*(x for k in range(4, 0, -1) for x in (end(gaps, i - k), end(matches, i - k))), end(gaps, i))
+
+
 def _of_kind(name: str):
     return lambda s: s["kind"] == name
 
@@ -121,7 +141,8 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn(f"__b_{kind.name}", F.when(F.size(m) > 0, running(F.col(f"__l_{kind.name}"))).otherwise(F.array().cast(long)))
         a, b, lengths = F.col(f"__a_{kind.name}"), F.col(f"__b_{kind.name}"), F.col(f"__l_{kind.name}")
         g = f"__g_{kind.name}"
-        found = F.transform(m, lambda x, i: F.struct((F.get(a, i) + F.get(b, i) - F.get(lengths, i)).alias("start"), (F.get(a, i) + F.get(b, i)).alias("end"), x.alias("m"), F.get(F.col(g), i).alias("before")))
+        before = _before(F.col(g), m) if not kind.base else lambda i: F.get(F.col(g), i)
+        found = F.transform(m, lambda x, i: F.struct((F.get(a, i) + F.get(b, i) - F.get(lengths, i)).alias("start"), (F.get(a, i) + F.get(b, i)).alias("end"), x.alias("m"), before(i).alias("before")))
         df = df.withColumn(at, F.when(F.size(m) > 0, F.filter(found, _valid_span(kind))))
     made = []
     for rank, kind in enumerate(KINDS):

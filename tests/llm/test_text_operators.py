@@ -447,3 +447,11 @@ def test_added_kinds_and_context(spark):
     assert [r.spans for r in pii.report(df).orderBy("doc_id").collect()] == ["iban:0:27", "", "ssn:4:15", ""]
     [s] = pii.spans(df.where("doc_id = 3")).first().spans
     assert s.score == pytest.approx(0.8)
+
+
+def test_added_kinds_next_to_others(spark):
+    texts = ["SSN: 123-45-6789, 987-65-4321", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 BIC X", "BE68 5390 0754 7034 BIC COBA", "ssn 123-45-6789" + " " * 30 + "987-65-4321", "ssn 123-45-6789" + "." * 12 + "987-65-4321"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.spans for r in pii.report(df).orderBy("doc_id").collect()] == ["ssn:5:16,ssn:18:29", "iban:5:32", "iban:0:22", "iban:0:19", "ssn:4:15", "ssn:4:15,ssn:27:38"]
+    left = [r.text for r in pii.redacted(df).orderBy("doc_id").collect()]
+    assert left[1] == "IBAN [IBAN] BIC COBADEFFXXX" and left[3] == "[IBAN] BIC COBA"
