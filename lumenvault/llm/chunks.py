@@ -17,7 +17,8 @@ from .spans import KEYS, kept_digests, kept_text, keyed
 #: Of such places less than MIN bytes apart the least hash is taken, and where there is none within BACKUP bytes, the least
 #: hash from MIN to BACKUP bytes after the last cut; so words that repeat are cut at the same places in any document.
 WINDOW, MASK_BITS, MIN, BACKUP = 16, 4, 20, 64
-#: Repeated chunks count where they line up to a run of this many bytes: about 15 words.
+#: What a passage is: repeated chunks count where they line up to a run of this many bytes, about 15 words.
+#: Shorter runs are phrases that unlike documents share, not copied passages.
 MIN_RUN = 80
 BLOCK = 1 << 22
 
@@ -99,11 +100,12 @@ def repeats(rows: DataFrame) -> DataFrame:
     bytes or more the repeats are removed.
     """
     found = chunks(rows)
-    # key order decides which document is first; the least and greatest tell whether there are several
-    first = found.groupBy("d1", "d2").agg(F.min("__k").alias("k0"), F.max("__k").alias("k1"), F.min("__th").alias("t0"), F.max("__th").alias("t1"), F.max(F.size("at")).alias("n"))
-    first = written(first.where("k0 < k1 or t0 < t1 or n > 1").select("d1", "d2", "k0", F.when(F.expr("k0 = k1"), F.col("t0")).alias("t0")))
+    # the order of (key, text hash) decides which document is first; the least and greatest tell whether there are several
+    ends = F.struct("__k", "__th")
+    first = found.groupBy("d1", "d2").agg(F.min(ends).alias("a"), F.max(ends).alias("z"), F.max(F.size("at")).alias("n"))
+    first = written(first.where("a < z or n > 1").select("d1", "d2", F.col("a.__k").alias("k0"), F.col("a.__th").alias("t0")))
     met = found.join(first, ["d1", "d2"])
-    own = (F.col("__k") == F.col("k0")) & F.coalesce(F.col("__th") == F.col("t0"), F.lit(True))
+    own = (F.col("__k") == F.col("k0")) & (F.col("__th") == F.col("t0"))
     places = F.transform("at", lambda s, i: F.struct(s.alias("s"), (s + F.col("len")).alias("e"), (~own | (i > 0)).alias("drop")))
     lined = met.groupBy(*KEYS).agg(F.array_sort(F.flatten(F.collect_set(places))).alias("p"))  # a set, as repeated rows bring the same places
     ship(rows.sparkSession)

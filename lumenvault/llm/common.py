@@ -1,4 +1,4 @@
-"""Shared pieces of the text operators: table access, Arrow row maps, checkpoints, graph components."""
+"""Shared pieces of the text operators: table access, Arrow row maps, written tables, graph components."""
 
 from __future__ import annotations
 
@@ -29,30 +29,49 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a folder of our own in local mode, and an error on a cluster, whose machines share none.
+    """
     context = spark.sparkContext
-    own = getattr(context, "_lumenvault_dir", None)
-    if own is None:
-        own = context._lumenvault_dir = tempfile.mkdtemp(prefix="lumenvault-")
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(own)
-    return f"file://{own}"
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenvault-"))
+        found = context.getCheckpointDir()
+    return f"{found.rstrip('/')}/lumenvault-{context.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cut lineage that survives lost executors."""
+    """`df` as a Parquet table in the shared folder: cut lineage that survives lost executors.
+
+    All tables of an application lie in one folder, to be removed when it has ended; discard() removes one before.
+    """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written() tables that nothing still to run reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with `value` computed once, however often `make` names it and wherever a filter moves it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def slices(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """Runs of whole texts of about SLICE_BYTES; a longer text is a run of its own. Null is ""."""
     run, held = [], 0
@@ -71,11 +90,13 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], build:
     """`df` with `fields` computed from the string column `text`, an Arrow batch at a time.
 
     build() runs once a task and returns a function from a list of texts (null is "") to a list of
-    rows (tuples in the order of `fields`). Other columns pass through untouched.
+    rows (tuples in the order of `fields`). Other columns pass through untouched; one of the name of
+    a field (in any case) is replaced by it.
     """
     ship(df.sparkSession)
     at = df.columns.index(text)
-    names = df.columns + [f.name for f in fields]
+    own = [f"__made_{k}" for k in range(len(fields))]
+    names = df.columns + own
     kinds = [_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +106,13 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], build:
             for part in slices(x.as_py() for x in batch.column(at)):
                 rows = work(part)
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                own = batch.slice(done, len(part))
+                given = batch.slice(done, len(part))
                 done += len(part)
-                yield pa.RecordBatch.from_arrays([*own.columns, *made], names=names)
+                yield pa.RecordBatch.from_arrays([*given.columns, *made], names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    made = df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(own, fields))]))
+    new = {f.name.lower() for f in fields}
+    return made.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new], *[F.col(n).alias(f.name) for n, f in zip(own, fields)])
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -98,28 +121,26 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected `edges` (a, b): the smallest node it reaches.
 
-    Alternates large-star and small-star steps, so a chain of n nodes takes about log n rounds. The
-    smallest neighbour of a node comes from a partial aggregate and its join reads written tables,
-    so a hub can be split by adaptive execution.
+    Alternates large-star and small-star steps until nothing changes, so a chain of n nodes takes about
+    log n rounds. The smallest neighbour of a node comes from a partial aggregate and its join reads written
+    tables, so a hub can be split by adaptive execution. A round's tables are removed when the next is written.
     """
-    spark = edges.sparkSession
     now = written(edges.select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).where("big <> small").distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen = state
+        seen, old = state, now
         both = now.select(F.col("big").alias("u"), F.col("small").alias("v")).unionByName(now.select(F.col("small").alias("u"), F.col("big").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("big"), F.col("m").alias("small")).where("big <> small").distinct())
-        least = written(large.groupBy("big").agg(F.min("small").alias("m")))
-        star = large.join(least, "big").select(F.col("small").alias("big"), F.col("m").alias("small")).unionByName(least.select("big", F.col("m").alias("small")))
+        lowest = written(large.groupBy("big").agg(F.min("small").alias("m")))
+        star = large.join(lowest, "big").select(F.col("small").alias("big"), F.col("m").alias("small")).unionByName(lowest.select("big", F.col("m").alias("small")))
         now = written(star.where("big <> small").distinct())
-    else:
-        raise RuntimeError("components did not converge")
+        discard(old, least, large, lowest)
     roots = now.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct()
     return now.select(F.col("big").alias("node"), F.col("small").alias("component")).unionByName(roots)

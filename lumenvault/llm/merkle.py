@@ -7,15 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 #: A section ends with a blank line, a paragraph with its line, a phrase with its sentence or after eight words.
 #: The pieces of each level, put together, give the text again.
 SECTION = r"(?s).+?(?:\n\n+|\z)"
 PARAGRAPH = r"[^\n]*\n+|[^\n]+"
 PHRASE = r"(?:[^ \t\r\n]*[^ \t\r\n.!?][ \t\r\n]+){0,7}(?:[^ \t\r\n]+[ \t\r\n]*|[ \t\r\n]+)"
 LEAF = r"\.([0-9a-f]{12})"
-#: Documents that are put in order together, and most such buckets (their bounds go to the driver).
+#: Documents that are put in order together, and key ranges at most (their bounds go to the driver). Beyond
+#: BUCKET_ROWS * MOST_BUCKETS documents the ranges grow; each is sorted by Spark, which spills, so results are the same.
 BUCKET_ROWS = 1024
-MOST_BUCKETS = 100_000
+MOST_BUCKETS = 4096
 
 
 def tree(text: Column) -> Column:
@@ -36,7 +39,10 @@ def written_tree(sections: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """`df` with the fingerprint of a string column. Null counts as empty. Equal texts and only those share a root."""
+    """`df` with the fingerprint of a string column. Null counts as empty. Equal texts and only those share a root.
+
+    A column of the name `out` is replaced; others pass through.
+    """
     return df.withColumn("__tree", tree(F.coalesce(F.col(text), F.lit("")))).withColumn(out, written_tree(F.col("__tree"))).drop("__tree")
 
 
@@ -53,13 +59,61 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * both / total)
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Where two fingerprints differ: (section, paragraph) numbers of `b` whose digests `a` lacks, found by descending only into sections that differ."""
-    split = lambda x: [(s.split(";")[0], [p.split(".")[0] for p in s.split(";")[1:]]) for s in x.split("/")[1:]]
-    if a[:64] == b[:64]:
-        return []
-    sections, held = {s for s, _ in split(a)}, {p for _, ps in split(a) for p in ps}
-    return [(i, j) for i, (s, ps) in enumerate(split(b)) if s not in sections for j, p in enumerate(ps) if p not in held]
+def _level(a: Column, b: Column, deeper, place):
+    """Compares two arrays of subtrees: without a common head and tail of equal ones, what is left was changed.
+
+    One subtree left on each side: deeper(i, x, y) looks into it; else place(i, removed, added) says where.
+    """
+    least = F.least(F.size(a), F.size(b))
+    unlike = lambda i: F.get(a, i) != F.get(b, i)
+    heads = F.sequence(F.lit(0), least - 1)
+    head = F.when(least == 0, 0).otherwise(F.coalesce(F.get(F.filter(heads, unlike), F.lit(0)), least))
+
+    def from_head(i: Column) -> Column:
+        tails = F.sequence(F.lit(0), least - i - 1)
+        apart = F.filter(tails, lambda k: F.get(a, F.size(a) - 1 - k) != F.get(b, F.size(b) - 1 - k))
+        tail = F.when(least == i, 0).otherwise(F.coalesce(F.get(apart, F.lit(0)), least - i))
+
+        def judged(k: Column) -> Column:
+            removed, added = F.size(a) - i - k, F.size(b) - i - k
+            here = place(i, removed, added)
+            return here if deeper is None else F.when((removed == 1) & (added == 1), deeper(i, F.get(a, i), F.get(b, i))).otherwise(here)
+
+        return bound(tail, judged)
+
+    return bound(head, from_head)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Where fingerprint `b` differs from `a`: struct (level, section, paragraph, phrase, removed, added), null if they are equal.
+
+    Equal roots end the search; else it descends by digests as long as one branch alone differs, and names the
+    first changed child there and how many children of `a` gave way to how many of `b`: removals have added 0,
+    insertions removed 0. Numbers start at 0 and are null below the level named.
+    """
+    children = lambda x, sign: F.slice(F.split(x, sign), F.lit(2), F.size(F.split(x, sign)))
+    none = F.lit(None).cast("int")
+
+    def named(level: str, section: Column, paragraph: Column, phrase: Column, removed: Column, added: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), section.cast("int").alias("section"), paragraph.cast("int").alias("paragraph"), phrase.cast("int").alias("phrase"), removed.cast("int").alias("removed"), added.cast("int").alias("added"))
+
+    def in_paragraph(s: Column, p: Column, x: Column, y: Column) -> Column:
+        return _both(children(x, r"\."), children(y, r"\."), lambda xs, ys: _level(xs, ys, None, lambda i, r, n: named("phrase", s, p, i, r, n)))
+
+    def in_section(s: Column, x: Column, y: Column) -> Column:
+        return _both(children(x, ";"), children(y, ";"), lambda xs, ys: _level(xs, ys, lambda p, u, v: in_paragraph(s, p, u, v), lambda i, r, n: named("paragraph", s, i, none, r, n)))
+
+    whole = _both(children(a, "/"), children(b, "/"), lambda xs, ys: _level(xs, ys, in_section, lambda i, r, n: named("section", i, none, none, r, n)))
+    return F.when(F.substring(a, 1, 64) != F.substring(b, 1, 64), whole)
+
+
+def written_place(place: Column) -> Column:
+    text = lambda x: F.concat_ws(":", x["level"], x["section"].cast("string"), x["paragraph"].cast("string"), x["phrase"].cast("string"))
+    return bound(place, lambda x: F.coalesce(F.concat(text(x), F.lit("-"), x["removed"].cast("string"), F.lit("+"), x["added"].cast("string")), F.lit("")))
+
+
+def _both(x: Column, y: Column, make) -> Column:
+    return bound(x, lambda xs: bound(y, lambda ys: make(xs, ys)))
 
 
 def bounds(docs: DataFrame, key: str) -> list[int]:
@@ -100,9 +154,9 @@ def with_next(docs: DataFrame, key: str, columns: list[str], order: list[Column]
 
 
 def edited_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Fingerprints of every document and its edited text, with likenesses (see op5).
+    """Fingerprints of every document and its edited text, with likenesses (see op5), and in edit_at the place of the edit.
 
-    A null text is empty. A null key orders as the least BIGINT. Rows that share a key follow one
+    edit_at is written as level:section:paragraph:phrase-removed+added of differing(), '' for equal texts. A null text is empty. A null key orders as the least BIGINT. Rows that share a key follow one
     another by their text. A lone document is followed by itself.
     """
     rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -117,5 +171,5 @@ def edited_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     own = F.col("__l_fingerprint")
     return found.select(
         F.col("__id").alias(key), "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(own, F.col("__l_edited_fingerprint")).alias("near_edited"), likeness(own, F.col("__l_next_fingerprint")).alias("near_next"),
+        likeness(own, F.col("__l_edited_fingerprint")).alias("near_edited"), likeness(own, F.col("__l_next_fingerprint")).alias("near_next"), written_place(differing(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("edit_at"),
     )

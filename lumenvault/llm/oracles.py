@@ -36,14 +36,29 @@ def _like(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
 
 
+def _edit(level: str, a: str, b: str) -> str:
+    """Columns i, r, n of `level`: length of the common head of lists a and b, and what is left of each without their common tail."""
+    least = f"least(len({a}), len({b}))"
+    i = f"coalesce(list_min(list_filter(range(0, {least}), lambda q: {a}[q + 1] <> {b}[q + 1])), {least})"
+    k = f"coalesce(list_min(list_filter(range(0, {least} - {i}), lambda q: {a}[len({a}) - q] <> {b}[len({b}) - q])), {least} - {i})"
+    return f"{i} AS i{level}, len({a}) - {i} - {k} AS r{level}, len({b}) - {i} - {k} AS n{level}"
+
+
+_STEPS = f"""e1 AS MATERIALIZED (SELECT *, {_edit('1', 'a1', 'b1')} FROM (SELECT *, string_split(fa, '/')[2:] AS a1, string_split(fb, '/')[2:] AS b1 FROM g) q),
+e2 AS MATERIALIZED (SELECT *, {_edit('2', 'a2', 'b2')} FROM (SELECT *, string_split(a1[i1 + 1], ';')[2:] AS a2, string_split(b1[i1 + 1], ';')[2:] AS b2 FROM e1) q),
+e3 AS MATERIALIZED (SELECT *, {_edit('3', 'a3', 'b3')} FROM (SELECT *, string_split(a2[i2 + 1], '.')[2:] AS a3, string_split(b2[i2 + 1], '.')[2:] AS b3 FROM e2) q),
+e AS MATERIALIZED (SELECT doc_id, CASE WHEN left(fa, 64) = left(fb, 64) THEN '' WHEN r1 <> 1 OR n1 <> 1 THEN 'section:' || i1 || '-' || r1 || '+' || n1
+ WHEN r2 <> 1 OR n2 <> 1 THEN 'paragraph:' || i1 || ':' || i2 || '-' || r2 || '+' || n2 ELSE 'phrase:' || i1 || ':' || i2 || ':' || i3 || '-' || r3 || '+' || n3 END AS edit_at FROM e3)"""
+
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
-e AS (SELECT doc_id, t, n, left(t, n - n // 2) || left(coalesce(lead(t) OVER w, first_value(t) OVER w), n // 2) AS x FROM d WINDOW w AS (ORDER BY doc_id DESC)),
-f AS MATERIALIZED (SELECT doc_id, n, sha256(x) AS edited_sha256, {_tree('t')} AS a, {_tree('x')} AS b FROM e),
+x AS (SELECT doc_id, t, n, left(t, n - n // 2) || left(coalesce(lead(t) OVER w, first_value(t) OVER w), n // 2) AS x FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+f AS MATERIALIZED (SELECT doc_id, n, sha256(x) AS edited_sha256, {_tree('t')} AS a, {_tree('x')} AS b FROM x),
 g AS MATERIALIZED (SELECT doc_id, n, edited_sha256, {_print('a')} AS fa, {_print('b')} AS fb FROM f),
-h AS MATERIALIZED (SELECT *, {_leaves('fa')} AS la, {_leaves('fb')} AS lb FROM g),
+{_STEPS},
+h AS MATERIALIZED (SELECT g.*, edit_at, {_leaves('fa')} AS la, {_leaves('fb')} AS lb FROM g JOIN e USING (doc_id)),
 k AS (SELECT *, coalesce(lead(la) OVER w, first_value(la) OVER w) AS ln FROM h WINDOW w AS (ORDER BY doc_id DESC))
-SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like('la', 'lb')} AS near_edited, {_like('la', 'ln')} AS near_next FROM k
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like('la', 'lb')} AS near_edited, {_like('la', 'ln')} AS near_next, edit_at FROM k
 """
 
 OP10 = """

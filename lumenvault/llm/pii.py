@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 #: Elements of an array that are summed up at a time.
 RUN = 256
 #: Score from which a span of an added kind counts.
@@ -25,13 +27,14 @@ IBAN_LENGTHS = {
 class Kind:
     """pattern: as the contract or format has it, written so that Java's matcher neither recurses nor
     rescans (possessive loops; a start inside a run only right after the match before). prior: score of
-    a span that passes `valid`; context: words (as a pattern) that raise it by `lift`; base: kept whatever the score.
+    a span that passes `valid`; context: words (as a pattern) that raise it by `lift`; shortest: least length of a match; base: kept whatever the score.
     """
 
     name: str
     pattern: str
     prior: float
     context: str
+    shortest: int
     lift: float = 0.3
     base: bool = True
 
@@ -45,12 +48,12 @@ def _iban() -> str:
 
 #: Fixed formats and context words, in the order in which kinds are listed.
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact|write"),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, r"card|visa|credit|payment"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"phone|call|tel|mobile"),
-    Kind("iban", _iban(), 0.8, r"iban|account|bank", base=False),
-    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, r"ssn|social security", base=False),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact|write", 5),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server", 7),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, r"card|visa|credit|payment", 2),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"phone|call|tel|mobile", 4),
+    Kind("iban", _iban(), 0.8, r"iban|account|bank", 15, base=False),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.5, r"ssn|social security", 11, base=False),
 )
 
 
@@ -97,21 +100,26 @@ def _valid_span(kind: Kind):
     return lambda s: valid(kind.name, s["m"])
 
 
-def _scored_span(rank: int, kind: Kind):
-    """From a struct (start, end, m, before) to a span; `before` is the text in front of the match."""
+def score_of(kind: Kind, before: Column) -> Column:
+    """The score of a valid match: its prior, lifted if the CONTEXT characters in front of it hold a context word."""
+    lift = F.when(F.lower(F.right(before, F.lit(CONTEXT))).rlike(kind.context), F.lit(kind.lift)).otherwise(F.lit(0.0))
+    return F.least(F.lit(kind.prior) + lift, F.lit(1.0))
+
+
+def _scored_span(rank: int, kind: Kind, before):
+    """From a struct (start, end, m, i) to a span; before(i) gives the text in front of match i."""
 
     def scored(s):
-        score = F.lit(kind.prior) + F.when(F.lower(F.right(s["before"], F.lit(CONTEXT))).rlike(kind.context), F.lit(kind.lift)).otherwise(F.lit(0.0))
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), F.lit(kind.base).alias("base"), F.least(score, F.lit(1.0)).alias("score"))
+        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), F.lit(kind.base).alias("base"), score_of(kind, before(s["i"])).alias("score"))
 
     return scored
 
 
-def _before(gaps: Column, matches: Column):
-    """From a match's number to the text in front of it: its gap and the four matches before with theirs, as
-    matches of added kinds have 11 characters or more, so that four reach over CONTEXT."""
+def _before(kind: Kind, gaps: Column, matches: Column):
+    """From a match's number to the text in front of it: its gap and as many matches before, with their gaps, as reach over CONTEXT."""
     end = lambda xs, i: F.coalesce(F.right(F.get(xs, i), F.lit(CONTEXT)), F.lit(""))
-    return lambda i: F.concat(*(x for k in range(4, 0, -1) for x in (end(gaps, i - k), end(matches, i - k))), end(gaps, i))
+    back = -(-CONTEXT // kind.shortest)
+    return lambda i: F.concat(*(x for k in range(back, 0, -1) for x in (end(gaps, i - k), end(matches, i - k))), end(gaps, i))
 
 
 def _of_kind(name: str):
@@ -123,9 +131,9 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Positions are code points, the end exclusive. Matches of a kind are the leftmost that do not
     overlap; those that fail validation are dropped without another try. A null text is empty and has
-    no spans. Other columns pass through.
+    no spans. Other columns pass through; a column `spans` is replaced. Repeated rows get their spans each.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c.lower() != "spans"]
     df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     for kind in KINDS:
         df = df.withColumn(f"__m_{kind.name}", F.regexp_extract_all("__t", F.lit(kind.pattern), F.lit(0)))
@@ -140,13 +148,12 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn(f"__l_{kind.name}", F.transform(m, lambda x: F.length(x).cast("long")))
         df = df.withColumn(f"__b_{kind.name}", F.when(F.size(m) > 0, running(F.col(f"__l_{kind.name}"))).otherwise(F.array().cast(long)))
         a, b, lengths = F.col(f"__a_{kind.name}"), F.col(f"__b_{kind.name}"), F.col(f"__l_{kind.name}")
-        g = f"__g_{kind.name}"
-        before = _before(F.col(g), m) if not kind.base else lambda i: F.get(F.col(g), i)
-        found = F.transform(m, lambda x, i: F.struct((F.get(a, i) + F.get(b, i) - F.get(lengths, i)).alias("start"), (F.get(a, i) + F.get(b, i)).alias("end"), x.alias("m"), before(i).alias("before")))
+        found = F.transform(m, lambda x, i: F.struct((F.get(a, i) + F.get(b, i) - F.get(lengths, i)).alias("start"), (F.get(a, i) + F.get(b, i)).alias("end"), x.alias("m"), i.alias("i")))
         df = df.withColumn(at, F.when(F.size(m) > 0, F.filter(found, _valid_span(kind))))
     made = []
     for rank, kind in enumerate(KINDS):
-        own = F.transform(F.col(f"__p_{kind.name}"), _scored_span(rank, kind))
+        before = _before(kind, F.col(f"__g_{kind.name}"), F.col(f"__m_{kind.name}"))
+        own = F.transform(F.col(f"__p_{kind.name}"), _scored_span(rank, kind, before))
         if not kind.base:
             own = F.filter(own, lambda s: s["score"] >= ACCEPT)
         made.append(F.coalesce(F.when(F.size(f"__p_{kind.name}") > 0, own), none))
@@ -158,37 +165,44 @@ def written_out(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of `docs`: key, the number of spans of each base kind, base_sha256 and spans as text."""
+    """Per row of `docs`: key, the number of spans of each base kind, base_sha256 and spans as text.
+
+    A null text is empty. Repeated rows and null keys keep their rows; other columns play no part. An empty
+    table gives an empty result.
+    """
     found = spans(docs.select(key, text), text)
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter("spans", _of_kind(k.name))).cast("long").alias(f"n_{k.name}") for k in KINDS if k.base]
     return found.select(key, *counts, F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
 
 
-def _bound(value: Column, make) -> Column:
-    """make(value) with `value` computed once, however often `make` names it and wherever a filter moves it."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
-
-
 def _without_kind(kind: Kind, text: Column) -> Column:
     def joined(t: Column, m: Column) -> Column:
-        sure = (lambda x: t.rlike("(?i)" + kind.context)) if kind.name == "ssn" else (lambda x: valid(kind.name, x))
-        shown = F.transform(m, lambda x: F.when(sure(x), F.lit(f"[{kind.name.upper()}]")).otherwise(x))
-        return F.array_join(F.zip_with(F.split(t, kind.pattern, -1), F.concat(shown, F.array(F.lit(""))), lambda g, x: F.concat(g, x)), "")
+        def shown(gaps: Column) -> Column:
+            before = _before(kind, gaps, m)
+
+            def one(x: Column, i: Column) -> Column:
+                sure = valid(kind.name, x) if kind.base else valid(kind.name, x) & (score_of(kind, before(i)) >= ACCEPT)
+                return F.when(sure, F.lit(f"[{kind.name.upper()}]")).otherwise(x)
+
+            return F.array_join(F.zip_with(gaps, F.concat(F.transform(m, one), F.array(F.lit(""))), lambda g, x: F.concat(g, x)), "")
+
+        return bound(F.split(t, kind.pattern, -1), shown)
 
     def replaced(t: Column) -> Column:
-        return _bound(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, joined(t, m)).otherwise(t))
+        return bound(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, joined(t, m)).otherwise(t))
 
-    return _bound(text, replaced)
+    return bound(text, replaced)
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with each valid match in `text` replaced by its kind in brackets, kind after kind.
+    """`docs` with each span that spans() finds in `text` replaced by its kind in brackets.
 
-    Added kinds are replaced if they pass their checksum, or for those without one if the text names
-    the kind. A null text stays null.
+    Added kinds go first, those that context decides before the others, so all are judged on the text as given;
+    then base kinds, one after the other, over what is left. A null text stays null, repeated rows stay, other
+    columns pass through.
     """
     out = F.col(text)
-    for kind in KINDS:
+    for kind in sorted(KINDS, key=lambda k: (k.base, k.prior >= ACCEPT)):
         out = _without_kind(kind, out)
-    return docs.withColumn(text, F.when(F.col(text).isNotNull(), out)).select(*docs.columns)
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), out))

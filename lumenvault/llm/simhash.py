@@ -35,7 +35,7 @@ def simhash(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
-    """`docs` with `fp`: the fingerprint's 64 bits as a BIGINT. A null text has no words."""
+    """`docs` with `fp`: the fingerprint's 64 bits as a BIGINT. A null text has no words; an `fp` of `docs` is replaced."""
 
     def build():
         return lambda texts: [(fp - (1 << 64) if fp >> 63 else fp,) for fp in (simhash(t, words) for t in texts)]
@@ -49,7 +49,7 @@ def _ball(word, bits: int, offset: int):
 
 
 def links(fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (rep, fp) that connect all those at distance 4 or less.
+    """Edges (a, b) between distinct fingerprints (fp) that connect all those at distance 4 or less.
 
     With distance 4 or less, the high halves differ in at most 2 bits or the low halves in at most 1.
     High halves: both sides list the one-bit ball, so halves 2 apart meet at a midpoint. Low halves:
@@ -59,54 +59,64 @@ def links(fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     whole fingerprint, and members that share such a value (so are within 4) link to its smallest.
     """
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    top = fps.select("rep", "fp", F.lit(0).alias("seg"), F.inline(_ball(high, 32, 0)))
-    probe = fps.select("rep", "fp", F.lit(1).alias("seg"), F.inline(_ball(low, 32, 0)))
-    held = fps.select("rep", "fp", F.lit(1).alias("seg"), F.lit(-1).alias("flip"), low.alias("key"))
+    top = fps.select("fp", F.lit(0).alias("seg"), F.inline(_ball(high, 32, 0)))
+    probe = fps.select("fp", F.lit(1).alias("seg"), F.inline(_ball(low, 32, 0)))
+    held = fps.select("fp", F.lit(1).alias("seg"), F.lit(-1).alias("flip"), low.alias("key"))
     left, right = top.unionByName(probe), top.unionByName(held)
     full = written(right.groupBy("seg", "key").count().where(F.col("count") > hot).select("seg", "key"))
     many = full.limit(1).count()
     if many:
-        members = right.join(full, ["seg", "key"], "left_semi").select("rep", "fp").unionByName(left.join(full, ["seg", "key"], "left_semi").select("rep", "fp")).distinct()
+        members = right.join(full, ["seg", "key"], "left_semi").select("fp").unionByName(left.join(full, ["seg", "key"], "left_semi").select("fp")).distinct()
         left, right = (x.join(full, ["seg", "key"], "left_anti") for x in (left, right))
-    x, y = left.select("seg", "key", F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("flip").alias("ia")), right.select("seg", "key", F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("flip").alias("ib"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 4
+    x, y = left.select("seg", "key", F.col("fp").alias("a"), F.col("flip").alias("ia")), right.select("seg", "key", F.col("fp").alias("b"), F.col("flip").alias("ib"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4
     once = ((F.col("x.seg") == 0) & (F.col("a") < F.col("b")) & ((F.col("ia") < F.col("ib")) | ((F.col("ia") == -1) & (F.col("ib") == -1)))) | ((F.col("x.seg") == 1) & (F.col("a") != F.col("b")) & ((F.col("ia") >= 0) | (F.col("a") < F.col("b"))))
     edges = x.alias("x").join(y.alias("y"), (F.col("x.seg") == F.col("y.seg")) & (F.col("x.key") == F.col("y.key")) & once & near).select("a", "b")
     return edges.unionByName(midpoint_links(written(members))) if many else edges
 
 
 def midpoint_links(members: DataFrame) -> DataFrame:
-    """Star edges (a, b) that connect all `members` (rep, fp) at distance 4 or less, without listing pairs."""
+    """Star edges (a, b) that connect all `members` (fp) at distance 4 or less, without listing pairs."""
     one = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j))
     masks = F.concat(F.array(F.lit(0).cast("long")), one, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), i).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))))
-    near = members.select("rep", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
-    least = written(near.groupBy("mid").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a"))
-    return near.join(least, "mid").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    near = members.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
+    least = written(near.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a"))
+    return near.join(least, "mid").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def row_key(key: str, text: str):
-    """The key, or for a null key a number from 2^62 upward made from the text."""
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1)))
+def _classes(fps: DataFrame, hot: int) -> DataFrame:
+    """(fp, class) of every row of `fps`: the least fingerprint that each one reaches."""
+    groups = components(links(fps, hot)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
+    return written(fps.select("fp").join(groups, "fp", "left").select("fp", F.coalesce("class", "fp").alias("class")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_BUCKET) -> DataFrame:
     """(key, fp, component_id) for every row of `docs`; component_id is the smallest key reachable.
 
     Copies share a fingerprint, so links are sought between distinct fingerprints only. A null text
-    has no words and the fingerprint 0; empty texts link like any other. A null key is replaced as in
-    row_key, so it names a group only if the group has no other key. Repeated rows each keep their
-    row. Other columns play no part. An empty table gives an empty result.
+    has no words and the fingerprint 0; empty texts link like any other. A null key stays null and names
+    no group: component_id is null where all keys of a group are. Repeated rows each keep their row.
+    Other columns play no part. An empty table gives an empty result.
     """
-    rows = docs.select(row_key(key, text).alias(key), F.col(text).alias("text"))
-    marked = written(fingerprints(rows).select(key, "fp"))
-    fps = written(marked.groupBy("fp").agg(F.min(key).alias("rep")))
-    groups = components(links(fps, hot)).select(F.col("node").alias("rep"), "component")
-    named = written(fps.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
+    marked = written(fingerprints(rows, "__text").select("__id", "fp"))
+    fps = written(marked.groupBy("fp").agg(F.min("__id").alias("least")))
+    classes = _classes(fps, hot)
+    names = classes.join(fps, "fp").groupBy("class").agg(F.min("least").alias("component_id"))
+    named = written(classes.join(names, "class").select("fp", "component_id"))
+    return marked.join(named, "fp").select(F.col("__id").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_BUCKET) -> DataFrame:
-    """The documents that name their group: one of each. Rows that repeat a key count as one document."""
-    stay = written(near_duplicates(docs, text, key, hot).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__k")).distinct())
-    kept = docs.withColumn("__k", row_key(key, text)).join(stay, "__k", "left_semi")
-    return kept.dropDuplicates(["__k"]).select(*docs.columns)
+    """One document of each near-duplicate group: that of the least key, and of the least text hash among rows that share it.
+
+    Unlike texts under one key are documents of their own, so none is lost. A null key orders after all
+    others. Rows that agree in key and text are one document, of which any row stays.
+    """
+    of = lambda c: (F.col(key).isNull().alias("__null"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("__k"), F.xxhash64(F.coalesce(F.col(c), F.lit(""))).alias("__th"))
+    rows = docs.select(*of(text), F.col(text).alias("__text"))
+    marked = written(fingerprints(rows, "__text").select("__null", "__k", "__th", "fp"))
+    first = written(marked.groupBy("fp").agg(F.min(F.struct("__null", "__k", "__th")).alias("first")))
+    stay = written(_classes(first, hot).join(first, "fp").groupBy("class").agg(F.min("first").alias("first")).select("first.*"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *of(text)).join(stay, ["__null", "__k", "__th"], "left_semi")
+    return kept.dropDuplicates(["__null", "__k", "__th"]).select(*[f"`{c}`" for c in docs.columns])

@@ -6,17 +6,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ship, slices, table  # noqa: F401
-from .simhash import row_key
+from .common import ship
 
 #: Rows are told apart by these two numbers; rows that agree in key and text share them and their result.
 KEYS = ("__k", "__th")
 
 
+def row_key(key: str, text: str):
+    """The key, or for a null key a number from 2^62 upward made from the text."""
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1)))
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(__k, __th, key, text): the row's key and a hash of its text; a null text is empty."""
     clean = F.coalesce(F.col(text), F.lit(""))
@@ -85,17 +89,18 @@ def kept_text(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def unions(intervals: DataFrame) -> DataFrame:
     """(__k, __th, spans) from rows (__k, __th, s, e): the maximal runs of each document's intervals.
 
-    Intervals of a document lie in one row only as far as its own text is long.
+    Intervals of a document lie in one row only as far as its own text is long; they are merged in one pass.
     """
-    zero = F.struct(F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"), F.lit(-1).cast("bigint").alias("s"), F.lit(-1).cast("bigint").alias("e"))
-
-    def step(z: Column, x: Column) -> Column:
-        touches = x["s"] <= z["e"]
-        return F.struct(
-            F.when(touches | (z["e"] < 0), z["out"]).otherwise(F.concat(z["out"], F.array(F.struct(z["s"].alias("s"), z["e"].alias("e"))))).alias("out"),
-            F.when(touches, z["s"]).otherwise(x["s"]).alias("s"),
-            F.when(touches, F.greatest(z["e"], x["e"])).otherwise(x["e"]).alias("e"),
-        )
-
-    grouped = intervals.groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("all"))
-    return grouped.select(*KEYS, F.aggregate("all", zero, step, lambda z: F.concat(z["out"], F.array(F.struct(z["s"].alias("s"), z["e"].alias("e"))))).alias("spans"))
+    ship(intervals.sparkSession)
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.column(2):
+                s, e = merged(*(np.asarray(row.values.field(n)) for n in ("s", "e")))
+                out.append([{"s": x, "e": y} for x, y in zip(s.tolist(), e.tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["__k", "__th", "spans"])
+
+    grouped = intervals.groupBy(*KEYS).agg(F.collect_set(F.struct("s", "e")).alias("all"))
+    return grouped.mapInArrow(run, "__k long, __th long, spans array<struct<s:bigint,e:bigint>>")

@@ -32,9 +32,9 @@ def stated(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """The distinct tokens of a url: scheme, top-level domain, registered name, other labels, all path folders but numbers, and query names."""
+    """The distinct tokens of a url: top-level domain, registered name, other labels, all path folders (numbers as `#`), and query names."""
     labels = F.split(host, r"\.")
-    folders = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+    folders = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), "#").otherwise(x))
     names = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("query:"), x))
     parts = F.concat(
         F.array(F.concat(F.lit("tld:"), F.substring_index(host, ".", -1)), F.concat(F.lit("site:"), F.substring_index(host, ".", -2))),
@@ -63,15 +63,14 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     return rules.join(beaten, ["rule_tokens", "verdict"], "left_anti")
 
 
-def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, mined, mined_rule) of the distinct token sets of `pages`: the best rule of an inverted index.
+def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(tokens, mined, mined_rule) of the distinct arrays in column `tokens` of `sets`: the best rule of an inverted index.
 
     The index lists each rule under its first token; rules met there are verified as a whole. Best is
     the highest confidence, then support, then fewest tokens, then the text of the rule.
     """
-    sets = pages.select("tokens").distinct()
     index = rules.select(F.get("rule_tokens", F.lit(0)).alias("t"), "rule_tokens", "verdict", "confidence", "support")
-    met = sets.select("tokens", F.explode("tokens").alias("t")).join(index, "t").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    met = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("t")).join(index, "t").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     best = F.max(F.struct("confidence", "support", (-F.size("rule_tokens")).alias("short"), F.array_join("rule_tokens", "+").alias("rule"), "verdict")).alias("best")
     return met.groupBy("tokens").agg(best).select("tokens", F.col("best.verdict").alias("mined"), F.col("best.rule").alias("mined_rule"))
 
@@ -81,13 +80,16 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame
 
     A null url or one without `://` has an empty host and path, so no stated rule fits and its tokens
     are those of an empty host. Repeated rows and null keys keep their rows. Without labelled urls all
-    others get OTHERWISE.
+    others get OTHERWISE. Other columns play no part. An empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key), F.col(url).alias("__url"), host.alias("host"), path.alias("path"))
     rule, verdict = stated(F.col("host"), F.col("path"))
     rows = rows.select(key, "host", "path", rule.alias("rule"), verdict.alias("__stated"), tokens(F.col("__url"), F.col("host"), F.col("path")).alias("tokens"))
     rules = written(mine(rows.where("rule is not null").select("tokens", F.col("__stated").alias("label"))))
+    # a token of a rule is in MIN_SUPPORT of all labelled urls, so there are at most 1 / MIN_SUPPORT times the tokens of a url
+    known = [r.t for r in rules.select(F.explode("rule_tokens").alias("t")).distinct().collect()]
+    rows = rows.withColumn("tokens", F.filter("tokens", lambda x: x.isin(known)))
     found = written(match(rows.where("rule is null"), rules))
     out = rows.join(found, "tokens", "left")
     return out.select(key, "host", "path", "rule", F.coalesce("__stated", "mined", F.lit(OTHERWISE)).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined_rule")).alias("mined_rule"))
