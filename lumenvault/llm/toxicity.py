@@ -115,23 +115,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         p = one / (one + zero) if one + zero else 0.5
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((p + 1e-3) / (1 - p + 1e-3))))
     r = ratios(rows, zero, one)
-    held = spark.sparkContext.broadcast(r)  # 2**BITS doubles: 2 MB
+    kept = np.flatnonzero(r)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    held = spark.sparkContext.broadcast((place, r[kept]))  # 3 MB at most
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, scale = np.zeros(1 << BITS, np.int32), held.value
+        mark, (at, scale) = np.zeros(1 << BITS, np.int32), held.value
         for batch in batches:
-            found = [np.sort(x[scale[x] != 0]) for x in (features(t.as_py(), mark) for t in batch.column(0))]
+            found = [np.sort(x[x >= 0]) for x in (at[features(t.as_py(), mark)] for t in batch.column(0))]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.empty(0, np.int32)
             n = len(found)
             ids, values = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat, scale[flat]))
             # a sparse vector: kind 0, size, indices, values
-            vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, 1 << BITS, np.int32)), ids, values], names=["type", "size", "indices", "values"])
+            vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, max(1, len(scale)), np.int32)), ids, values], names=["type", "size", "indices", "values"])
             yield pa.RecordBatch.from_arrays([vector, pa.array((np.array(batch.column(1).to_pylist()) > 0).astype(np.float64))], names=["features", "label"])
 
     sample = rows.mapInArrow(vectors, T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())]))
-    fitted = LogisticRegression(regParam=RIDGE / (zero + one), standardization=False, maxIter=200, tol=1e-8).fit(sample)
-    return Model((r * fitted.coefficients.toArray()).astype(np.float32), float(fitted.intercept))
+    fitted = LogisticRegression(regParam=RIDGE / (zero + one), standardization=False, maxIter=100, tol=1e-6).fit(sample)
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[kept] = (r[kept] * fitted.coefficients.toArray()[: len(kept)]).astype(np.float32)
+    return Model(weight, float(fitted.intercept))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
