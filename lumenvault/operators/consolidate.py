@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the shared folder of the session; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenvault-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint()
+from ..sources.shared import cut
 
 
 def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:

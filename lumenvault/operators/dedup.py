@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import survivor_quality
-from ..sources.readers import numbered_first
+from ..sources.readers import first_of_each
 
 
 def with_quality(objects: DataFrame) -> DataFrame:
@@ -28,15 +28,25 @@ def exact_duplicates(objects: DataFrame) -> DataFrame:
 
 
 def distinct_sources(sources: DataFrame, rule) -> DataFrame:
-    """Normalised names, case-insensitively distinct; the first position wins and keeps its case."""
+    """Normalised names, case-insensitively distinct; the first position wins and keeps its case.
+
+    required_sources() refuses a result without rows.
+    """
     named = sources.select("position", rule(F.col("value")).alias("source")).where("source <> ''")
-    first = numbered_first(named.withColumn("folded", F.lower("source")), "folded", ["position"])
+    first = first_of_each(named.withColumn("folded", F.lower("source")), "folded", "position")
     return first.select("position", "source")
 
 
+def required_sources(found: DataFrame) -> DataFrame:
+    """`found`, or an error if it has no rows: a run needs a source."""
+    if not found.limit(1).count():
+        raise ValueError("no valid source")
+    return found
+
+
 def new_keys(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of keys not known yet, the first position of each."""
-    return numbered_first(batch.join(known, "key", "left_anti"), "key", ["position"])
+    return first_of_each(batch.join(known, "key", "left_anti"), "key", "position")
 
 
 def duplicate_keys(rows: DataFrame) -> DataFrame:

@@ -143,7 +143,22 @@ def majority(frames: DataFrame, key: str = "key", h: str = "h", bits: int = 64)
     return counted.select(key, out.alias("majority"))
 
 
+def majority_wide(frames: DataFrame, key: str = "key", h: str = "h256") -> DataFrame:
+    """(key, majority256): as majority(), word by word, for hashes of several 64-bit words."""
+    words = frames.select(key, F.posexplode(h).alias("word", "h"))
+    each = majority(words.select(F.struct(key, "word").alias("kw"), "h"), "kw")
+    return each.groupBy(F.col(f"kw.{key}").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("kw.word", "majority"))), lambda x: x["majority"]).alias("majority256"))
+
+
 def timelines(frames: DataFrame) -> DataFrame:
-    """(key, timeline, majority): hashes in frame order and their majority."""
-    lines = frames.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "h"))), lambda x: x["h"]).alias("timeline"))
-    return lines.join(majority(frames), "key")
+    """(key, timeline, majority, majority256, crop_hashes): hashes in frame order, their majorities, the crops of the first frame."""
+    lines = frames.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "h"))), lambda x: x["h"]).alias("timeline"), F.min_by("crops", "frame_index").alias("crop_hashes"))
+    return lines.join(majority(frames), "key").join(majority_wide(frames), "key").select("key", "timeline", "majority", "majority256", "crop_hashes")
+
+
+def dispatch(extension):
+    """How media of an extension are fingerprinted: still, gif or video; null for others."""
+    from ..functions.rules import CLIP, STILL
+
+    e = F.lower(extension)
+    return F.when(e.isin(*STILL), "still").when(e == "gif", "gif").when(e.isin(*CLIP), "video")

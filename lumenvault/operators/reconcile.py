@@ -53,9 +53,13 @@ def remapped_tags(items: DataFrame, prior: DataFrame, manifest: DataFrame) -> Da
 
 
 def verified(manifest: DataFrame, published: DataFrame, generation: str) -> DataFrame:
-    """Manifest entries with `ok`: listed with the same size, and the same digest and generation where these are given."""
+    """Manifest entries with `ok`: published with the same size, digest and generation.
+
+    An empty expected digest (or generation) is not asked for; a published object without one fails where it is expected.
+    """
     p = published.select(F.col("key").alias("destination_key"), F.col("size").alias("found"), F.col("sha1").alias("found_sha1"), F.col("generation"))
-    ok = (F.col("size") == F.col("found")) & (F.col("found_sha1").isNull() | (F.col("found_sha1") == F.col("sha1"))) & (F.col("generation").isNull() | (F.col("generation") == generation))
+    expected = F.coalesce("sha1", F.lit(""))
+    ok = (F.col("size") == F.col("found")) & ((expected == "") | (F.coalesce("found_sha1", F.lit("")) == expected)) & (F.lit(not generation) | (F.coalesce("generation", F.lit("")) == generation))
     return manifest.join(p, "destination_key", "left").select("source_key", "destination_key", "size", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
@@ -73,6 +77,14 @@ def recovery(manifest: DataFrame, progress: DataFrame, published: DataFrame, gen
     return checked.groupBy(F.when(F.col("ok"), "recognised").otherwise("missing").alias("state")).agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
 
 
+def recovery_shards(manifest: DataFrame, progress: DataFrame, published: DataFrame, generation: str, shards: int) -> DataFrame:
+    """(generation, key, size, shard): the entries of a recovery round, those missing dealt anew by bytes."""
+    from .selection import byte_shards
+
+    missing = verified(unfinished(manifest, progress), published, generation).where("not ok")
+    return byte_shards(missing.select(F.lit(generation).alias("generation"), F.col("source_key").alias("key"), "size"), shards)
+
+
 def cleanup(old_index: DataFrame, new: DataFrame, backlog: DataFrame, protected: DataFrame) -> DataFrame:
     """Keys to delete: of the old index and not of the new, and the backlog, less the protected ones."""
     return old_index.join(new, "key", "left_anti").unionByName(backlog).distinct().join(protected, "key", "left_anti")

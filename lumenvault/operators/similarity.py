@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: Limits and weights of the score rules.
 STILL_PHASH, STILL_H256, CROP_PHASH, CROP_H256, MOVING_PHASH, TIMELINE, LEAST_SCORE = 10, 48, 7, 64, 12, 12.0, 0.76
 LEAST_OVERLAP = 0.60
+#: Fixed texts that say why a pair is an edge.
+SAME_IMAGE, CROP, SAME_MOVING, EXCERPT = "same image after resize or recompression", "convincing crop or reframe", "same moving media after re-encode or resize", "strongly matched moving-media excerpt"
 BANDS, WIDTH = 4, 16
 
 
@@ -42,8 +44,19 @@ def near_hashes(left: DataFrame, right: DataFrame, radius: int, distance: int) -
     return a.join(b, (a.band == b.band) & (a.k == b.k) & (d <= distance)).select("x", "y", d.alias("d")).distinct()
 
 
+def classes(owners: DataFrame, radius: int, distance: int) -> DataFrame:
+    """(key, h, copies, links) of owners (key, h) of one hash each: how many keys share the hash, and how many others
+    are at `distance` or less. Copies are counted, never paired, so a hash of very many keys costs one row a near hash.
+    """
+    sizes = owners.groupBy("h").agg(F.count("*").alias("copies"))
+    near = near_hashes(sizes.select("h"), sizes.select("h"), radius, distance).join(sizes.select(F.col("h").alias("y"), F.col("copies").alias("n")), "y")
+    links = near.groupBy(F.col("x").alias("h")).agg(F.sum("n").alias("links"))
+    return owners.join(sizes.join(links, "h"), "h").select("key", "h", "copies", (F.col("links") - 1).alias("links"))
+
+
 def pairs(left: DataFrame, right: DataFrame, radius: int, distance: int) -> DataFrame:
-    """Pairs (a, b), a < b, of owners with near hashes. left and right: (key, h), a key may have several."""
+    """Pairs (a, b), a < b, of owners with near hashes, all of them; classes() has their number without listing copies.
+    left and right: (key, h), a key may have several."""
     met = near_hashes(left.select("h"), right.select("h"), radius, distance)
     x, y = left.select(F.col("key").alias("kx"), F.col("h").alias("x")), right.select(F.col("key").alias("ky"), F.col("h").alias("y"))
     both = met.join(x, "x").join(y, "y").where("kx <> ky")
@@ -88,7 +101,7 @@ def _bounded(score: Column) -> Column:
 def still_edges(candidates: DataFrame, prints: DataFrame) -> DataFrame:
     both = _with_prints(candidates, prints).where((F.col("l.kind") == 1) & (F.col("p") <= STILL_PHASH) & (F.col("h") <= STILL_H256))
     score = _bounded(1.0 - (0.55 * F.col("p") / 64.0 + 0.45 * F.col("h") / 256.0))
-    return both.select("a", "b", score.alias("score"), F.lit("same image").alias("evidence")).where(F.col("score") >= LEAST_SCORE)
+    return both.select("a", "b", score.alias("score"), F.lit(SAME_IMAGE).alias("evidence")).where(F.col("score") >= LEAST_SCORE)
 
 
 def crop_edges(candidates: DataFrame, prints: DataFrame, still: DataFrame) -> DataFrame:
@@ -98,7 +111,7 @@ def crop_edges(candidates: DataFrame, prints: DataFrame, still: DataFrame) -> Da
     cross = F.flatten(F.transform(l, lambda x: F.transform(r, lambda y: _bits(x, y))))
     c = F.array_min(F.concat(cross, F.transform(r, lambda y: _bits(F.col("l.phash"), y)), F.transform(l, lambda x: _bits(x, F.col("r.phash")))))
     score = _bounded(0.96 - 0.45 * F.col("c") / 64.0 - 0.25 * F.col("h") / 256.0)
-    return both.withColumn("c", c).where(F.col("c") <= CROP_PHASH).select("a", "b", score.alias("score"), F.lit("crop or reframe").alias("evidence")).where(F.col("score") >= LEAST_SCORE)
+    return both.withColumn("c", c).where(F.col("c") <= CROP_PHASH).select("a", "b", score.alias("score"), F.lit(CROP).alias("evidence")).where(F.col("score") >= LEAST_SCORE)
 
 
 def alignment_distance(first: np.ndarray, second: np.ndarray, ratio: float) -> float:
@@ -132,7 +145,7 @@ def moving_edges(candidates: DataFrame, prints: DataFrame) -> DataFrame:
     both = both.withColumn("ratio", ratio).withColumn("t", timeline_distance("l.timeline", "r.timeline", "ratio"))
     good = (F.col("t") <= TIMELINE) & ((F.col("ratio") >= LEAST_OVERLAP) | (F.col("t") <= 0.65 * TIMELINE))
     score = _bounded(1.0 - 0.30 * F.col("p") / 64.0 - 0.25 * F.col("h") / 256.0 - 0.45 * F.col("t") / 64.0)
-    return both.where(good).select("a", "b", score.alias("score"), F.when(F.col("ratio") < 0.9, "excerpt").otherwise("same moving media").alias("evidence")).where(F.col("score") >= LEAST_SCORE)
+    return both.where(good).select("a", "b", score.alias("score"), F.when(F.col("ratio") < 0.9, EXCERPT).otherwise(SAME_MOVING).alias("evidence")).where(F.col("score") >= LEAST_SCORE)
 
 
 def all_edges(prints: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:

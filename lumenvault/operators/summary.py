@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows whose digests are put together at a time.
+DIGEST_ROWS = 100_000
+
 
 def gate(inventory: DataFrame) -> DataFrame:
     """One row: objects, those without a full digest, and whether publication must refuse."""
@@ -27,6 +32,14 @@ def manifest_violations(manifest: DataFrame, generation: str) -> DataFrame:
     )
 
 
+def valid_manifest(manifest: DataFrame, generation: str) -> DataFrame:
+    """`manifest`, or an error if its entries repeat a key or leave the generation's folder."""
+    found = manifest_violations(manifest, generation).first()
+    if found.repeated_sources or found.repeated_destinations or found["foreign"]:
+        raise ValueError(f"invalid manifest: {found.asDict()}")
+    return manifest
+
+
 def shard_totals(plan: DataFrame, shards: int) -> DataFrame:
     """Objects and bytes of every shard, empty ones included."""
     found = plan.groupBy("shard").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
@@ -35,14 +48,19 @@ def shard_totals(plan: DataFrame, shards: int) -> DataFrame:
 
 
 def source_counts(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("source_number").agg(F.count("*").alias("discovered"), F.max("return_code").alias("return_code"), F.bool_and(F.col("return_code") != 0).alias("all_failed"))
+    """Per source: items discovered, return code, whether all its items failed, and `refused`: whether the run staged nothing and no source succeeded."""
+    found = runs.groupBy("source_number").agg(F.count("status").alias("discovered"), F.max("return_code").alias("return_code"), F.bool_and(F.col("return_code") != 0).alias("all_failed"))
+    every = Window.partitionBy(F.lit(0))  # a row for each source
+    return found.withColumn("refused", (F.sum("discovered").over(every) == 0) & F.bool_and("all_failed").over(every))
 
 
 def acquisition(runs: DataFrame) -> DataFrame:
-    """One row of counters over all items of a run."""
+    """One row of counters over all items of a run; a source fails in part by its return code or a failed item, and then the history is rolled back."""
     state = F.col("status")
     count = lambda s: F.count_if(state == s).alias(s)
-    return runs.agg(F.count_distinct("source_number").alias("attempted"), F.count("*").alias("discovered"), *(count(s) for s in ("uploaded", "known", "rejected", "failed")), F.coalesce(F.sum(F.when(state == "uploaded", F.col("bytes"))), F.lit(0)).alias("uploaded_bytes"))
+    bad = F.count_distinct(F.when((F.col("return_code") != 0) | (state == "failed"), F.col("source_number"))).alias("source_partial_failures")
+    found = runs.agg(F.count_distinct("source_number").alias("attempted"), bad, F.count("status").alias("discovered"), F.count_if(state != "rejected").alias("staged"), *(count(s) for s in ("uploaded", "known", "rejected", "failed")), F.coalesce(F.sum(F.when(state == "uploaded", F.col("bytes"))), F.lit(0)).alias("uploaded_bytes"))
+    return found.withColumn("history_rolled_back", F.col("source_partial_failures") > 0)
 
 
 def failing(runs: DataFrame) -> DataFrame:
@@ -53,16 +71,43 @@ def failing(runs: DataFrame) -> DataFrame:
 
 
 def worker_report(plan: DataFrame, progress: DataFrame) -> DataFrame:
-    """Per shard: planned, completed (of the plan), failed and the bytes completed."""
-    latest = progress.groupBy(F.col("key").alias("source_key")).agg(F.bool_or(F.col("outcome") == "completed").alias("done"), F.bool_or(F.col("outcome") == "failed").alias("lost"))
-    done, lost = F.coalesce("done", F.lit(False)), F.coalesce("lost", F.lit(False))
+    """Per shard: planned, planned_bytes, completed (of the plan), uploaded and recognized among these, failed, bytes (completed) and bytes_transferred (uploaded)."""
+    is_done = F.col("outcome") == "completed"
+    latest = progress.groupBy(F.col("key").alias("source_key")).agg(F.bool_or(is_done).alias("done"), F.bool_or(is_done & (F.col("how") == "uploaded")).alias("sent"), F.bool_or(F.col("outcome") == "failed").alias("lost"))
+    done, sent, lost = (F.coalesce(x, F.lit(False)) for x in ("done", "sent", "lost"))
     met = plan.join(latest, "source_key", "left")
-    return met.groupBy("shard").agg(F.count("*").alias("planned"), F.count_if(done).alias("completed"), F.count_if(lost & ~done).alias("failed"), F.coalesce(F.sum(F.when(done, F.col("size"))), F.lit(0)).alias("bytes"))
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0))
+    return met.groupBy("shard").agg(
+        F.count("*").alias("planned"), F.sum("size").alias("planned_bytes"), F.count_if(done).alias("completed"), F.count_if(sent).alias("uploaded"), F.count_if(done & ~sent).alias("recognized"),
+        F.count_if(lost & ~done).alias("failed"), total(done).alias("bytes"), total(sent).alias("bytes_transferred"),
+    )
+
+
+def startup(reconciled: DataFrame, objects: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: inventory, reused and to_compute fingerprints, converged, exact copies beside the first, and candidates waiting for review."""
+    live = reconciled.where("change <> 'gone'")
+    found = live.agg(F.count("*").alias("inventory"), F.count("phash").alias("reused"), F.count_if(F.col("phash").isNull()).alias("to_compute"), F.bool_and(F.col("phash").isNotNull()).alias("converged"))
+    exact = objects.groupBy("sha256").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exact"))
+    return found.join(exact).join(queue.agg(F.count("*").alias("candidates")))  # single rows
+
+
+def canonical_items(objects: DataFrame) -> DataFrame:
+    """(key, item): the JSON of each row of the canonical index, fields in alphabetical order."""
+    return objects.select("key", F.to_json(F.struct("content_type", F.col("extension").alias("ext"), "file_id", "key", "sha1", "size", "upload_timestamp")).alias("item"))
+
+
+def canonical_header(objects: DataFrame) -> DataFrame:
+    """One row: version, number of items and digest of the canonical index."""
+    return digest(objects).select(F.lit(1).alias("version"), F.col("objects").alias("count"), F.col("digest").alias("inventory_digest"))
+
 
+def digest(objects: DataFrame, rows: int = DIGEST_ROWS) -> DataFrame:
+    """Digest of an inventory without a global sort: rows are digested, then buckets of sorted digests, then the sorted bucket digests.
 
-def digest(objects: DataFrame, buckets: int = 256) -> DataFrame:
-    """Digest of an inventory without a global sort: rows are digested, then buckets of sorted digests, then the sorted bucket digests."""
+    Buckets are as many as the table needs (two hexadecimal digits at least) for about `rows` rows each.
+    """
+    digits = max(2, math.ceil(math.log(max(1, objects.count() / rows), 16)))
     line = F.concat_ws("\0", "key", "file_id", F.col("size").cast("string"), "sha1")
-    rows = objects.select(F.sha2(line, 256).alias("d")).select("d", F.substring("d", 1, 2).alias("bucket"))
-    groups = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
+    lines = objects.select(F.sha2(line, 256).alias("d")).select("d", F.substring("d", 1, digits).alias("bucket"))
+    groups = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
     return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("objects"))

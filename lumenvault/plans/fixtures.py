@@ -53,8 +53,8 @@ SELECT 'op-' || CAST(doc_id AS STRING) AS id, key AS target_key, CASE WHEN doc_i
  CASE doc_id % 3 WHEN 0 THEN 'prepared' WHEN 1 THEN 'remote_deleted' ELSE 'unknown' END AS state FROM {objects} o WHERE doc_id % 41 = 0 OR doc_id % 29 = 0""",
     "raw_sources": """
 SELECT page_id AS position, CASE page_id % 6 WHEN 0 THEN name WHEN 1 THEN 'r/' || name WHEN 2 THEN '/r/' || name || '/new'
- WHEN 3 THEN 'https://' || CASE page_id % 4 WHEN 0 THEN 'www.' WHEN 1 THEN 'old.' ELSE '' END || 'reddit.com/r/' || name || '/'
- WHEN 4 THEN url ELSE CASE WHEN page_id % 4 = 1 THEN 'ab' WHEN page_id % 4 = 3 THEN name || '/extra' ELSE 'bad-' || name END END AS value
+ WHEN 3 THEN CASE page_id % 5 WHEN 0 THEN 'HTTPS://' ELSE 'https://' END || CASE page_id % 4 WHEN 0 THEN 'www.' WHEN 1 THEN 'old.' ELSE '' END || 'reddit.com' || CASE page_id % 7 WHEN 0 THEN ':443/' WHEN 1 THEN '//' ELSE '/' END || 'r/' || name || CASE page_id % 11 WHEN 0 THEN '?a=1' WHEN 1 THEN '/top/?b' ELSE '/' END
+ WHEN 4 THEN url ELSE CASE WHEN page_id % 4 = 1 THEN 'ab' WHEN page_id % 4 = 3 THEN CASE WHEN page_id % 8 = 3 THEN '/' || name || '/' ELSE name || '/extra' END ELSE 'bad-' || name END END AS value
 FROM (SELECT page_id, url, CASE WHEN page_id % 7 < 3 THEN 'SRC' ELSE 'Src' END || CAST(page_id % 40 AS STRING) AS name FROM {pages}) p""",
     "manifest": """
 SELECT doc_id, key AS source_key, 'gallery/generations/g1/' || substring(key, 9) AS destination_key, size, sha1, file_id, extension FROM {objects} o
@@ -71,9 +71,9 @@ SELECT doc_id, source_key, size, CAST(doc_id % 8 AS INT) AS shard, CAST(0 AS INT
 UNION ALL SELECT doc_id + 50000000, 'gallery/foreign/' || CAST(doc_id AS STRING), size, CAST(doc_id % 8 AS INT), CAST(0 AS INT) FROM {manifest} m WHERE doc_id % 97 = 0""",
     "progress": """
 SELECT CAST(doc_id % 8 AS INT) AS shard, CAST(CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS INT) AS round, source_key AS key,
- CASE WHEN doc_id % 3 = 0 THEN 'completed' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'pending' END AS outcome FROM {manifest} m
-UNION ALL SELECT 0, 1, source_key, 'completed' FROM {manifest} m WHERE doc_id % 12 = 0
-UNION ALL SELECT 1, 0, 'gallery/elsewhere/' || source_key, 'completed' FROM {manifest} m WHERE doc_id % 53 = 0""",
+ CASE WHEN doc_id % 3 = 0 THEN 'completed' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'pending' END AS outcome, CASE WHEN doc_id % 4 = 0 THEN 'uploaded' ELSE 'recognized' END AS how FROM {manifest} m
+UNION ALL SELECT 0, 1, source_key, 'completed', 'recognized' FROM {manifest} m WHERE doc_id % 12 = 0
+UNION ALL SELECT 1, 0, 'gallery/elsewhere/' || source_key, 'completed', 'uploaded' FROM {manifest} m WHERE doc_id % 53 = 0""",
     "states": """
 SELECT 'g' || CAST(o_custkey AS STRING) AS generation, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'building' ELSE 'ready' END
  ELSE CASE o_orderkey % 4 WHEN 0 THEN 'recovering' WHEN 1 THEN 'active' WHEN 2 THEN 'publication-failed' ELSE 'abandoned' END END AS status,
@@ -95,7 +95,8 @@ SELECT s_suppkey AS request, c.name AS tag FROM {supplier} s JOIN {catalog_raw}
 UNION ALL SELECT s_suppkey, 'no such tag' FROM {supplier} WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_suppkey, '' FROM {supplier} WHERE s_suppkey % 9 = 0""",
     "messages": """
 SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'abuse@example.org' WHEN 1 THEN 'DMCA@Example.org' WHEN 2 THEN 'alias' || CAST(conv_id AS STRING) || '-k9@example.org'
- WHEN 3 THEN 'alias@example.org' WHEN 4 THEN '.bad-k9@example.org' ELSE CASE WHEN conv_id % 4 = 1 THEN 'no-at-sign' ELSE 'who-k9@elsewhere.net' END END AS recipient,
+ WHEN 3 THEN CASE WHEN conv_id % 4 = 1 THEN 'alias-K9@example.org' ELSE 'alias@example.org' END WHEN 4 THEN CASE WHEN conv_id % 4 = 0 THEN 'O''Hara+x/y=1-k9@example.org' ELSE '.bad-k9@example.org' END
+ ELSE CASE WHEN conv_id % 4 = 1 THEN 'no-at-sign' ELSE 'who-k9@elsewhere.net' END END AS recipient,
  text || ' Alias' || CAST(conv_id AS STRING) || '-K9@Example.ORG' AS text, CAST(length(text) AS BIGINT) * CASE WHEN conv_id % 50 = 0 THEN 1000000 ELSE 1 END AS raw_size FROM {conversations}""",
     "runs": """
 SELECT event_id, user_id % 20 AS source_number, CASE event_type WHEN 'click' THEN 'uploaded' WHEN 'purchase' THEN 'uploaded' WHEN 'view' THEN 'known' WHEN 'signup' THEN 'rejected'

@@ -1,6 +1,6 @@
 """Fingerprint, frame and pixel tables derived from `embeddings`, for Spark and (as SQL) for the oracle.
 
-Bit i of a hash is set where the i-th of 63 values exceeds the median. Near copies are planted: copies
+Bit i of a hash is set where the i-th of 64 values exceeds the median. Near copies are planted: copies
 of even vectors differ in an even number of bits, second copies in an odd one, so all limits occur.
 """
 
@@ -15,6 +15,9 @@ STEP = 1234567891011
 #: Vectors below this have the ids of the SQL, base + copy * APART; later ones base * 3 + copy, which are greater than all those.
 APART = 1000000
 
+#: Bit number {0} as BIGINT; shifts to the sign are refused by the oracle's engine.
+_POWER = "CASE WHEN {0} = 63 THEN (-9223372036854775807 - 1) ELSE 1::BIGINT << least({0}, 62)::BIGINT END"
+
 SQL = f"""
 SELECT *, 'gallery/v' || CAST(id AS STRING) || CASE WHEN kind = 1 THEN '.jpg' ELSE '.mp4' END AS key, 1000 + id % 5000 AS size, sha256('v' || CAST(id AS STRING)) AS sha256,
  [phash, phash, phash, phash] AS hash256, CAST(64 + id % 1000 AS INT) AS width, CAST(48 + id % 700 AS INT) AS height,
@@ -23,9 +26,9 @@ SELECT *, 'gallery/v' || CAST(id AS STRING) || CASE WHEN kind = 1 THEN '.jpg' EL
  CASE WHEN kind = 1 THEN NULL WHEN copy > 0 AND id % 4 = 0 THEN list_transform(range(10, 39), lambda i: xor(phash, (1::BIGINT << (i % 32)))) ELSE list_transform(range(0, 48), lambda i: xor(phash, (1::BIGINT << (i % 32)))) END AS timeline
 FROM (
  SELECT base, copy, basehash, base + copy * 1000000 AS id, CASE WHEN base % 14 = 0 AND copy = 1 THEN 4 - k0 ELSE k0 END AS kind,
-  xor(basehash, CAST(coalesce(list_sum(list_transform(range(0, CASE copy WHEN 0 THEN 0 WHEN 1 THEN base % 18 ELSE (base + 1) % 18 END), lambda j: 1::BIGINT << ((base * 7 + 5 * j) % 63))), 0) AS BIGINT)) AS phash
+  xor(basehash, CAST(coalesce(list_sum(list_transform(range(0, CASE copy WHEN 0 THEN 0 WHEN 1 THEN base % 18 ELSE (base + 1) % 18 END), lambda j: {_POWER.format('((base * 7 + 5 * j) % 64)')})), 0) AS BIGINT)) AS phash
  FROM (SELECT vec_id AS base, CASE WHEN vec_id % 3 <> 0 THEN 1 ELSE 3 END AS k0,
-   CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1]::DOUBLE > med THEN (1::BIGINT << i) ELSE 0 END)) AS BIGINT) AS basehash
+   CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1]::DOUBLE > med THEN {_POWER.format('i')} ELSE 0 END)) AS BIGINT) AS basehash
    FROM (SELECT vec_id, embedding, (list_sort(embedding)[32]::DOUBLE + list_sort(embedding)[33]::DOUBLE) / 2 AS med FROM embeddings) e) b
  CROSS JOIN (SELECT unnest([0, 1, 2]) AS copy) c WHERE copy = 0 OR base % 2 = 0) p
 """
@@ -39,14 +42,14 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An original (copy 0) of each vector and two copies of each even one. Ids and keys are distinct for any number of
     vectors; SQL has the same rows up to APART vectors."""
     e = derived(spark, sf_dir, "embeddings")
-    ordered = F.array_sort("embedding")
+    ordered = F.sort_array("embedding")
     med = (F.get(ordered, F.lit(31)).cast("double") + F.get(ordered, F.lit(32)).cast("double")) / 2
     e = e.select("vec_id", "embedding", med.alias("med"))
-    bits = F.transform(F.slice("embedding", 1, 63), lambda x, i: F.when(x.cast("double") > F.col("med"), _bit(i)).otherwise(F.lit(0).cast("bigint")))
+    bits = F.transform(F.slice("embedding", 1, 64), lambda x, i: F.when(x.cast("double") > F.col("med"), _bit(i)).otherwise(F.lit(0).cast("bigint")))
     b = e.select(F.col("vec_id").alias("base"), F.when(F.col("vec_id") % 3 != 0, 1).otherwise(3).alias("k0"), F.aggregate(bits, F.lit(0).cast("bigint"), lambda z, x: z.bitwiseOR(x)).alias("basehash"))
     p = b.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy")).where("copy = 0 or base % 2 = 0")
     flips = F.when(F.col("copy") == 0, 0).when(F.col("copy") == 1, F.col("base") % 18).otherwise((F.col("base") + 1) % 18).cast("int")
-    masks = F.when(flips > 0, F.transform(F.sequence(F.lit(0), flips - 1), lambda j: _bit((F.col("base") * 7 + 5 * j) % 63)))
+    masks = F.when(flips > 0, F.transform(F.sequence(F.lit(0), flips - 1), lambda j: _bit((F.col("base") * 7 + 5 * j) % 64)))
     p = p.select("base", "copy", "basehash", F.when(F.col("base") < APART, F.col("base") + F.col("copy") * APART).otherwise(F.col("base") * 3 + F.col("copy")).alias("id"), F.when((F.col("base") % 14 == 0) & (F.col("copy") == 1), 4 - F.col("k0")).otherwise(F.col("k0")).alias("kind"), F.coalesce(F.aggregate(masks, F.lit(0).cast("bigint"), lambda z, x: z.bitwiseOR(x)), F.lit(0).cast("bigint")).alias("flip"))
     p = p.withColumn("phash", F.col("basehash").bitwiseXOR(F.col("flip")))
     short = (F.col("copy") > 0) & (F.col("base") % 4 == 0)
@@ -73,11 +76,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prints(spark, sf_dir).where("kind = 3 and copy = 0")
     f = p.select("key", "id", "phash", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(95).cast("bigint"))).alias("frame_index"))
     time = F.col("frame_index") * 100_000_000 + (F.col("frame_index") * F.col("frame_index") * 7919) % 90_000_000
-    return f.select("key", "frame_index", time.alias("timestamp_ns"), F.col("phash").bitwiseXOR(_bit((F.col("frame_index") * (F.col("id") % 7 + 1)) % 63)).alias("h"), F.lit(10_000_000_000).alias("total_ns"))
+    return f.select("key", "frame_index", time.alias("timestamp_ns"), F.col("phash").bitwiseXOR(_bit((F.col("frame_index") * (F.col("id") % 7 + 1)) % 64)).alias("h"), F.lit(10_000_000_000).alias("total_ns"))
+
+
+def wide_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frames() with hashes of 256 bits (h256, four words) and crop hashes."""
+    step = lambda k: F.col("h").bitwiseXOR(k.cast("bigint") * STEP)
+    series = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), step)
+    return frames(spark, sf_dir).select("*", series(0, 3).alias("h256"), series(1, 7).alias("crops"))
 
 
 FRAMES_SQL = f"""
-SELECT key, frame_index, frame_index * 100000000 + (frame_index * frame_index * 7919) % 90000000 AS timestamp_ns, xor(phash, 1::BIGINT << ((frame_index * (id % 7 + 1)) % 63)) AS h, 10000000000 AS total_ns
+SELECT key, frame_index, frame_index * 100000000 + (frame_index * frame_index * 7919) % 90000000 AS timestamp_ns, xor(phash, {_POWER.format('((frame_index * (id % 7 + 1)) % 64)')}) AS h, 10000000000 AS total_ns
 FROM (SELECT key, id, phash, unnest(range(0, 96)) AS frame_index FROM ({SQL}) q WHERE kind = 3 AND id < 1000000) f
 """
 

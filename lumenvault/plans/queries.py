@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import consolidate, dedup, fingerprint, reconcile, selection, similarity, summary
 from ..sources import readers
+from ..sources.shared import cut
 from ..streaming import ingest
 from . import prints as P
 from .fixtures import BUDGET, NOW, SEED, SHARDS, derived, with_tables
@@ -40,7 +41,7 @@ def inventory_scan(t, spark, sf_dir):
     return readers.inventory(t("listing"))
 
 
-@query("""SELECT file_name AS key, content_length AS size, CASE WHEN content_sha1 = 'none' THEN coalesce(large_file_sha1, 'none') ELSE content_sha1 END AS sha1, file_id,
+@query("""SELECT file_name AS key, content_length AS size, CASE WHEN content_sha1 = 'none' THEN coalesce(large_file_sha1, '') ELSE coalesce(content_sha1, '') END AS sha1, file_id, coalesce(content_type, 'application/octet-stream') AS content_type,
 lower(regexp_extract(file_name, '\\.([^./]*)$', 1)) AS extension, upload_timestamp FROM {listing} l WHERE action = 'upload' AND content_length > 0""")
 def inventory_scan_sorted(t, spark, sf_dir):
     return readers.inventory_sorted(t("listing"))
@@ -63,13 +64,15 @@ def staged_scan(t, spark, sf_dir):
 
 
 def _index_documents(t):
-    """JSON index documents of the objects of each source, 1000 doc_ids a document, in two shapes; every 50th item is bad."""
-    o = t("objects").select(F.floor(c("doc_id") / 1000).alias("run"), F.split("key", "/")[1].alias("src"), F.struct(F.when(c("doc_id") % 50 != 0, c("key")).alias("key"), c("extension").alias("ext"), c("size").alias("size")).alias("x"))
+    """JSON index documents of the objects of each source, 1000 doc_ids a document, in two shapes; every 50th item has no key, every 49th a foreign one, every 47th no size."""
+    d = c("doc_id")
+    key = F.when(d % 50 == 0, None).when(d % 49 == 0, F.concat(F.lit("other/"), "key")).otherwise(c("key"))
+    o = t("objects").select(F.floor(d / 1000).alias("run"), F.split("key", "/")[1].alias("src"), F.struct(key.alias("key"), c("extension").alias("ext"), F.when(d % 47 != 0, c("size")).alias("size")).alias("x"))
     items = o.groupBy("src", "run").agg(F.sort_array(F.collect_list("x")).alias("items"))
     return items.select("src", F.when(F.length("src") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct("items"))).alias("body"))
 
 
-@query("SELECT key, extension AS ext, size FROM {objects} o WHERE doc_id % 50 <> 0 AND size > 0")
+@query("SELECT key, extension AS ext, CASE WHEN doc_id % 47 <> 0 THEN size END AS size FROM {objects} o WHERE doc_id % 50 <> 0 AND doc_id % 49 <> 0")
 def gallery_index_lenient(t, spark, sf_dir):
     return readers.index_items(_index_documents(t), strict=False)
 
@@ -105,9 +108,9 @@ def gallery_index_build(t, spark, sf_dir):
     return t("manifest").orderBy("destination_key").select(c("source_key").alias("key"), c("extension").alias("ext"), "size")
 
 
-@query("SELECT key, SHA256(line) AS line_sha256 FROM (SELECT key, key || chr(9) || file_id || chr(9) || CAST(size AS STRING) || chr(9) || sha1 AS line FROM {objects} o) q")
+@query("SELECT key, CAST(json_object('content_type', content_type, 'ext', extension, 'file_id', file_id, 'key', key, 'sha1', sha1, 'size', size, 'upload_timestamp', upload_timestamp) AS VARCHAR) AS item FROM {objects} o")
 def canonical_index(t, spark, sf_dir):
-    return t("objects").select("key", F.sha2(F.concat_ws("\t", "key", "file_id", c("size").cast("string"), "sha1"), 256).alias("line_sha256"))
+    return summary.canonical_items(t("objects"))
 
 
 @query("""SELECT key, ext, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn DESC, position DESC) AS n FROM (
@@ -154,9 +157,9 @@ def eligibility_split(t, spark, sf_dir):
     return o.groupBy("reason").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("SELECT doc_id, CASE WHEN length(n) = 0 THEN 'media.bin' ELSE n END AS name FROM (SELECT doc_id, right(regexp_replace(CASE WHEN doc_id % 9 = 0 THEN '' ELSE left(text, 180) END, '[^\\p{L}\\p{N}._-]', '_', 'g'), 160) AS n FROM documents) q")
+@query("SELECT doc_id, CASE WHEN length(n) = 0 THEN 'media.bin' ELSE n END AS name FROM (SELECT doc_id, right(regexp_replace(CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END, '[^\\p{L}\\p{N}._-]', '_', 'g'), 160) AS n FROM documents) q")
 def safe_name(t, spark, sf_dir):
-    return t("documents").select("doc_id", rules.safe_name(F.when(c("doc_id") % 9 == 0, "").otherwise(F.left("text", F.lit(180)))).alias("name"))
+    return t("documents").select("doc_id", rules.safe_name(F.when(c("doc_id") % 9 == 0, "").otherwise(c("text"))).alias("name"))
 
 
 @query("SELECT doc_id, 'gallery/' || left(sha1(encode(rel) || '\\x00'::BLOB || encode(text)), 20) || '_' || CAST(doc_id AS STRING) || '.txt' AS key FROM (SELECT doc_id, text, source || '/' || CAST(doc_id AS STRING) || '.txt' AS rel FROM documents) q")
@@ -193,11 +196,14 @@ def shard_validate(t, spark, sf_dir):
     return plan.join(real, "shard", "full_outer").where("not (planned <=> entries and planned_bytes <=> bytes)")
 
 
-_NAME = """coalesce(nullif(regexp_extract(value, '(?i)^https?://(?:(?:www|old|new)\\.)?reddit\\.com/r/([^/?#]+)', 1), ''), nullif(regexp_extract(value, '(?i)^/?r/([^/]+)', 1), ''), value)"""
-_SOURCE = f"SELECT position, CASE WHEN regexp_full_match(name, '[A-Za-z0-9_]{{3,21}}') THEN 'https://www.reddit.com/r/' || name || '/' ELSE '' END AS source FROM (SELECT position, {_NAME} AS name FROM (SELECT position, trim(value) AS value FROM {{raw_sources}} s) v) q"
-_API = """SELECT position, CASE WHEN regexp_full_match(name, '[A-Za-z0-9_]{3,21}') THEN 'https://www.reddit.com/r/' || name || '/' ELSE '' END AS source FROM (
-SELECT position, CASE WHEN regexp_matches(value, '(?i)^https?://') THEN CASE WHEN lower(regexp_extract(value, '(?i)^https?://([^/?#]*)', 1)) IN ('reddit.com', 'www.reddit.com', 'old.reddit.com', 'new.reddit.com')
- THEN regexp_extract(value, '(?i)^https?://[^/?#]*/r/([^/?#]+)', 1) ELSE '' END ELSE split_part(regexp_replace(value, '(?i)^/?r/', ''), '/', 1) END AS name FROM (SELECT position, trim(value) AS value FROM {raw_sources} s) v) q"""
+_STRIPPED = "(SELECT position, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS value FROM {raw_sources} s)"
+_BARE = "CASE WHEN starts_with(lower(bare), 'r/') THEN split_part(substring(bare, 3), '/', 1) ELSE bare END"
+_BARED = f"(SELECT position, value, regexp_replace(value, '^/+|/+$', '', 'g') AS bare FROM {_STRIPPED} v)"
+_SOURCE = f"""SELECT position, CASE WHEN regexp_full_match(name, '[A-Za-z0-9_]{{3,21}}') THEN 'https://www.reddit.com/r/' || name || '/new/' ELSE '' END AS source FROM (SELECT position, CASE WHEN starts_with(value, 'https://') OR starts_with(value, 'http://')
+ THEN regexp_extract(value, '(?i)^https?://(?:www\\.|old\\.|new\\.)?reddit\\.com/r/([A-Za-z0-9_]{{3,21}})(?:/.*)?$', 1) ELSE {_BARE} END AS name FROM {_BARED} b) q"""
+_API = f"""SELECT position, CASE WHEN regexp_full_match(name, '[A-Za-z0-9_]{{3,21}}') THEN name ELSE '' END AS source FROM (SELECT position, CASE WHEN regexp_matches(value, '(?i)^https?://')
+ THEN CASE WHEN lower(regexp_extract(value, '(?i)^https?:/+(?:[^/?#]*@)?([^/?#:@]*)(?::[0-9]*)?(?:[/?#]|$)', 1)) IN ('reddit.com', 'www.reddit.com', 'old.reddit.com', 'new.reddit.com') THEN regexp_extract(value, '(?i)^https?:/+[^/?#]*/+r/+([^/?#]+)', 1) ELSE '' END
+ ELSE split_part({_BARE}, '/', 1) END AS name FROM {_BARED} b) q"""
 
 
 @query(_SOURCE)
@@ -210,11 +216,14 @@ def source_normalize_api(t, spark, sf_dir):
     return t("raw_sources").select("position", rules.normalised_source_api(c("value")).alias("source"))
 
 
-@query("""SELECT bucket, count(*) AS total, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, unnest(['all', CASE WHEN extension IN ('jpg','jpeg','png','webp') THEN 'still' ELSE 'clip' END, extension]) AS bucket
-FROM {objects} o WHERE media_kind IS NOT NULL) q GROUP BY bucket""")
+_CLASS = "CASE WHEN lower(extension) IN ('jpg','jpeg','png','webp') THEN 'stills' WHEN lower(extension) IN ('gif','mp4','m4v','webm') THEN 'clips' END"
+_BUCKETED = f"SELECT key, size, unnest(list_filter(['all', {_CLASS}, CASE WHEN {_CLASS} IS NOT NULL THEN lower(extension) END], lambda b: b IS NOT NULL)) AS bucket FROM {{objects}} o"
+
+
+@query(f"SELECT bucket, count(*) AS total, CAST(sum(size) AS BIGINT) AS bytes FROM ({_BUCKETED}) q GROUP BY bucket")
 def media_buckets(t, spark, sf_dir):
-    o = t("objects").where("media_kind is not null")
-    return o.select("size", F.explode(F.array(F.lit("all"), rules.media_class(c("extension")), c("extension"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("total"), F.sum("size").alias("bytes"))
+    o = t("objects").select("size", F.explode(rules.buckets_of(c("extension"))).alias("bucket"))
+    return o.groupBy("bucket").agg(F.count("*").alias("total"), F.sum("size").alias("bytes"))
 
 
 @query("SELECT id, name, count FROM {catalog_raw} k WHERE name <> '' AND count > 0")
@@ -233,14 +242,16 @@ def _valid_items(t):
     return i.join(tags, "item", "left").where("coalesce(good, true) and coalesce(n, 0) <= 512")
 
 
-@query("""SELECT page_id AS index_id, item, 'k' || CAST(item AS STRING) AS key FROM (SELECT page_id, unnest(range(0, page_id % 7)) AS item FROM pages WHERE page_id % 5 <> 0 AND page_id % 4 <> 3) q""")
+@query("""SELECT page_id AS index_id, item, 'gallery/k' || CAST(item AS STRING) AS key, CASE item WHEN 0 THEN 'jpg' ELSE 'gif' END AS ext, CASE item WHEN 0 THEN '0,2' ELSE '' END AS tags
+FROM (SELECT page_id, unnest(range(0, least(2, page_id % 7))) AS item FROM pages WHERE page_id % 5 <> 0 AND page_id % 4 <> 3) q""")
 def tag_index_read(t, spark, sf_dir):
-    """Indexes of some tags and items; every fifth has another version, every fourth too many tags for the limit of 10."""
+    """Indexes of up to six items, of which the first two are valid; every fifth has another version, every fourth too many tags for the limit of 10."""
     d = c("page_id")
-    tag = F.transform(F.sequence(F.lit(1), F.when(d % 4 == 3, 12).otherwise(3)), lambda k: F.array(F.concat(F.lit("t"), k.cast("string")), k.cast("string")))
-    items = F.when(d % 7 > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), d % 7 - 1), lambda k: F.array(F.concat(F.lit("k"), k.cast("string")), F.lit("jpg")))).otherwise(F.array().cast("array<array<string>>"))
-    body = F.to_json(F.struct(F.when(d % 5 == 0, 2).otherwise(1).alias("version"), tag.alias("catalog"), items.alias("items")))
-    return readers.tag_index(t("pages").select(d.alias("index_id"), body.alias("body")), most_tags=10).select("index_id", "item", "key")
+    given = ['["gallery/k0","jpg",[0,2]]', '["gallery/k1","GIF",[]]', '["gallery/k2","jpg",[1]]', '["other/k3","jpg",[0]]', '["gallery/k4","exe",[0]]', '["gallery/k5","jpg"]']
+    tags = F.when(d % 4 == 3, ",".join(f'["t{k}",{k}]' for k in range(1, 13))).otherwise('["t0",1],["t1",0],["t2",3]')
+    items = F.array_join(F.slice(F.array(*map(F.lit, given)), F.lit(1), (d % 7).cast("int")), ",")
+    body = F.concat(F.lit('{"version":'), F.when(d % 5 == 0, "2").otherwise("1"), F.lit(',"catalog":['), tags, F.lit('],"items":['), items, F.lit("]}"))
+    return readers.tag_index(t("pages").select(d.alias("index_id"), body.alias("body")), most_tags=10).select("index_id", "item", "key", "ext", F.array_join("tags", ",").alias("tags"))
 
 
 @query(_VALID_ITEMS)
@@ -248,10 +259,10 @@ def tag_items_valid(t, spark, sf_dir):
     return _valid_items(t).select("item", "key", "ext")
 
 
-@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN place <= 1 OR host = '' THEN 'malformed' WHEN host <> 'example.org' THEN 'foreign' WHEN raw_size > 26214400 THEN 'too large' WHEN local IN ('abuse','dmca','postmaster','security') THEN 'fixed'
- WHEN NOT ends_with(local, '-k9') THEN 'no suffix' WHEN alias = '' OR starts_with(alias, '.') OR ends_with(alias, '.') OR NOT regexp_full_match(alias, '[a-z0-9._+-]+') THEN 'bad alias' ELSE 'alias' END AS verdict
+@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN raw_size > 26214400 THEN 'too large' WHEN place <= 1 OR host = '' THEN 'malformed' WHEN host <> 'example.org' THEN 'foreign' WHEN lower(local) IN ('abuse','dmca','postmaster','security') THEN 'fixed'
+ WHEN NOT ends_with(local, '-k9') THEN 'no suffix' WHEN alias = '' OR starts_with(alias, '.') OR ends_with(alias, '.') OR NOT regexp_full_match(alias, '[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+') THEN 'bad alias' ELSE 'alias' END AS verdict
 FROM (SELECT *, left(local, greatest(length(local) - 3, 0)) AS alias FROM (SELECT raw_size, length(recipient) - length(string_split(recipient, '@')[-1]) AS place, lower(string_split(recipient, '@')[-1]) AS host,
- lower(CASE WHEN contains(recipient, '@') THEN left(recipient, length(recipient) - length(string_split(recipient, '@')[-1]) - 1) ELSE '' END) AS local FROM {messages} m) a) b) q GROUP BY verdict""")
+ CASE WHEN contains(recipient, '@') THEN left(recipient, length(recipient) - length(string_split(recipient, '@')[-1]) - 1) ELSE '' END AS local FROM {messages} m) a) b) q GROUP BY verdict""")
 def recipient_triage(t, spark, sf_dir):
     m = t("messages").select(rules.recipient_verdict(c("recipient"), c("raw_size"), "example.org", "-k9").alias("verdict"))
     return m.groupBy("verdict").agg(F.count("*").alias("n"))
@@ -263,18 +274,22 @@ def address_scrub(t, spark, sf_dir):
     return t("messages").select("conv_id", "turn", rules.scrubbed(c("text"), private, F.lit("someone@example.org")).alias("text"))
 
 
-@query("""SELECT page_id, trim(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:style|script)\\b[^>]*>.*?</(?:style|script)>', '', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'),
- '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')) AS text FROM pages""")
+_PLAIN = "html"
+for _pattern, _text in (("(?is)<style.*?</style>", "''"), ("(?is)<script.*?</script>", "''"), ("(?i)<br\\s*/?>", "chr(10)"), ("(?i)</p>", "chr(10) || chr(10)"), ("<[^>]+>", "''"), ("(?i)&nbsp;", "' '"), ("(?i)&amp;", "'&'"), ("(?i)&lt;", "'<'"), ("(?i)&gt;", "'>'")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', {_text}, 'g')"
+
+
+@query(f"SELECT page_id, {_PLAIN} AS text FROM pages")
 def html_to_text(t, spark, sf_dir):
     return t("pages").select("page_id", rules.html_text(c("html")).alias("text"))
 
 
-@query("""SELECT request, CASE WHEN bool_or(tag = '' OR length(tag) > 128) THEN 'bad name' WHEN count(DISTINCT tag) > 32 THEN 'too many' WHEN bool_or(k.name IS NULL) THEN 'unknown' ELSE 'ok' END AS verdict
+@query("""SELECT request, CASE WHEN count(DISTINCT tag) > 32 THEN 'too many' WHEN bool_or(tag = '' OR length(tag) > 128) THEN 'bad name' WHEN bool_or(k.name IS NULL) THEN 'unknown' ELSE 'ok' END AS verdict
 FROM {requests} r LEFT JOIN (SELECT DISTINCT name FROM {catalog_raw} k WHERE name <> '' AND count > 0) k ON k.name = r.tag GROUP BY request""")
 def tag_request_check(t, spark, sf_dir):
     known = t("catalog_raw").where("name <> '' and count > 0").select(c("name").alias("tag"), F.lit(True).alias("known")).distinct()
     r = t("requests").join(known, "tag", "left").groupBy("request")
-    return r.agg(F.when(F.bool_or((c("tag") == "") | (F.length("tag") > 128)), "bad name").when(F.count_distinct("tag") > 32, "too many").when(F.bool_or(c("known").isNull()), "unknown").otherwise("ok").alias("verdict"))
+    return r.agg(F.when(F.count_distinct("tag") > 32, "too many").when(F.bool_or((c("tag") == "") | (F.length("tag") > 128)), "bad name").when(F.bool_or(c("known").isNull()), "unknown").otherwise("ok").alias("verdict"))
 
 
 # ---------------------------------------------------------------- deduplication
@@ -282,11 +297,11 @@ def tag_request_check(t, spark, sf_dir):
 
 @query(f"SELECT position, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(source) ORDER BY position) AS n FROM ({_SOURCE}) s WHERE source <> '') q WHERE n = 1")
 def source_dedup(t, spark, sf_dir):
-    return dedup.distinct_sources(t("raw_sources"), rules.normalised_source)
+    return dedup.required_sources(dedup.distinct_sources(t("raw_sources"), rules.normalised_source))
 
 
-_QUALITY = """CASE WHEN media_kind IS NULL THEN CAST('-inf' AS DOUBLE) ELSE round(log2(greatest(1.0, CAST(CAST(width AS BIGINT) * height AS DOUBLE))) + CASE WHEN media_kind <> 1 THEN 0.5 * log2(greatest(1.0, CAST(coalesce(duration_ms, 0) AS DOUBLE))) ELSE 0.0 END
- + CASE WHEN extension IN ('png', 'webp', 'gif') THEN 0.12 ELSE 0.0 END + 0.08 * log2(greatest(1.0, CAST(size AS DOUBLE))), 9) END"""
+_QUALITY = """CASE WHEN media_kind IS NULL THEN CAST('-inf' AS DOUBLE) ELSE log2(greatest(1.0, CAST(CAST(width AS BIGINT) * height AS DOUBLE))) + CASE WHEN media_kind <> 1 THEN 0.9::DOUBLE * log2(greatest(1.0, CAST(coalesce(duration_ms, 0) AS DOUBLE))) ELSE 0.0 END
+ + CASE WHEN extension IN ('png', 'webp', 'gif') THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + 0.08::DOUBLE * log2(greatest(1.0, CAST(size AS DOUBLE))) END"""
 
 
 @query(f"SELECT key, file_id, kept_key FROM (SELECT key, file_id, first_value(key) OVER (PARTITION BY sha256 ORDER BY quality DESC, key) AS kept_key FROM (SELECT *, {_QUALITY} AS quality FROM {{objects}} o) r) q WHERE key <> kept_key")
@@ -294,9 +309,9 @@ def exact_dedup(t, spark, sf_dir):
     return dedup.exact_duplicates(t("objects"))
 
 
-@query(f"SELECT key, {_QUALITY} AS quality FROM {{objects}} o WHERE media_kind IS NOT NULL")
+@query(f"SELECT key, round({_QUALITY}, 9) AS quality FROM {{objects}} o WHERE media_kind IS NOT NULL")
 def survivor_quality(t, spark, sf_dir):
-    return dedup.with_quality(t("objects").where("media_kind is not null")).select("key", "quality")
+    return dedup.with_quality(t("objects").where("media_kind is not null")).select("key", F.round("quality", 9).alias("quality"))
 
 
 @query("SELECT key, position FROM (SELECT key, position, row_number() OVER (PARTITION BY key ORDER BY position) AS n FROM {items} i WHERE key NOT IN (SELECT key FROM {items} k WHERE position % 3 = 0)) q WHERE n = 1")
@@ -365,7 +380,7 @@ def unfinished(t, spark, sf_dir):
 
 
 def _verify(entries: str) -> str:
-    return f"SELECT m.source_key, m.destination_key, m.size, coalesce(m.size = p.size AND (p.sha1 IS NULL OR p.sha1 = m.sha1) AND (p.generation IS NULL OR p.generation = 'g1'), false) AS ok FROM ({entries}) m LEFT JOIN {{published}} p ON p.key = m.destination_key"
+    return f"SELECT m.source_key, m.destination_key, m.size, coalesce(m.size = p.size AND (m.sha1 = '' OR p.sha1 = m.sha1) AND p.generation = 'g1', false) AS ok FROM ({entries}) m LEFT JOIN {{published}} p ON p.key = m.destination_key"
 
 
 @query(_verify("SELECT * FROM {manifest} m"))
@@ -378,6 +393,19 @@ def recovery_plan(t, spark, sf_dir):
     return reconcile.recovery(t("manifest"), t("progress"), t("published"), "g1")
 
 
+def _packed(rows: str) -> str:
+    """SQL of longest-first packing into SHARDS shards of rows (generation, key, size)."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT generation, key, size, row_number() OVER (PARTITION BY generation ORDER BY size DESC, key) AS n FROM ({rows}) a),
+walk(generation, n, key, size, shard, loads) AS (SELECT DISTINCT generation, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), 0, list_transform(range(0, {SHARDS}), lambda i: CAST(0 AS BIGINT)) FROM e UNION ALL
+SELECT e.generation, e.n, e.key, e.size, CAST(list_position(w.loads, list_min(w.loads)) AS INT), list_transform(w.loads, lambda x, i: CASE WHEN i = list_position(w.loads, list_min(w.loads)) THEN x + e.size ELSE x END) FROM walk w JOIN e ON e.generation = w.generation AND e.n = w.n + 1)
+SELECT generation, key, size, CAST(shard - 1 AS INT) AS shard FROM walk WHERE n > 0"""
+
+
+@query(_packed(f"SELECT 'g1' AS generation, source_key AS key, size FROM ({_verify(_UNFINISHED)}) v WHERE NOT ok"))
+def recovery_shards(t, spark, sf_dir):
+    return reconcile.recovery_shards(t("manifest"), t("progress"), t("published"), "g1", SHARDS)
+
+
 @query(f"SELECT count(*) AS entries, count(*) FILTER (NOT ok) AS unverified, count(*) FILTER (NOT ok) > 0 AS refused FROM ({_verify('SELECT * FROM {manifest} m')}) q")
 def publish_gate(t, spark, sf_dir):
     found = reconcile.verified(t("manifest"), t("published"), "g1").agg(F.count("*").alias("entries"), F.count_if(~c("ok")).alias("unverified"))
@@ -443,8 +471,14 @@ def _near(where: str, distance: int, hashes: str = "[phash]") -> str:
     return f"SELECT DISTINCT x.a, y.b FROM {_side('a', where, hashes)} x JOIN {_side('b', where, hashes)} y ON x.a < y.b AND bit_count(xor(x.h, y.h)) <= {distance}"
 
 
+def _near_banded(where: str, distance: int, hashes: str) -> str:
+    """As _near for up to 7 bits: of eight bands of 8 bits one at least is equal, and pairs meet there."""
+    side = lambda name: f"(SELECT DISTINCT {name}, h, k, (h >> (8 * k)) & 255 AS v FROM (SELECT {name}, h, unnest(range(0, 8)) AS k FROM {_side(name, where, hashes)} u) w)"
+    return f"SELECT DISTINCT x.a, y.b FROM {side('a')} x JOIN {side('b')} y ON x.k = y.k AND x.v = y.v AND x.a < y.b AND bit_count(xor(x.h, y.h)) <= {distance}"
+
+
 _WITH = f"WITH prints AS MATERIALIZED ({P.SQL}) "
-_STILLS, _CROPS, _MOVING = _near("kind = 1", 10), _near("kind = 1", 7, "list_append(crop_hashes, phash)"), _near("kind <> 1", 12)
+_STILLS, _CROPS, _MOVING = _near("kind = 1", 10), _near_banded("kind = 1", 7, "list_append(crop_hashes, phash)"), _near("kind <> 1", 12)
 
 
 @query(_WITH + "SELECT x.phash AS x, y.phash AS y, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS d FROM (SELECT DISTINCT phash FROM prints) x JOIN (SELECT DISTINCT phash FROM prints) y ON bit_count(xor(x.phash, y.phash)) <= 11")
@@ -453,6 +487,11 @@ def hamming_join(t, spark, sf_dir):
     return similarity.near_hashes(h, h, 2, 11)
 
 
+@query(_WITH + "SELECT p.key, p.phash AS h, count(*) FILTER (q.phash = p.phash) AS copies, count(*) - 1 AS links FROM prints p JOIN prints q ON bit_count(xor(p.phash, q.phash)) <= 11 GROUP BY p.key, p.phash")
+def near_classes(t, spark, sf_dir):
+    return similarity.classes(P.prints(spark, sf_dir).select("key", c("phash").alias("h")), 2, 11)
+
+
 @query(_WITH + _STILLS)
 def still_candidates(t, spark, sf_dir):
     return similarity.still_candidates(P.prints(spark, sf_dir))
@@ -469,8 +508,8 @@ def moving_candidates(t, spark, sf_dir):
 
 
 _PAIR = "SELECT e.a, e.b, l.phash AS lp, r.phash AS rp, l.crop_hashes AS lc, r.crop_hashes AS rc, l.duration_ms AS ld, r.duration_ms AS rd, l.timeline AS lt, r.timeline AS rt, bit_count(xor(l.phash, r.phash)) AS p, 4 * bit_count(xor(l.phash, r.phash)) AS h FROM ({0}) e JOIN prints l ON l.key = e.a JOIN prints r ON r.key = e.b WHERE l.sha256 <> r.sha256"
-_STILL_EDGES = "SELECT a, b, round(greatest(0.0, least(1.0, 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0)))::DOUBLE, 9) AS score, 'same image' AS evidence FROM pair_still WHERE p <= 10 AND h <= 48 AND 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0) >= 0.76"
-_CROP_EDGES = f"""SELECT a, b, round(greatest(0.0, least(1.0, 0.96 - 0.45 * c / 64.0 - 0.25 * h / 256.0))::DOUBLE, 9) AS score, 'crop or reframe' AS evidence FROM (SELECT a, b, h, list_min(list_concat(list_concat(list_transform(rc, lambda y: bit_count(xor(lp, y))),
+_STILL_EDGES = "SELECT a, b, round(greatest(0.0, least(1.0, 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0)))::DOUBLE, 9) AS score, 'same image after resize or recompression' AS evidence FROM pair_still WHERE p <= 10 AND h <= 48 AND 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0) >= 0.76"
+_CROP_EDGES = f"""SELECT a, b, round(greatest(0.0, least(1.0, 0.96 - 0.45 * c / 64.0 - 0.25 * h / 256.0))::DOUBLE, 9) AS score, 'convincing crop or reframe' AS evidence FROM (SELECT a, b, h, list_min(list_concat(list_concat(list_transform(rc, lambda y: bit_count(xor(lp, y))),
 list_transform(lc, lambda x: bit_count(xor(x, rp)))), flatten(list_transform(lc, lambda x: list_transform(rc, lambda y: bit_count(xor(x, y))))))) AS c FROM pair_still WHERE h <= 64 AND (a, b) NOT IN (SELECT (a, b) FROM ({_STILL_EDGES}) s)) q
 WHERE c <= 7 AND 0.96 - 0.45 * c / 64.0 - 0.25 * h / 256.0 >= 0.76"""
 _WITH_PAIRS = _WITH + f", pair_still AS MATERIALIZED ({_PAIR.format('SELECT * FROM (' + _STILLS + ') s1 UNION SELECT * FROM (' + _CROPS + ') s2')}) "
@@ -500,7 +539,7 @@ sized AS (SELECT *, len(l) AS n, len(s) AS m, greatest(least(2, len(l)), least(l
 lens AS (SELECT *, unnest(range(greatest(least(2, n), CAST(floor(e * 0.82) AS BIGINT)), least(n, CAST(ceil(e * 1.18) AS BIGINT)) + 1)) AS w FROM sized),
 starts AS (SELECT *, unnest(range(0, n - w + 1)) AS o FROM lens),
 aligned AS MATERIALIZED (SELECT a, b, p, h, ratio, min(list_sum(list_transform(range(0, m), lambda i: bit_count(xor(s[i + 1], l[o + least(w - 1, CAST(floor(i * (w - 1) / greatest(1, m - 1) + 0.5) AS BIGINT)) + 1])))) / m) AS t FROM starts GROUP BY a, b, p, h, ratio) """
-_MOVING_EDGES = """SELECT a, b, round(greatest(0.0, least(1.0, 1.0 - 0.30 * p / 64.0 - 0.25 * h / 256.0 - 0.45 * t / 64.0))::DOUBLE, 9) AS score, CASE WHEN ratio < 0.9 THEN 'excerpt' ELSE 'same moving media' END AS evidence FROM aligned
+_MOVING_EDGES = """SELECT a, b, round(greatest(0.0, least(1.0, 1.0 - 0.30 * p / 64.0 - 0.25 * h / 256.0 - 0.45 * t / 64.0))::DOUBLE, 9) AS score, CASE WHEN ratio < 0.9 THEN 'strongly matched moving-media excerpt' ELSE 'same moving media after re-encode or resize' END AS evidence FROM aligned
 WHERE p <= 12 AND h <= 64 AND t <= 12 AND (ratio >= 0.60 OR t <= 7.8) AND 1.0 - 0.30 * p / 64.0 - 0.25 * h / 256.0 - 0.45 * t / 64.0 >= 0.76"""
 
 
@@ -559,17 +598,27 @@ def frame_sample_video(t, spark, sf_dir):
     return fingerprint.sampled_frames_video(P.frames(spark, sf_dir))
 
 
-_BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) >= count(*) THEN {1 << b} ELSE 0 END" for b in range(63))
+def _majority(h: str) -> str:
+    """SQL of the bits set in at least half of the hashes of a group, the sign bit as its negative power."""
+    return " + ".join(f"CASE WHEN 2 * sum(({h} >> {b}) & 1) >= count(*) THEN {f'{1 << b}' if b < 63 else '(-9223372036854775807 - 1)'} ELSE 0 END" for b in range(64))
 
 
-@query(f"SELECT key, CAST({_BITS} AS BIGINT) AS majority FROM ({P.FRAMES_SQL}) f GROUP BY key")
+@query(f"SELECT key, CAST({_majority('h')} AS BIGINT) AS majority FROM ({P.FRAMES_SQL}) f GROUP BY key")
 def majority_hash(t, spark, sf_dir):
-    return fingerprint.majority(P.frames(spark, sf_dir), bits=63)
+    return fingerprint.majority(P.frames(spark, sf_dir))
+
 
+_WIDE = ", ".join(f"CAST({_majority(f'xor(h, {k * P.STEP})')} AS BIGINT)" for k in range(4))
 
-@query(f"SELECT key, list(h ORDER BY frame_index) AS timeline, CAST({_BITS} AS BIGINT) AS majority FROM ({P.FRAMES_SQL}) f GROUP BY key")
+
+@query(f"SELECT key, list(h ORDER BY frame_index) AS timeline, CAST({_majority('h')} AS BIGINT) AS majority, [{_WIDE}] AS majority256, [{', '.join(f'xor(arg_min(h, frame_index), {k * P.STEP})' for k in range(1, 8))}] AS crop_hashes FROM ({P.FRAMES_SQL}) f GROUP BY key")
 def timeline_build(t, spark, sf_dir):
-    return fingerprint.timelines(P.frames(spark, sf_dir).withColumn("h", c("h")))
+    return fingerprint.timelines(P.wide_frames(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN extension IN ('jpg','jpeg','png','webp') THEN 'still' WHEN extension = 'gif' THEN 'gif' WHEN extension IN ('mp4','m4v','webm') THEN 'video' ELSE 'none' END AS way, count(*) AS n FROM {objects} o GROUP BY 1")
+def fingerprint_dispatch(t, spark, sf_dir):
+    return t("objects").groupBy(F.coalesce(fingerprint.dispatch(c("extension")), F.lit("none")).alias("way")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- summaries
@@ -585,13 +634,13 @@ def shard_totals(t, spark, sf_dir):
     return summary.shard_totals(t("shard_plan"), 12)
 
 
-@query("SELECT source_number, count(*) AS discovered, max(return_code) AS return_code, bool_and(return_code <> 0) AS all_failed FROM {runs} r GROUP BY source_number")
+@query("SELECT *, sum(discovered) OVER () = 0 AND bool_and(all_failed) OVER () AS refused FROM (SELECT source_number, count(status) AS discovered, max(return_code) AS return_code, bool_and(return_code <> 0) AS all_failed FROM {runs} r GROUP BY source_number) q")
 def source_counts(t, spark, sf_dir):
     return summary.source_counts(t("runs"))
 
 
-@query("""SELECT count(DISTINCT source_number) AS attempted, count(*) AS discovered, count(*) FILTER (status = 'uploaded') AS uploaded, count(*) FILTER (status = 'known') AS known, count(*) FILTER (status = 'rejected') AS rejected,
-count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(bytes) FILTER (status = 'uploaded'), 0) AS BIGINT) AS uploaded_bytes FROM {runs} r""")
+@query("""SELECT *, source_partial_failures > 0 AS history_rolled_back FROM (SELECT count(DISTINCT source_number) AS attempted, count(DISTINCT source_number) FILTER (return_code <> 0 OR status = 'failed') AS source_partial_failures, count(status) AS discovered, count(*) FILTER (status <> 'rejected') AS staged, count(*) FILTER (status = 'uploaded') AS uploaded, count(*) FILTER (status = 'known') AS known, count(*) FILTER (status = 'rejected') AS rejected,
+count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(bytes) FILTER (status = 'uploaded'), 0) AS BIGINT) AS uploaded_bytes FROM {runs} r) q""")
 def acquisition_summary(t, spark, sf_dir):
     return summary.acquisition(t("runs"))
 
@@ -601,8 +650,9 @@ def rollback_point(t, spark, sf_dir):
     return summary.failing(t("runs"))
 
 
-@query("""SELECT shard, count(*) AS planned, count(*) FILTER (done) AS completed, count(*) FILTER (lost AND NOT done) AS failed, CAST(coalesce(sum(size) FILTER (done), 0) AS BIGINT) AS bytes FROM (
-SELECT p.shard, p.size, coalesce(g.done, false) AS done, coalesce(g.lost, false) AS lost FROM {shard_plan} p LEFT JOIN (SELECT key, bool_or(outcome = 'completed') AS done, bool_or(outcome = 'failed') AS lost FROM {progress} r GROUP BY key) g ON g.key = p.source_key) q GROUP BY shard""")
+@query("""SELECT shard, count(*) AS planned, CAST(sum(size) AS BIGINT) AS planned_bytes, count(*) FILTER (done) AS completed, count(*) FILTER (sent) AS uploaded, count(*) FILTER (done AND NOT sent) AS recognized, count(*) FILTER (lost AND NOT done) AS failed,
+CAST(coalesce(sum(size) FILTER (done), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (sent), 0) AS BIGINT) AS bytes_transferred FROM (SELECT p.shard, p.size, coalesce(g.done, false) AS done, coalesce(g.sent, false) AS sent, coalesce(g.lost, false) AS lost FROM {shard_plan} p
+LEFT JOIN (SELECT key, bool_or(outcome = 'completed') AS done, bool_or(outcome = 'completed' AND how = 'uploaded') AS sent, bool_or(outcome = 'failed') AS lost FROM {progress} r GROUP BY key) g ON g.key = p.source_key) q GROUP BY shard""")
 def worker_report(t, spark, sf_dir):
     return summary.worker_report(t("shard_plan"), t("progress"))
 
@@ -619,10 +669,10 @@ def inventory_digest(t, spark, sf_dir):
     return summary.digest(t("objects"))
 
 
-@query(f"""SELECT count(*) FILTER (change <> 'gone') AS inventory, count(*) FILTER (change <> 'gone' AND phash IS NOT NULL) AS reused, count(*) FILTER (change <> 'gone' AND phash IS NULL) AS to_compute, bool_and(phash IS NOT NULL) FILTER (change <> 'gone') AS converged FROM ({_RECONCILED}) q""")
-def dedupe_summary(t, spark, sf_dir):
-    r = reconcile.reconciled(t("stored"), t("objects_v2")).where("change <> 'gone'")
-    return r.agg(F.count("*").alias("inventory"), F.count("phash").alias("reused"), F.count_if(c("phash").isNull()).alias("to_compute"), F.bool_and(c("phash").isNotNull()).alias("converged"))
+@query("""SELECT 1 AS version, objects AS count, SHA256(line) AS inventory_digest FROM (SELECT string_agg(d, '' ORDER BY bucket) AS line, CAST(sum(n) AS BIGINT) AS objects FROM (SELECT bucket, SHA256(line) AS d, n FROM (SELECT left(d, 2) AS bucket, string_agg(d, '' ORDER BY d) AS line, count(*) AS n FROM (
+SELECT SHA256(line) AS d FROM (SELECT key || chr(0) || file_id || chr(0) || CAST(size AS STRING) || chr(0) || sha1 AS line FROM {objects} o) a) b GROUP BY 1) e) f) g""")
+def canonical_header(t, spark, sf_dir):
+    return summary.canonical_header(t("objects"))
 
 
 # ---------------------------------------------------------------- selection and graphs
@@ -641,7 +691,8 @@ def budget_select(t, spark, sf_dir):
 def manifest_build(t, spark, sf_dir):
     chosen = selection.budget_select(t("objects"), BUDGET, SEED)
     typed = content_type_resolve(t, spark, sf_dir)
-    return chosen.join(typed, "key").select(c("key").alias("source_key"), F.concat(F.lit("gallery/generations/g9/"), F.substring("key", 9, 1000000)).alias("destination_key"), "size", "content_type")
+    made = chosen.join(typed, "key").select(c("key").alias("source_key"), F.concat(F.lit("gallery/generations/g9/"), F.substring("key", 9, 1000000)).alias("destination_key"), "size", "content_type")
+    return summary.valid_manifest(made, "g9")
 
 
 def _entries(t):
@@ -661,17 +712,16 @@ def byte_shards_scaled(t, spark, sf_dir):
     return selection.byte_shards_scaled(_entries(t), SHARDS)
 
 
-_ITEM_BUCKETS = "SELECT key, unnest(['all', CASE WHEN extension IN ('jpg','jpeg','png','webp') THEN 'still' ELSE 'clip' END]) AS bucket FROM {objects} o WHERE media_kind IS NOT NULL"
-_ASKS = "SELECT s_suppkey AS request, CASE s_suppkey % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'still' ELSE 'clip' END AS bucket FROM supplier"
+_ASKED = "['all', 'Stills', 'clips', 'webm', 'no such bucket']"
+_ASKS = f"SELECT s_suppkey AS request, CASE WHEN lower(asked) IN ('stills', 'clips', 'jpg', 'jpeg', 'png', 'gif', 'webp', 'mp4', 'm4v', 'webm') THEN lower(asked) ELSE 'all' END AS bucket FROM (SELECT s_suppkey, {_ASKED}[s_suppkey % 5 + 1] AS asked FROM supplier) a"
 
 
-@query(f"""SELECT request, key, total FROM (SELECT request, key, count(*) OVER (PARTITION BY request) AS total, row_number() OVER (PARTITION BY request ORDER BY SHA256(w)) AS n FROM (
-SELECT r.request, i.key, 'pick' || chr(0) || CAST(r.request AS STRING) || chr(0) || i.key AS w FROM ({_ASKS}) r JOIN ({_ITEM_BUCKETS}) i USING (bucket)) a) q WHERE n = 1""")
+@query(f"""WITH i AS MATERIALIZED (SELECT bucket, key, row_number() OVER (PARTITION BY bucket ORDER BY SHA256(key)) AS n, count(*) OVER (PARTITION BY bucket) AS total FROM ({_BUCKETED}) b)
+SELECT request, key, total FROM (SELECT request, bucket, CAST('0x' || left(SHA256(w), 15) AS BIGINT) AS draw FROM (SELECT request, bucket, 'pick' || chr(0) || CAST(request AS STRING) AS w FROM ({_ASKS}) r) a) d JOIN i USING (bucket) WHERE i.n = draw % total + 1""")
 def random_pick(t, spark, sf_dir):
-    items = t("objects").where("media_kind is not null").select("key", F.explode(F.array(F.lit("all"), rules.media_class(c("extension")))).alias("bucket"))
-    r = c("s_suppkey") % 3
-    asks = t("supplier").select(c("s_suppkey").alias("request"), F.when(r == 0, "all").when(r == 1, "still").otherwise("clip").alias("bucket"))
-    return selection.random_pick(items, asks, "pick")
+    items = t("objects").select("key", F.explode(rules.buckets_of(c("extension"))).alias("bucket"))
+    asked = F.get(F.array(*map(F.lit, ("all", "Stills", "clips", "webm", "no such bucket"))), (c("s_suppkey") % 5).cast("int"))
+    return selection.random_pick(items, t("supplier").select(c("s_suppkey").alias("request"), rules.requested_bucket(asked).alias("bucket")), "pick")
 
 
 _WANTED = "SELECT DISTINCT r.request, k.id AS tag FROM {requests} r JOIN {catalog_raw} k ON k.name = r.tag WHERE k.name <> '' AND k.count > 0"
@@ -683,8 +733,8 @@ def tag_and_filter(t, spark, sf_dir):
     return selection.with_all_tags(t("item_tags"), wanted)
 
 
-_GRAPH = f""", r AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY quality DESC, key) AS n FROM (SELECT key, round(log2(greatest(1.0, CAST(CAST(width AS BIGINT) * height AS DOUBLE))) + CASE WHEN kind <> 1 THEN 0.5 * log2(greatest(1.0, CAST(coalesce(duration_ms, 0) AS DOUBLE))) ELSE 0.0 END
- + 0.08 * log2(greatest(1.0, CAST(size AS DOUBLE))), 9) AS quality FROM prints) q),
+_GRAPH = f""", r AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY quality DESC, key) AS n FROM (SELECT key, log2(greatest(1.0, CAST(CAST(width AS BIGINT) * height AS DOUBLE))) + CASE WHEN kind <> 1 THEN 0.9::DOUBLE * log2(greatest(1.0, CAST(coalesce(duration_ms, 0) AS DOUBLE))) ELSE 0.0::DOUBLE END
+ + 0.08::DOUBLE * log2(greatest(1.0, CAST(size AS DOUBLE))) AS quality FROM prints) q),
 e AS MATERIALIZED (SELECT a, b, score, evidence FROM ({_STILL_EDGES}) s UNION ALL SELECT a, b, score, evidence FROM ({_CROP_EDGES}) k),
 s AS MATERIALIZED (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
 g AS MATERIALIZED (SELECT x.n AS u, list(y.n) AS vs FROM s JOIN r x ON x.key = s.u JOIN r y ON y.key = s.v GROUP BY x.n),
@@ -697,7 +747,7 @@ _CHOSEN = _WITH_PAIRS.replace("WITH prints", "WITH RECURSIVE prints", 1) + _GRAP
 def _graph(spark, sf_dir):
     p, pairs = _stills(spark, sf_dir)
     still = similarity.still_edges(pairs, p)
-    return P.rated(p), consolidate.cut(still.unionByName(similarity.crop_edges(pairs, p, still)))
+    return P.rated(p), cut(still.unionByName(similarity.crop_edges(pairs, p, still)))
 
 
 @query(_CHOSEN + "SELECT r.key, r.n IN (SELECT u FROM kept) AS survives FROM g JOIN r ON r.n = g.u")
@@ -714,6 +764,12 @@ def review_queue(t, spark, sf_dir):
     return consolidate.review_queue(*_graph(spark, sf_dir), "g1")
 
 
+@query(_CHOSEN + f"""SELECT a.*, b.*, (SELECT count(*) FROM ({_QUEUE}) z) AS candidates FROM (SELECT count(*) FILTER (change <> 'gone') AS inventory, count(*) FILTER (change <> 'gone' AND phash IS NOT NULL) AS reused, count(*) FILTER (change <> 'gone' AND phash IS NULL) AS to_compute,
+ bool_and(phash IS NOT NULL) FILTER (change <> 'gone') AS converged FROM ({_RECONCILED}) q) a, (SELECT count(*) - count(DISTINCT sha256) AS exact FROM {{objects_v2}} o) b""")
+def dedupe_summary(t, spark, sf_dir):
+    return summary.startup(reconcile.reconciled(t("stored"), t("objects_v2")), t("objects_v2"), consolidate.review_queue(*_graph(spark, sf_dir), "g1"))
+
+
 def _decisions(spark, sf_dir):
     """The review queue with a decision for three of four cards; every tenth is of an older generation."""
     q = consolidate.review_queue(*_graph(spark, sf_dir), "g1").withColumn("rank", F.expr("cast(regexp_extract(right_key, '([0-9]+)', 1) as bigint) div 3"))
@@ -754,6 +810,13 @@ def stream_sources(t, spark, sf_dir):
     return ingest.upsert_sources(spark, t("raw_sources"))
 
 
+@query("""SELECT key, ext, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn DESC, position DESC) AS n FROM (
+SELECT key, extension AS ext, size, doc_id AS position, 0 AS turn FROM {objects} a UNION ALL SELECT key, extension, size, doc_id, 1 FROM {objects_v2} b) u) q WHERE n = 1""")
+def stream_index_checkpoint(t, spark, sf_dir):
+    rows = lambda n: t(n).select("key", c("extension").alias("ext"), "size", c("doc_id").alias("position"))
+    return ingest.checkpoint_index(spark, rows("objects"), rows("objects_v2"), 500)
+
+
 @query(f"SELECT key, phash IS NULL AS computed FROM ({_RECONCILED}) q WHERE change <> 'gone'")
 def stream_fingerprint(t, spark, sf_dir):
     return ingest.fingerprint_changes(spark, t("stored"), t("objects_v2"), lambda keys: P.object_pixels(keys, sf_dir)).select("key", "computed")

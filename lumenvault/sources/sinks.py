@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 
 def manifest(entries: DataFrame, generation: str, inventory: DataFrame, path: str) -> None:
     """Entries under their generation and a header row of totals. Invalid entries raise before anything is written."""
-    from ..operators.summary import manifest_totals, manifest_violations
+    from ..operators.summary import manifest_totals, valid_manifest
 
-    found = manifest_violations(entries, generation).first()
-    if found.repeated_sources or found.repeated_destinations or found["foreign"]:
-        raise ValueError(f"invalid manifest: {found.asDict()}")
+    entries = valid_manifest(entries, generation)
     header = manifest_totals(entries, inventory).withColumn("generation", F.lit(generation))
     entries.withColumn("generation", F.lit(generation)).write.mode("append").partitionBy("generation").parquet(f"{path}/entries")
     header.write.mode("append").parquet(f"{path}/headers")
@@ -33,3 +31,11 @@ def run_summary(runs: DataFrame, path: str) -> None:
     from ..operators.summary import acquisition
 
     acquisition(runs).write.mode("append").parquet(path)
+
+
+def canonical_index(objects: DataFrame, path: str) -> None:
+    """The canonical index: its items as JSON lines in order of their key, and its header beside them."""
+    from ..operators.summary import canonical_header, canonical_items
+
+    canonical_items(objects).orderBy("key").select("item").write.mode("overwrite").text(f"{path}/items")
+    canonical_header(objects).write.mode("overwrite").json(f"{path}/header")

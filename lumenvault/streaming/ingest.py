@@ -9,15 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import MEDIA, normalised_source_api
-from ..operators.consolidate import cut
+from ..sources.shared import shared_dir
 
 MOST_SOURCES = 500
 
 
 def _folder(spark: SparkSession) -> str:
-    cut(spark.range(0))  # sets a checkpoint folder where none is set
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _put(batch: DataFrame, sink: str, number: int) -> None:
+    """Writes a micro-batch under its number, so a batch that is tried again replaces what it wrote."""
+    batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+
+def _taken(spark: SparkSession, sink: str, schema: str, before: int | None = None) -> DataFrame:
+    """What the batches (those before one) have written; nothing if there are none."""
+    found = spark.read.schema(f"{schema}, batch int").parquet(sink)
+    return (found if before is None else found.where(F.col("batch") < before)).drop("batch")
+
+
+def _begin(spark: SparkSession, sink: str, schema: str) -> str:
+    spark.createDataFrame([], schema).write.parquet(f"{sink}/batch=-1")
+    return sink
 
 
 def _stream(spark: SparkSession, path: str, files: int):
@@ -33,37 +47,56 @@ def acquire(spark: SparkSession, staged: DataFrame, known: DataFrame, most: int)
     folder = _folder(spark)
     staged.select("key", "extension", "size").repartition(4).write.parquet(f"{folder}/staged")
     known.select("key").write.parquet(f"{folder}/known")
-    sink = f"{folder}/sink"
-    spark.createDataFrame([], "key string, size long").write.parquet(sink)
+    schema = "key string, size long"
+    sink = _begin(spark, f"{folder}/sink", schema)
 
-    def commit(batch: DataFrame, _: int) -> None:
+    def commit(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        seen = session.read.parquet(f"{folder}/known").unionByName(session.read.schema("key string, size long").parquet(sink).select("key"))
-        batch.groupBy("key").agg(F.min("size").alias("size")).join(seen, "key", "left_anti").write.mode("append").parquet(sink)
+        seen = session.read.parquet(f"{folder}/known").unionByName(_taken(session, sink, schema, number).select("key"))
+        _put(batch.groupBy("key").agg(F.min("size").alias("size")).join(seen, "key", "left_anti"), sink, number)
 
     eligible = _stream(spark, f"{folder}/staged", 1).where(F.col("extension").isin(*MEDIA) & (F.col("size") > 0) & (F.col("size") <= most))
     eligible.writeStream.foreachBatch(commit).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("key string, size long").parquet(sink)
+    return _taken(spark, sink, schema)
 
 
 def upsert_sources(spark: SparkSession, raw: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
     """(source): normalised names in case-insensitive order of position, existing ones ignored; more than `most` is refused."""
     folder = _folder(spark)
     raw.select("position", "value").repartitionByRange(3, "position").write.parquet(f"{folder}/raw")
-    state = f"{folder}/state"
-    spark.createDataFrame([], "folded string, source string, position long").write.parquet(state)
+    schema = "folded string, source string, position long"
+    state = _begin(spark, f"{folder}/state", schema)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        held = batch.sparkSession.read.schema("folded string, source string, position long").parquet(state)
+    def merge(batch: DataFrame, number: int) -> None:
+        held = _taken(batch.sparkSession, state, schema, number)
         named = batch.select("position", normalised_source_api(F.col("value")).alias("source")).where("source <> ''")
         first = named.groupBy(F.lower("source").alias("folded")).agg(F.min_by("source", "position").alias("source"), F.min("position").alias("position"))
         fresh = first.join(held, "folded", "left_anti").select("folded", "source", "position").collect() if first.limit(most + 1).count() <= most else None
         if fresh is None or held.count() + len(fresh) > most:
             raise ValueError(f"more than {most} sources")
-        batch.sparkSession.createDataFrame(fresh, "folded string, source string, position long").write.mode("append").parquet(state)
+        _put(batch.sparkSession.createDataFrame(fresh, schema), state, number)
 
     _stream(spark, f"{folder}/raw", 10).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("folded string, source string, position long").parquet(state).select("folded")
+    return _taken(spark, state, schema).select("folded")
+
+
+def checkpoint_index(spark: SparkSession, index: DataFrame, successes: DataFrame, every: int) -> DataFrame:
+    """(key, ext, size) of `index` merged with `successes` (key, ext, size, position), `every` rows or fewer a micro-batch.
+
+    Each batch is a checkpoint of its own, and one that is tried again replaces its rows. Of a key the row of the greatest
+    position wins, whatever batch it came in, and any row over that of the index.
+    """
+    from ..sources.readers import merged_index
+
+    folder = _folder(spark)
+    rows = successes.select("key", "ext", "size", "position")
+    parts = max(1, -(-rows.count() // every))
+    rows.repartitionByRange(parts, "position").write.parquet(f"{folder}/successes")
+    schema = "key string, ext string, size long, position long"
+    sink = _begin(spark, f"{folder}/sink", schema)
+    done = _stream(spark, f"{folder}/successes", 1).writeStream.foreachBatch(lambda batch, number: _put(batch, sink, number))
+    done.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return merged_index(index.select("key", "ext", "size", F.lit(0).cast("long").alias("position")), _taken(spark, sink, schema))
 
 
 def fingerprint_changes(spark: SparkSession, stored: DataFrame, remote: DataFrame, pixels: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -77,34 +110,33 @@ def fingerprint_changes(spark: SparkSession, stored: DataFrame, remote: DataFram
 
     folder = _folder(spark)
     reconciled(stored, remote).where("change <> 'gone'").repartition(3).write.parquet(f"{folder}/feed")
-    sink = f"{folder}/sink"
+    schema = "key string, phash long, computed boolean"
+    sink = _begin(spark, f"{folder}/sink", schema)
 
-    def work(batch: DataFrame, _: int) -> None:
+    def work(batch: DataFrame, number: int) -> None:
         missing = batch.where("phash is null").select("key")
         made = fingerprint_stills(pixels(missing)).select("key", "phash", F.lit(True).alias("computed"))
         kept = batch.where("phash is not null").select("key", "phash", F.lit(False).alias("computed"))
         without = missing.join(made, "key", "left").select("key", "phash", F.coalesce("computed", F.lit(False)).alias("computed"))
-        kept.unionByName(without).write.mode("append").parquet(sink)
+        _put(kept.unionByName(without), sink, number)
 
     _stream(spark, f"{folder}/feed", 10).writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("key string, phash long, computed boolean").parquet(sink)
+    return _taken(spark, sink, schema)
 
 
 def idle_generations(spark: SparkSession, states: DataFrame, now: int, ttl: int) -> DataFrame:
     """(generation) whose last event leaves it unfinished and idle for `ttl` seconds at `now`.
 
     The last event of a generation is kept as streaming state (an aggregate by generation), so
-    events may come in any order over the micro-batches; none is late, as state is never dropped.
+    events may come in any order over the micro-batches; none is late, as state is never dropped. A batch
+    writes the generations that it changed, under its number.
     """
     folder = _folder(spark)
     states.select("generation", "status", "seq", F.coalesce("updated_at", "created_at", F.lit(now)).alias("at"), F.coalesce("updated_at", F.lit(-1)).alias("u")).repartition(3).write.parquet(f"{folder}/events")
     sink = f"{folder}/sink"
-
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/{number:06d}")
-
-    last = _stream(spark, f"{folder}/events", 10).groupBy("generation").agg(F.max(F.struct("u", "seq", "status", "at")).alias("s"))
-    last.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    reader = spark.read.option("recursiveFileLookup", "true").schema(last.schema).parquet(sink).select("generation", "s.*", F.input_file_name().alias("f"))
-    newest = reader.groupBy("generation").agg(F.max_by(F.struct("status", "at"), F.regexp_extract("f", r"/(\d{6})/", 1)).alias("s"))
+    last = _stream(spark, f"{folder}/events", 10).groupBy("generation").agg(F.max(F.struct("u", "seq", "status", "at")).alias("s")).select("generation", "s.status", "s.at")
+    schema = "generation string, status string, at long"
+    _begin(spark, sink, schema)
+    last.writeStream.outputMode("update").foreachBatch(lambda batch, number: _put(batch, sink, number)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    newest = spark.read.schema(f"{schema}, batch int").parquet(sink).groupBy("generation").agg(F.max_by(F.struct("status", "at"), "batch").alias("s"))
     return newest.where(F.col("s.status").isin("building", "recovering", "ready") & (F.lit(now) - F.col("s.at") >= ttl)).select("generation")

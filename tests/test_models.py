@@ -34,6 +34,24 @@ def test_many_equal_hashes_join_as_one_value(spark):
     assert similarity.near_hashes(rows.select("h"), rows.select("h"), 2, 3).where("x = 5").count() >= 1
 
 
+def test_very_many_copies_are_counted_and_not_paired(spark):
+    """90 % of all keys share one hash; a row a key and none a pair comes out."""
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") < 18_000, -1).when(F.col("id") < 18_010, -2).otherwise(F.xxhash64("id")).cast("long").alias("h"))
+    got = similarity.classes(rows, 2, 1)
+    assert got.count() == 20_000
+    assert {(r.copies, r.links) for r in got.where("h in (-1, -2)").collect()} == {(18_000, 18_009), (10, 18_009)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    owners = [(f"k{i}", rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7)))) for i in range(120)]
+    signed = [(k, h - (1 << 64) if h >> 63 else h) for k, h in owners]
+    got = {r.key: (r.copies, r.links) for r in similarity.classes(spark.createDataFrame(signed, "key string, h long"), 2, 8).collect()}
+    assert got == {k: (sum(x == h for _, x in owners), sum((x ^ h).bit_count() <= 8 for _, x in owners) - 1) for k, h in owners}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_survivors_follow_the_sequential_walk(spark, seed):
     rng = random.Random(seed)
@@ -80,6 +98,38 @@ def test_budget_too_small_takes_the_smallest(spark):
     assert [r.key for r in selection.budget_select(rows, 1, "s").collect()] == ["gallery/a"]
 
 
+def test_a_key_listed_twice_is_refused(spark):
+    with pytest.raises(ValueError, match="duplicate"):
+        selection.budget_select(spark.createDataFrame([("gallery/a", 5), ("gallery/a", 6)], "key string, size long"), 10, "s")
+
+
+def test_tag_sets_equal_brute_force(spark):
+    rng = random.Random(5)
+    items = {i: {t for t in range(9) if rng.random() < (0.95 if t == 0 else 0.3)} for i in range(200)}
+    asked = {r: set(rng.sample(range(10), rng.randrange(1, 4))) for r in range(30)}
+    asked[30] = asked[0]
+    found = selection.with_all_tags(spark.createDataFrame([(i, t) for i, ts in items.items() for t in ts], "item long, tag long"), spark.createDataFrame([(r, t) for r, ts in asked.items() for t in ts] * 2, "request long, tag long"))
+    want = sorted((r, i) for r, ts in asked.items() for i, own in items.items() if ts <= own)
+    assert sorted(tuple(r) for r in found.collect()) == want and want
+
+
+def test_picks_are_spread_and_of_their_bucket(spark):
+    items = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("bucket"))
+    asks = spark.range(4000).select(F.col("id").alias("request"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("bucket"))
+    got = selection.random_pick(items, asks, "s").collect()
+    own = {r.key: r.bucket for r in items.collect()}
+    assert len(got) == 4000 and all(own[r.key] == ("a" if r.request % 2 == 0 else "b") and r.total == (100 if r.request % 2 == 0 else 200) for r in got)
+    assert len({r.key for r in got}) > 290
+    assert selection.random_pick(items, spark.createDataFrame([(1, "none")], "request long, bucket string"), "s").count() == 0
+
+
+def test_picks_do_not_meet_whole_buckets(spark):
+    items = spark.range(2000).select(F.col("id").cast("string").alias("key"), F.lit("all").alias("bucket"))
+    asks = spark.range(2000).select(F.col("id").alias("request"), F.lit("all").alias("bucket"))
+    plan = selection.random_pick(items, asks, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "upto" in plan[plan.index("Join Inner") : plan.index("Join Inner") + 200]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_shards_follow_the_heap(spark, seed):
     import heapq
@@ -135,14 +185,90 @@ def test_perceptual_hash_survives_resizing(spark):
     assert row.key == "a" and row.phash == fingerprint.phash(image) and len(row.hash256) == 4 and len(row.crop_hashes) == 7
 
 
+def plain_bits(image, size, kept):
+    """Low frequencies of an image by plain sums: bilinear samples, cosine sums, upper median."""
+    import math
+
+    h, w = len(image), len(image[0])
+
+    def at(n, k):
+        x = min(max((k + 0.5) * n / size - 0.5, 0), n - 1)
+        low = int(x)
+        return low, min(low + 1, n - 1), x - low
+
+    grid = []
+    for j in range(size):
+        y0, y1, fy = at(h, j)
+        row = []
+        for i in range(size):
+            x0, x1, fx = at(w, i)
+            row.append((image[y0][x0] * (1 - fx) + image[y0][x1] * fx) * (1 - fy) + (image[y1][x0] * (1 - fx) + image[y1][x1] * fx) * fy)
+        grid.append(row)
+    scale = lambda k: math.sqrt((1 if k == 0 else 2) / size)
+    cos = [[math.cos(math.pi * (2 * x + 1) * k / (2 * size)) * scale(k) for x in range(size)] for k in range(kept)]
+    half = [[sum(cos[u][y] * grid[y][x] for y in range(size)) for x in range(size)] for u in range(kept)]
+    values = [sum(cos[v][x] * half[u][x] for x in range(size)) for u in range(kept) for v in range(kept)][1:]
+    middle = sorted(values)[len(values) // 2]
+    return values, middle
+
+
+def test_registered_fingerprints_equal_plain_sums(spark, sf):
+    """fingerprint_stills on the given vectors against cosine sums without arrays; bits at the median itself are left open."""
+    got = {r.key: r for r in queries.QUERIES["fingerprint_stills"](spark, sf).collect()}
+    from lumenvault.plans import prints
+
+    images = {r.key: np.frombuffer(r.pixels, np.uint8).reshape(64, 64).tolist() for r in prints.pixels(spark, sf).collect()}
+    assert got.keys() == images.keys()
+    for key in sorted(images)[:3]:
+        for bits, size, kept in (([got[key].phash], 32, 8), (got[key].hash256, 64, 16)):
+            values, middle = plain_bits(images[key], size, kept)
+            for n, v in enumerate(values):
+                if abs(v - middle) > 1e-6:
+                    assert (bits[n // 64] >> n % 64) & 1 == (v > middle)
+        side = int(64 * 0.75)
+        off = (64 - side) // 2
+        values, middle = plain_bits([row[off : off + side] for row in images[key][off : off + side]], 32, 8)
+        assert all((got[key].crop_hashes[1] >> n) & 1 == (v > middle) for n, v in enumerate(values) if abs(v - middle) > 1e-6)
+
+
+def test_registered_gif_samples_equal_a_walk(spark, sf):
+    from lumenvault.plans import prints
+
+    frames = {}
+    for r in prints.frames(spark, sf).collect():
+        frames.setdefault(r.key, []).append((r.frame_index, r.timestamp_ns))
+    want = set()
+    for key, rows in frames.items():
+        rows.sort()
+        total, last = 100_000_000 * len(rows), -1
+        for k in range(min(32, len(rows))):
+            at = max(i for i, (_, t) in enumerate(rows) if t <= total * k // 32 or i == 0)
+            at += at == last and at + 1 < len(rows)
+            want.add((key, k, rows[at][0]))
+            last = at
+    assert {tuple(r) for r in queries.QUERIES["frame_sample_gif"](spark, sf).collect()} == want
+
+
+def test_majorities_of_wide_hashes(spark):
+    rng = random.Random(8)
+    rows = [("a", i, rng.getrandbits(64) - (1 << 63), [rng.getrandbits(64) - (1 << 63) for _ in range(4)], [i]) for i in range(5)] + [("b", 3, -1, [-1, 0, 1, -2], [7]), ("b", 2, 0, [0, 0, 0, 0], [8])]
+    got = {r.key: r for r in fingerprint.timelines(spark.createDataFrame(rows, "key string, frame_index long, h long, h256 array<long>, crops array<long>")).collect()}
+    most = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) >= len(hs))
+    for key in "ab":
+        own = sorted(r for r in rows if r[0] == key)
+        assert got[key].majority % (1 << 64) == most([r[2] for r in own]) and [x % (1 << 64) for x in got[key].majority256] == [most([r[3][w] for r in own]) for w in range(4)]
+        assert got[key].timeline == [r[2] for r in own] and got[key].crop_hashes == own[0][4]
+
+
 def test_gif_sampling_repeats_no_frame_while_others_are_left(spark):
     rows = spark.createDataFrame([("g", 0, 0, 100), ("g", 1, 100, 200)], "key string, frame_index long, start_ns long, duration_ns long")
     assert [(r["sample"], r.frame_index) for r in fingerprint.sampled_frames_gif(rows).orderBy("sample").collect()] == [(0, 0), (1, 1)]
 
 
 def test_strict_readers_raise(spark):
-    bad = spark.createDataFrame([('[{"key":"a","size":1},{"ext":"jpg"}]',)], "body string")
-    assert readers.index_items(bad, strict=False).count() == 1
+    bad = spark.createDataFrame([('[{"key":"gallery/a"},{"key":"a","size":1},{"ext":"jpg"}]',)], "body string")
+    assert [tuple(r) for r in readers.index_items(bad, strict=False).collect()] == [("gallery/a", None, None)]
+    assert readers.index_items(spark.createDataFrame([('{"items":[{"key":"gallery/a"}]}',), ("{}",)], "body string"), strict=True).count() == 1
     with pytest.raises(Exception, match="bad row"):
         readers.index_items(bad, strict=True).collect()
     with pytest.raises(Exception, match="not a source list"):
