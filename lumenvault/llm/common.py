@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text that a Python task holds as word or piece lists at a time.
 SLICE_BYTES = 2 << 20
+#: With this setting Spark removes the shuffle files of a query when it ends; otherwise they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cut lineage that survives lost executors.
 
-    All tables of an application lie in one folder, to be removed when it has ended; discard() removes one before.
+    Nothing reads the write's shuffle files again, so they go with it. All tables of an application lie in one folder, to be removed when it has ended; discard() removes one before.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back
 
