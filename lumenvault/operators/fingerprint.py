@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import ship
+
 #: Pixels of an image at most; larger ones are rejected.
 MOST_PIXELS = 100_000_000
 
@@ -86,6 +88,7 @@ def fingerprint_stills(images: DataFrame) -> DataFrame:
                 rows.append((key, phash(image), hash256(image), crop_hashes(image)))
             yield pd.DataFrame(rows, columns=["key", "phash", "hash256", "crop_hashes"])
 
+    ship(images.sparkSession)
     return images.where(F.col("width").cast("bigint") * F.col("height") <= MOST_PIXELS).select("key", "width", "height", "pixels").mapInPandas(work, "key string, phash long, hash256 array<long>, crop_hashes array<long>")
 
 
@@ -101,6 +104,7 @@ def gray_of_image_source(images: DataFrame) -> DataFrame:
                 out.append(g.astype(np.uint8).tobytes())
             yield pd.DataFrame({"key": pdf.origin, "width": pdf.width, "height": pdf.height, "pixels": out})
 
+    ship(images.sparkSession)
     return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInPandas(work, "key string, width int, height int, pixels binary")
 
 
@@ -123,6 +127,7 @@ def sampled_frames_gif(frames: DataFrame, most: int = 32) -> DataFrame:
             last = at
         return pd.DataFrame(rows, columns=["key", "sample", "frame_index"])
 
+    ship(frames.sparkSession)
     return frames.groupBy("key").applyInPandas(choose, "key string, sample int, frame_index long")
 
 

@@ -6,10 +6,12 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import ship
+
 #: Limits and weights of the score rules.
 STILL_PHASH, STILL_H256, CROP_PHASH, CROP_H256, MOVING_PHASH, TIMELINE, LEAST_SCORE = 10, 48, 7, 64, 12, 12.0, 0.76
 LEAST_OVERLAP = 0.60
@@ -132,11 +134,17 @@ def alignment_distance(first: np.ndarray, second: np.ndarray, ratio: float) -> f
 
 
 @F.pandas_udf(T.DoubleType())
-def timeline_distance(first: pd.Series, second: pd.Series, ratio: pd.Series) -> pd.Series:
+def _aligned(first: pd.Series, second: pd.Series, ratio: pd.Series) -> pd.Series:
     as_bits = lambda x: np.asarray(x if x is not None else [], np.int64).view(np.uint64)
     return pd.Series([alignment_distance(as_bits(a), as_bits(b), r) for a, b, r in zip(first, second, ratio)], dtype="float64")
 
 
+def timeline_distance(first, second, ratio) -> Column:
+    """alignment_distance() of columns: two arrays of frame hashes and the ratio of the durations."""
+    ship(SparkSession.active())
+    return _aligned(first, second, ratio)
+
+
 def moving_edges(candidates: DataFrame, prints: DataFrame) -> DataFrame:
     """Edges of moving media. The cheap bounds come first, so only pairs that pass them are aligned."""
     both = _with_prints(candidates, prints).where((F.col("l.kind") != 1) & (F.col("p") <= MOVING_PHASH) & (F.col("h") <= CROP_H256))

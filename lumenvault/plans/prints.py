@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ship
 from .fixtures import derived
 
 STEP = 1234567891011
@@ -118,4 +119,5 @@ def _drawn(vectors: DataFrame) -> DataFrame:
                 out.append(np.kron(g, np.ones((8, 8))).astype(np.uint8).tobytes())
             yield pd.DataFrame({"key": pdf.key, "width": 64, "height": 64, "pixels": out}).astype({"width": "int32", "height": "int32"})
 
+    ship(vectors.sparkSession)
     return vectors.mapInPandas(work, "key string, width int, height int, pixels binary")

@@ -1,11 +1,14 @@
-"""The folder that driver and executors share, and tables cut from their lineage in it."""
+"""What driver and executors share: the folder for intermediate tables, and the code of this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the context's checkpoint folder; where neither is set, a folder of our own in local
@@ -25,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, whatever folder the driver was started in. Called before a Python function is made."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

@@ -62,3 +62,12 @@ def test_too_many_sources_are_refused(spark):
     assert ingest.upsert_sources(spark, raw, 6).count() == 6
     with pytest.raises(Exception, match="more than 5 sources"):
         ingest.upsert_sources(spark, raw, 5)
+
+
+def test_workers_find_the_package(spark):
+    from lumenvault.operators import similarity
+    from lumenvault.sources.shared import ROOT
+
+    rows = spark.createDataFrame([([1, 2, 3], [1, 2, 3]), ([0], [7])], "a array<long>, b array<long>")
+    assert sorted(r[0] for r in rows.select(similarity.timeline_distance("a", "b", F.lit(1.0))).collect()) == [0.0, 3.0]
+    assert ROOT in spark.sparkContext.environment["PYTHONPATH"].split(":")
