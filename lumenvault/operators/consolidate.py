@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
+from .similarity import SAME_IMAGE
 
 
 def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,3 +51,37 @@ def review_queue(nodes: DataFrame, edges: DataFrame, generation: str) -> DataFra
     top = met.groupBy("right_key").agg(F.max("q").alias("q"))
     first = met.join(top, ["right_key", "q"]).groupBy("right_key").agg(F.min_by(F.struct("left_key", "score", "evidence"), "left_key").alias("x"))
     return first.select("x.*", "right_key", F.lit(generation).alias("generation"))
+
+
+def _class_graph(nodes: DataFrame, members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, nodes, edges): each class (class, best, quality, n) with its best member, which stands for it in the graph."""
+    rated = members.join(nodes.select("key", "quality"), "key")
+    top = rated.groupBy("class").agg(F.max("quality").alias("quality"), F.count("*").alias("n"))
+    best = rated.join(top, ["class", "quality"]).groupBy("class").agg(F.min("key").alias("best"))
+    classes = cut(top.join(best, "class"))
+    side = lambda own, to: classes.select(F.col("class").alias(own), F.col("best").alias(to))
+    named = edges.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "score", "evidence")
+    return classes, classes.select(F.col("best").alias("key"), "quality"), cut(named)
+
+
+def class_survivors(nodes: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """survivors() of a graph given by classes: members (key, class) and edges (a, b, score, evidence) between classes.
+
+    Members of a class are linked to one another and have the same links to others, so only its best one can survive,
+    and does so if the class survives among the classes. No pair of members is listed. Objects of equal content are one object here: exact copies go before.
+    """
+    classes, graph, links = _class_graph(nodes, members, edges)
+    state = survivors(graph, links).select(F.col("key").alias("best"), "survives")
+    settled = classes.join(state, "best", "left").where("n > 1 or survives is not null").select("class", "best", F.coalesce("survives", F.lit(True)).alias("survives"))
+    return members.join(settled, "class").select("key", ((F.col("key") == F.col("best")) & F.col("survives")).alias("survives"))
+
+
+def class_review_queue(nodes: DataFrame, members: DataFrame, edges: DataFrame, generation: str) -> DataFrame:
+    """review_queue() of a graph given by classes, as in class_survivors().
+
+    A member of a class that survives meets its best member; one of a class that does not meets what its class meets.
+    """
+    classes, graph, links = _class_graph(nodes, members, edges)
+    met = cut(review_queue(graph, links, generation).select(F.col("right_key").alias("best"), "left_key", "score", "evidence"))
+    cards = members.join(classes.select("class", "best", "n"), "class").join(met, "best", "left").where("left_key is not null or (n > 1 and key <> best)")
+    return cards.select(F.coalesce("left_key", "best").alias("left_key"), F.col("key").alias("right_key"), F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("evidence", F.lit(SAME_IMAGE)).alias("evidence"), F.lit(generation).alias("generation"))

@@ -65,6 +65,21 @@ def pairs(left: DataFrame, right: DataFrame, radius: int, distance: int) -> Data
     return both.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct()
 
 
+def still_classes(prints: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
+    """(key, class) of every still: those with the same hashes are a class, named by its least key.
+
+    All members have the same edges, so edges between the members that name a class stand for all, and a hash of very
+    many keys costs one row a key. Keys that an exclusion names are classes of their own, as their edges differ.
+    """
+    stills = prints.where("kind = 1").select("key", F.concat_ws(",", F.col("phash").cast("string"), F.col("hash256").cast("array<string>"), F.col("crop_hashes").cast("array<string>")).alias("print"))
+    if exclusions is not None:
+        named = exclusions.select(F.col("first_key").alias("key")).unionByName(exclusions.select(F.col("second_key").alias("key"))).distinct()
+        alone = named.select("key", F.lit(True).alias("alone"))
+        stills = stills.join(alone, "key", "left").select("key", F.when(F.col("alone"), F.concat("print", F.lit("|"), "key")).otherwise(F.col("print")).alias("print"))
+    first = stills.groupBy("print").agg(F.min("key").alias("class"))
+    return stills.join(first, "print").select("key", "class")
+
+
 def still_candidates(prints: DataFrame) -> DataFrame:
     h = prints.where("kind = 1").select("key", F.col("phash").alias("h"))
     return pairs(h, h, 2, STILL_PHASH)

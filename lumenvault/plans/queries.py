@@ -532,6 +532,20 @@ def crop_edges(t, spark, sf_dir):
     return similarity.crop_edges(pairs, p, similarity.still_edges(pairs, p))
 
 
+_CLASSES = "SELECT key, min(key) OVER (PARTITION BY phash, hash256, crop_hashes) AS class FROM prints WHERE kind = 1"
+
+
+@query(_WITH + _CLASSES)
+def still_classes(t, spark, sf_dir):
+    return similarity.still_classes(P.prints(spark, sf_dir))
+
+
+@query(_WITH_PAIRS + f", first AS MATERIALIZED (SELECT DISTINCT class FROM ({_CLASSES}) c) SELECT * FROM (SELECT * FROM ({_STILL_EDGES}) s UNION ALL SELECT * FROM ({_CROP_EDGES}) k) e WHERE a IN (SELECT class FROM first) AND b IN (SELECT class FROM first)")
+def class_edges(t, spark, sf_dir):
+    """Edges between classes; with still_classes() they say all that still_edges() and crop_edges() list pair by pair."""
+    return _class_edges(spark, sf_dir)[1]
+
+
 _PAIR_MOVING = f", pair_moving AS MATERIALIZED ({_PAIR.format(_MOVING)}) "
 #: Alignment of each pair, a row for each length and start of a stretch of the longer series.
 _ALIGNED = """, lines AS MATERIALIZED (SELECT a, b, p, h, least(ld, rd) / greatest(ld, rd) AS ratio, CASE WHEN len(lt) <= len(rt) THEN lt ELSE rt END AS s, CASE WHEN len(lt) <= len(rt) THEN rt ELSE lt END AS l FROM pair_moving),
@@ -744,15 +758,23 @@ kept AS MATERIALIZED (SELECT unnest(kept) AS u FROM (SELECT kept FROM walk ORDER
 _CHOSEN = _WITH_PAIRS.replace("WITH prints", "WITH RECURSIVE prints", 1) + _GRAPH
 
 
+def _class_edges(spark, sf_dir):
+    """The class of each still, and the edges between classes."""
+    p = P.prints(spark, sf_dir)
+    members = cut(similarity.still_classes(p))
+    first = cut(p.join(members.where("key = class").select("key"), "key", "left_semi"))
+    pairs = cut(similarity.still_candidates(first).unionByName(similarity.crop_candidates(first)).distinct())
+    still = similarity.still_edges(pairs, first)
+    return members, cut(still.unionByName(similarity.crop_edges(pairs, first, still)))
+
+
 def _graph(spark, sf_dir):
-    p, pairs = _stills(spark, sf_dir)
-    still = similarity.still_edges(pairs, p)
-    return P.rated(p), cut(still.unionByName(similarity.crop_edges(pairs, p, still)))
+    return P.rated(P.prints(spark, sf_dir)), *_class_edges(spark, sf_dir)
 
 
 @query(_CHOSEN + "SELECT r.key, r.n IN (SELECT u FROM kept) AS survives FROM g JOIN r ON r.n = g.u")
 def consolidate_graph(t, spark, sf_dir):
-    return consolidate.survivors(*_graph(spark, sf_dir))
+    return consolidate.class_survivors(*_graph(spark, sf_dir))
 
 
 _QUEUE = """SELECT l.key AS left_key, x.key AS right_key, e.score, e.evidence, 'g1' AS generation FROM (SELECT q.v, min(q.u) AS u FROM (SELECT g.u AS v, unnest(g.vs) AS u FROM g) q WHERE q.u IN (SELECT u FROM kept) AND q.v NOT IN (SELECT u FROM kept) GROUP BY q.v) m
@@ -761,18 +783,18 @@ JOIN r l ON l.n = m.u JOIN r x ON x.n = m.v JOIN e ON (e.a = l.key AND e.b = x.k
 
 @query(_CHOSEN + _QUEUE)
 def review_queue(t, spark, sf_dir):
-    return consolidate.review_queue(*_graph(spark, sf_dir), "g1")
+    return consolidate.class_review_queue(*_graph(spark, sf_dir), "g1")
 
 
 @query(_CHOSEN + f"""SELECT a.*, b.*, (SELECT count(*) FROM ({_QUEUE}) z) AS candidates FROM (SELECT count(*) FILTER (change <> 'gone') AS inventory, count(*) FILTER (change <> 'gone' AND phash IS NOT NULL) AS reused, count(*) FILTER (change <> 'gone' AND phash IS NULL) AS to_compute,
  bool_and(phash IS NOT NULL) FILTER (change <> 'gone') AS converged FROM ({_RECONCILED}) q) a, (SELECT count(*) - count(DISTINCT sha256) AS exact FROM {{objects_v2}} o) b""")
 def dedupe_summary(t, spark, sf_dir):
-    return summary.startup(reconcile.reconciled(t("stored"), t("objects_v2")), t("objects_v2"), consolidate.review_queue(*_graph(spark, sf_dir), "g1"))
+    return summary.startup(reconcile.reconciled(t("stored"), t("objects_v2")), t("objects_v2"), consolidate.class_review_queue(*_graph(spark, sf_dir), "g1"))
 
 
 def _decisions(spark, sf_dir):
     """The review queue with a decision for three of four cards; every tenth is of an older generation."""
-    q = consolidate.review_queue(*_graph(spark, sf_dir), "g1").withColumn("rank", F.expr("cast(regexp_extract(right_key, '([0-9]+)', 1) as bigint) div 3"))
+    q = consolidate.class_review_queue(*_graph(spark, sf_dir), "g1").withColumn("rank", F.expr("cast(regexp_extract(right_key, '([0-9]+)', 1) as bigint) div 3"))
     kind = F.when(c("rank") % 4 == 0, "keep both").when(c("rank") % 4 == 1, "delete left").when(c("rank") % 4 == 2, "delete right")
     return q, q.where("rank % 4 <> 3").select("left_key", "right_key", kind.alias("decision"), F.when(c("rank") % 10 == 0, "g0").otherwise("g1").alias("seen"))
 

@@ -273,3 +273,27 @@ def test_strict_readers_raise(spark):
         readers.index_items(bad, strict=True).collect()
     with pytest.raises(Exception, match="not a source list"):
         readers.source_list(spark.createDataFrame([(1, '{"sources":"x"}')], "list_id int, body string")).collect()
+
+
+def test_classes_of_copies_consolidate_as_their_pairs(spark):
+    """Most stills share one print: the class graph gives what the graph of all pairs gives, from far fewer edges."""
+    rng = random.Random(12)
+    base = rng.getrandbits(63)
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(63), n))
+    prints = [base] * 60 + [flip(base, n) for n in (1, 2, 4, 6, 8, 10, 12)] + [flip(base, 14)] * 5 + [rng.getrandbits(63) for _ in range(5)] + [rng.getrandbits(63)] * 3
+    rows = [(f"k{i:03d}", h, [h] * 4, [h ^ 1 << 40, h ^ 3], 1, f"s{i}", None, None) for i, h in enumerate(prints)]
+    p = spark.createDataFrame(rows, "key string, phash long, hash256 array<long>, crop_hashes array<long>, kind int, sha256 string, duration_ms long, timeline array<long>").cache()
+    nodes = spark.createDataFrame([(r[0], float(rng.randrange(9))) for r in rows], "key string, quality double")
+    apart = spark.createDataFrame([("k003", "k010"), ("k004", "k061")], "first_key string, second_key string")
+
+    def linked(of):
+        pairs = similarity.without_excluded(similarity.still_candidates(of).unionByName(similarity.crop_candidates(of)).distinct(), apart).cache()
+        still = similarity.still_edges(pairs, of)
+        return still.unionByName(similarity.crop_edges(pairs, of, still)).cache()
+
+    members = similarity.still_classes(p, apart).cache()
+    every, few = linked(p), linked(p.join(members.where("key = class").select("key"), "key", "left_semi"))
+    rows_of = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    assert rows_of(consolidate.class_survivors(nodes, members, few)) == rows_of(consolidate.survivors(nodes, every))
+    assert rows_of(consolidate.class_review_queue(nodes, members, few, "g")) == rows_of(consolidate.review_queue(nodes, every, "g"))
+    assert every.count() > 1700 and few.count() < 150
