@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontaminate, merkle, oracles, pii, simhash, suffixes, toxicity, urls
+from . import bpe, chunks, decontaminate, divergence, infill, merkle, mixing, oracles, pii, simhash, suffixes, toxicity, urls
 from .common import table
 
 
@@ -62,5 +62,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_toxicity, op4_decontaminate, op5_merkle, op6_token_counts, op7_substring_dedup, op8_pii, op9_byte_bpe, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": oracles.OP4, "op5_merkle": oracles.OP5, "op8_pii": oracles.OP8, "op10_suffix_dedup": oracles.OP10}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.planned(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("text", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("text"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_toxicity, op4_decontaminate, op5_merkle, op6_token_counts, op7_substring_dedup, op8_pii, op9_byte_bpe, op10_suffix_dedup, op11_source_divergence, op12_source_mix, op13_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": oracles.OP4, "op5_merkle": oracles.OP5, "op8_pii": oracles.OP8, "op10_suffix_dedup": oracles.OP10, "op11_source_divergence": oracles.OP11, "op12_source_mix": oracles.OP12, "op13_fill_in_middle": oracles.OP13}
