@@ -101,6 +101,12 @@ def abandoned(latest: DataFrame, preserved: DataFrame, now: int, ttl: int = DAY)
     return latest.join(preserved, "generation", "left_anti").where(dead).select("generation", "status")
 
 
+def abandoned_keys(dead: DataFrame, listing: DataFrame, prefix: str = "gallery/generations/") -> DataFrame:
+    """(generation, key) of what is listed under the generations to sweep; the generation is read from the key, so the join is by equality."""
+    under = listing.where(F.col("key").startswith(prefix)).select("key", F.substring_index(F.substring("key", len(prefix) + 1, 1 << 20), "/", 1).alias("generation")).where(F.col("key").startswith(F.concat(F.lit(prefix), F.col("generation"), F.lit("/"))))
+    return under.join(dead.where("generation <> ''").select("generation").distinct(), "generation", "left_semi").select("generation", "key")
+
+
 def journal(operations: DataFrame, live: DataFrame) -> DataFrame:
     """What recovery does with each journalled deletion."""
     found = live.select(F.col("key").alias("target_key"), F.col("file_id").alias("target_file_id"), F.lit(True).alias("live"))
@@ -110,7 +116,8 @@ def journal(operations: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def deletable(targets: DataFrame, live: DataFrame) -> DataFrame:
-    """One row: whether every target still has the file id it was chosen with, and how many do not."""
+    """One row: whether every distinct target still has the file id it was chosen with, and how many do not."""
+    targets = targets.select("target_key", "target_file_id").distinct()
     found = live.select(F.col("key").alias("target_key"), "file_id")
     bad = F.count_if(F.col("file_id").isNull() | (F.col("file_id") != F.col("target_file_id")))
     return targets.join(found, "target_key", "left").agg(F.count("*").alias("targets"), bad.alias("stale")).withColumn("refused", F.col("stale") > 0)

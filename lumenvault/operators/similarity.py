@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import ship
+from ..sources.shared import cut, ship
 
 #: Limits and weights of the score rules.
 STILL_PHASH, STILL_H256, CROP_PHASH, CROP_H256, MOVING_PHASH, TIMELINE, LEAST_SCORE = 10, 48, 7, 64, 12, 12.0, 0.76
@@ -65,19 +65,34 @@ def pairs(left: DataFrame, right: DataFrame, radius: int, distance: int) -> Data
     return both.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct()
 
 
-def still_classes(prints: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
-    """(key, class) of every still: those with the same hashes are a class, named by its least key.
+def media_classes(prints: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
+    """(key, class, evidence): media whose prints agree in all that edges depend on are a class, named by its least key.
 
-    All members have the same edges, so edges between the members that name a class stand for all, and a hash of very
-    many keys costs one row a key. Keys that an exclusion names are classes of their own, as their edges differ.
+    All members are linked to one another (evidence says as what) and have the same edges, so edges between the members that name a class stand for all,
+    and a print of very many keys costs one row a key. Keys that an exclusion names are classes of their own, as their edges differ; so are
+    moving media without a timeline, which have no edges.
     """
-    stills = prints.where("kind = 1").select("key", F.concat_ws(",", F.col("phash").cast("string"), F.col("hash256").cast("array<string>"), F.col("crop_hashes").cast("array<string>")).alias("print"))
+    text = lambda *cs: F.concat_ws("|", *[F.concat_ws(",", F.col(c).cast("array<string>")) if dict(prints.dtypes)[c].startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cs])
+    moving = F.when(F.size("timeline") > 0, text("phash", "hash256", "duration_ms", "frame_count", "timeline")).otherwise(F.concat(F.lit("alone|"), F.col("key")))
+    media = prints.select("key", F.when(F.col("kind") == 1, F.concat(F.lit("still|"), text("phash", "hash256", "crop_hashes"))).otherwise(moving).alias("print"), F.when(F.col("kind") == 1, SAME_IMAGE).otherwise(SAME_MOVING).alias("evidence"))
     if exclusions is not None:
         named = exclusions.select(F.col("first_key").alias("key")).unionByName(exclusions.select(F.col("second_key").alias("key"))).distinct()
         alone = named.select("key", F.lit(True).alias("alone"))
-        stills = stills.join(alone, "key", "left").select("key", F.when(F.col("alone"), F.concat("print", F.lit("|"), "key")).otherwise(F.col("print")).alias("print"))
-    first = stills.groupBy("print").agg(F.min("key").alias("class"))
-    return stills.join(first, "print").select("key", "class")
+        media = media.join(alone, "key", "left").select("key", F.when(F.col("alone"), F.concat("print", F.lit("|"), "key")).otherwise(F.col("print")).alias("print"), "evidence")
+    first = media.groupBy("print").agg(F.min("key").alias("class"))
+    return media.join(first, "print").select("key", "class", "evidence")
+
+
+def still_classes(prints: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
+    """media_classes() of stills: (key, class)."""
+    return media_classes(prints.where("kind = 1"), exclusions).select("key", "class")
+
+
+def class_graph(prints: DataFrame, exclusions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """media_classes(), and the edges between classes: all edges less exclusions, with no pair of one class listed."""
+    members = cut(media_classes(prints, exclusions))
+    first = cut(prints.join(members.where("key = class").select("key"), "key", "left_semi"))
+    return members, cut(_edges(first, exclusions))
 
 
 def still_candidates(prints: DataFrame) -> DataFrame:
@@ -105,7 +120,7 @@ def _bits(a: Column, b: Column) -> Column:
 
 def _with_prints(candidates: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs of unlike content with both fingerprints (structs l and r) and their distances p and h."""
-    side = lambda key, name: prints.select(F.col("key").alias(key), F.struct("phash", "hash256", "crop_hashes", "kind", "sha256", "duration_ms", "timeline").alias(name))
+    side = lambda key, name: prints.select(F.col("key").alias(key), F.struct("phash", "hash256", "crop_hashes", "kind", "sha256", "duration_ms", "frame_count", "timeline").alias(name))
     both = candidates.join(side("a", "l"), "a").join(side("b", "r"), "b").where("l.sha256 <> r.sha256 and (l.kind = 1) = (r.kind = 1)")
     wide = F.aggregate(F.zip_with("l.hash256", "r.hash256", _bits), F.lit(0), lambda z, x: z + x)
     return both.withColumn("p", _bits(F.col("l.phash"), F.col("r.phash"))).withColumn("h", wide)
@@ -160,21 +175,29 @@ def timeline_distance(first, second, ratio) -> Column:
     return _aligned(first, second, ratio)
 
 
+def length_ratio() -> Column:
+    """Of a pair (structs l and r): the shorter duration by the longer, of frame counts where a duration is missing, else 1."""
+    part = lambda c: (F.col(f"l.{c}") > 0) & (F.col(f"r.{c}") > 0)
+    ratio = lambda c: F.least(f"l.{c}", f"r.{c}") / F.greatest(f"l.{c}", f"r.{c}")
+    return F.when(part("duration_ms"), ratio("duration_ms")).when(part("frame_count"), ratio("frame_count")).otherwise(1.0)
+
+
 def moving_edges(candidates: DataFrame, prints: DataFrame) -> DataFrame:
     """Edges of moving media. The cheap bounds come first, so only pairs that pass them are aligned."""
     both = _with_prints(candidates, prints).where((F.col("l.kind") != 1) & (F.col("p") <= MOVING_PHASH) & (F.col("h") <= CROP_H256))
-    l, r = F.col("l.duration_ms"), F.col("r.duration_ms")
-    ratio = F.when((l > 0) & (r > 0), F.least(l, r) / F.greatest(l, r)).otherwise(1.0)
-    both = both.withColumn("ratio", ratio).withColumn("t", timeline_distance("l.timeline", "r.timeline", "ratio"))
+    both = both.withColumn("ratio", length_ratio()).withColumn("t", timeline_distance("l.timeline", "r.timeline", "ratio"))
     good = (F.col("t") <= TIMELINE) & ((F.col("ratio") >= LEAST_OVERLAP) | (F.col("t") <= 0.65 * TIMELINE))
     score = _bounded(1.0 - 0.30 * F.col("p") / 64.0 - 0.25 * F.col("h") / 256.0 - 0.45 * F.col("t") / 64.0)
     return both.where(good).select("a", "b", score.alias("score"), F.when(F.col("ratio") < 0.9, EXCERPT).otherwise(SAME_MOVING).alias("evidence")).where(F.col("score") >= LEAST_SCORE)
 
 
+def _edges(prints: DataFrame, exclusions: DataFrame | None) -> DataFrame:
+    keep = (lambda c: without_excluded(c, exclusions)) if exclusions is not None else (lambda c: c)
+    stills = cut(keep(still_candidates(prints).unionByName(crop_candidates(prints)).distinct()))
+    still = cut(still_edges(stills, prints))
+    return still.unionByName(crop_edges(stills, prints, still)).unionByName(moving_edges(keep(moving_candidates(prints)), prints))
+
+
 def all_edges(prints: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
     """Edges of all media, best first. Exclusions are taken out before any pair is scored."""
-    keep = (lambda c: without_excluded(c, exclusions)) if exclusions is not None else (lambda c: c)
-    main, crops = keep(still_candidates(prints)), keep(crop_candidates(prints))
-    still = still_edges(main.unionByName(crops).distinct(), prints)
-    edges = still.unionByName(crop_edges(main.unionByName(crops).distinct(), prints, still)).unionByName(moving_edges(keep(moving_candidates(prints)), prints))
-    return edges.orderBy(F.desc("score"), "a", "b")
+    return _edges(prints, exclusions).orderBy(F.desc("score"), "a", "b")

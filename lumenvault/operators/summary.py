@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows whose digests are put together at a time.
 DIGEST_ROWS = 100_000
+#: What manifests say of their form and of how entries were chosen.
+MANIFEST_VERSION, ALGORITHM = 1, "seeded-digest-order-under-budget-v1"
 
 
 def gate(inventory: DataFrame) -> DataFrame:
@@ -22,22 +24,50 @@ def manifest_totals(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     return chosen.join(inventory.agg(F.count("*").alias("inventory_objects"), F.sum("size").alias("inventory_bytes")))
 
 
-def manifest_violations(manifest: DataFrame, generation: str) -> DataFrame:
-    """One row of counts: entries, repeated sources and destinations, foreign prefixes."""
-    return manifest.agg(
-        F.count("*").alias("entries"),
-        (F.count("*") - F.count_distinct("source_key")).alias("repeated_sources"),
-        (F.count("*") - F.count_distinct("destination_key")).alias("repeated_destinations"),
-        F.count_if(~F.col("destination_key").startswith(f"gallery/generations/{generation}/")).alias("foreign"),
-    )
+def refused_if_unverifiable(inventory: DataFrame) -> DataFrame:
+    """`inventory`, or an error where gate() refuses it."""
+    found = gate(inventory).first()
+    if found.refused:
+        raise ValueError(f"inventory cannot be published: {found.asDict()}")
+    return inventory
 
 
-def valid_manifest(manifest: DataFrame, generation: str) -> DataFrame:
-    """`manifest`, or an error if its entries repeat a key or leave the generation's folder."""
-    found = manifest_violations(manifest, generation).first()
-    if found.repeated_sources or found.repeated_destinations or found["foreign"]:
-        raise ValueError(f"invalid manifest: {found.asDict()}")
-    return manifest
+def manifest_header(entries: DataFrame, inventory: DataFrame, generation: str, created_at: int, seed: str, target_bytes: int) -> DataFrame:
+    """The header row of a manifest: what was asked for, and its totals."""
+    given = [F.lit(generation).alias("generation"), F.lit(MANIFEST_VERSION).alias("version"), F.lit(created_at).cast("long").alias("created_at"), F.lit(seed).alias("seed"), F.lit(ALGORITHM).alias("selection_algorithm"), F.lit(target_bytes).cast("long").alias("target_bytes")]
+    totals = manifest_totals(entries, inventory)
+    return totals.select(*given, *[F.coalesce(c, F.lit(0)).alias(c) for c in totals.columns])
+
+
+def manifest_violations(entries: DataFrame, headers: DataFrame) -> DataFrame:
+    """Per generation of `headers` (or of entries that have none): what is wrong with its manifest, and whether it is refused.
+
+    entries: (generation, source_key, destination_key, size). headers: (generation, version, target_bytes, inventory_objects, selected_objects, selected_bytes).
+    Counted are repeated sources and destinations and destinations outside the generation's folder; the header is judged by version,
+    target, inventory and declared totals.
+    """
+    inside = F.col("destination_key").startswith(F.concat(F.lit("gallery/generations/"), F.col("generation"), F.lit("/")))
+    found = entries.groupBy("generation").agg(
+        F.count("*").alias("entries"), F.sum("size").alias("bytes"), (F.count("*") - F.count_distinct("source_key")).alias("repeated_sources"),
+        (F.count("*") - F.count_distinct("destination_key")).alias("repeated_destinations"), F.count_if(~inside).alias("foreign"),
+    )
+    both = headers.join(found, "generation", "full_outer")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("entries", "bytes", "repeated_sources", "repeated_destinations", "foreign")}
+    bad = {
+        "bad_version": (F.col("version") != MANIFEST_VERSION) | (F.col("generation") == ""), "bad_target": F.col("target_bytes") < 1, "bad_inventory": F.col("inventory_objects") < n["entries"],
+        "bad_objects": F.col("selected_objects") != n["entries"], "bad_bytes": F.col("selected_bytes") != n["bytes"],
+    }
+    out = both.select("generation", *[n[c].alias(c) for c in ("entries", "repeated_sources", "repeated_destinations", "foreign")], *[F.coalesce(x, F.lit(True)).alias(c) for c, x in bad.items()])
+    refused = (F.col("repeated_sources") + F.col("repeated_destinations") + F.col("foreign") > 0) | F.greatest(*bad)
+    return out.withColumn("refused", refused)
+
+
+def valid_manifest(entries: DataFrame, header: DataFrame) -> DataFrame:
+    """`entries`, or an error if a manifest among them is refused by manifest_violations()."""
+    found = manifest_violations(entries, header).where("refused").limit(1).collect()
+    if found:
+        raise ValueError(f"invalid manifest: {found[0].asDict()}")
+    return entries
 
 
 def shard_totals(plan: DataFrame, shards: int) -> DataFrame:
@@ -101,6 +131,15 @@ def canonical_header(objects: DataFrame) -> DataFrame:
     return digest(objects).select(F.lit(1).alias("version"), F.col("objects").alias("count"), F.col("digest").alias("inventory_digest"))
 
 
+def gallery_items(entries: DataFrame) -> DataFrame:
+    """(key, ext, size): the published index, in order of the key that an entry is published under."""
+    return entries.select(F.col("destination_key").alias("key"), F.col("extension").alias("ext"), "size").orderBy("key")
+
+
+def gallery_header(entries: DataFrame, generated_at: int) -> DataFrame:
+    return entries.agg(F.count("*").alias("count")).select(F.lit(1).alias("version"), F.lit(generated_at).cast("long").alias("generated_at"), "count")
+
+
 def digest(objects: DataFrame, rows: int = DIGEST_ROWS) -> DataFrame:
     """Digest of an inventory without a global sort: rows are digested, then buckets of sorted digests, then the sorted bucket digests.
 

@@ -113,7 +113,13 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame; a given table under its own name."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = text_of(name, lambda t: f"parquet.`{sf_dir}/{t}.parquet`")
+    return from_sql(spark, sf_dir, "SELECT * FROM {" + name + "} t")
+
+
+def from_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over tables and derived tables in braces."""
+    given = lambda t: f"parquet.`{sf_dir}/{t}.parquet`"
+    sql = re.sub(r"\{(\w+)\}", lambda m: f"({text_of(m[1], given)})" if m[1] in DERIVED else given(m[1]), sql)
     return spark.sql(re.sub(r"SHA256\((\w+)\)", r"sha2(\1, 256)", sql))
 
 

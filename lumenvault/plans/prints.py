@@ -13,20 +13,18 @@ from ..sources.shared import ship
 from .fixtures import derived
 
 STEP = 1234567891011
-#: Vectors below this have the ids of the SQL, base + copy * APART; later ones base * 3 + copy, which are greater than all those.
-APART = 1000000
 
 #: Bit number {0} as BIGINT; shifts to the sign are refused by the oracle's engine.
 _POWER = "CASE WHEN {0} = 63 THEN (-9223372036854775807 - 1) ELSE 1::BIGINT << least({0}, 62)::BIGINT END"
 
 SQL = f"""
-SELECT *, 'gallery/v' || CAST(id AS STRING) || CASE WHEN kind = 1 THEN '.jpg' ELSE '.mp4' END AS key, 1000 + id % 5000 AS size, sha256('v' || CAST(id AS STRING)) AS sha256,
- [phash, phash, phash, phash] AS hash256, CAST(64 + id % 1000 AS INT) AS width, CAST(48 + id % 700 AS INT) AS height,
- CASE WHEN kind = 1 THEN NULL WHEN copy > 0 AND id % 4 = 0 THEN 6000 ELSE 10000 END AS duration_ms,
+SELECT *, 'gallery/v' || CAST(base AS STRING) || '-' || CAST(copy AS STRING) || CASE WHEN kind = 1 THEN '.jpg' ELSE '.mp4' END AS key, 1000 + id % 5000 AS size, sha256('v' || CAST(id AS STRING)) AS sha256,
+ [phash, phash, phash, phash] AS hash256, CAST(64 + id % 1000 AS INT) AS width, CAST(48 + id % 700 AS INT) AS height, 'w-' || CAST(id AS STRING) AS file_id,
+ CASE WHEN kind = 1 OR base % 9 = 0 THEN NULL WHEN copy > 0 AND base % 4 = 0 THEN 6000 ELSE 10000 END AS duration_ms, CAST(CASE WHEN kind = 1 THEN NULL WHEN copy > 0 AND base % 4 = 0 THEN 29 ELSE 48 END AS BIGINT) AS frame_count,
  list_transform(range(1, 8), lambda k: CASE WHEN k = 1 AND copy > 0 AND base % 5 = 0 THEN basehash ELSE xor(phash, k * {STEP}) END) AS crop_hashes,
- CASE WHEN kind = 1 THEN NULL WHEN copy > 0 AND id % 4 = 0 THEN list_transform(range(10, 39), lambda i: xor(phash, (1::BIGINT << (i % 32)))) ELSE list_transform(range(0, 48), lambda i: xor(phash, (1::BIGINT << (i % 32)))) END AS timeline
+ CASE WHEN kind = 1 THEN NULL WHEN copy > 0 AND base % 4 = 0 THEN list_transform(range(10, 39), lambda i: xor(phash, (1::BIGINT << (i % 32)))) ELSE list_transform(range(0, 48), lambda i: xor(phash, (1::BIGINT << (i % 32)))) END AS timeline
 FROM (
- SELECT base, copy, basehash, base + copy * 1000000 AS id, CASE WHEN base % 14 = 0 AND copy = 1 THEN 4 - k0 ELSE k0 END AS kind,
+ SELECT base, copy, basehash, base * 3 + copy AS id, CASE WHEN base % 14 = 0 AND copy = 1 THEN 4 - k0 ELSE k0 END AS kind,
   xor(basehash, CAST(coalesce(list_sum(list_transform(range(0, CASE copy WHEN 0 THEN 0 WHEN 1 THEN base % 18 ELSE (base + 1) % 18 END), lambda j: {_POWER.format('((base * 7 + 5 * j) % 64)')})), 0) AS BIGINT)) AS phash
  FROM (SELECT vec_id AS base, CASE WHEN vec_id % 3 <> 0 THEN 1 ELSE 3 END AS k0,
    CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1]::DOUBLE > med THEN {_POWER.format('i')} ELSE 0 END)) AS BIGINT) AS basehash
@@ -40,8 +38,7 @@ def _bit(at):
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An original (copy 0) of each vector and two copies of each even one. Ids and keys are distinct for any number of
-    vectors; SQL has the same rows up to APART vectors."""
+    """An original (copy 0) of each vector and two copies of each even one. Ids and keys say both, so they are distinct for any number of vectors."""
     e = derived(spark, sf_dir, "embeddings")
     ordered = F.sort_array("embedding")
     med = (F.get(ordered, F.lit(31)).cast("double") + F.get(ordered, F.lit(32)).cast("double")) / 2
@@ -51,16 +48,17 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy")).where("copy = 0 or base % 2 = 0")
     flips = F.when(F.col("copy") == 0, 0).when(F.col("copy") == 1, F.col("base") % 18).otherwise((F.col("base") + 1) % 18).cast("int")
     masks = F.when(flips > 0, F.transform(F.sequence(F.lit(0), flips - 1), lambda j: _bit((F.col("base") * 7 + 5 * j) % 64)))
-    p = p.select("base", "copy", "basehash", F.when(F.col("base") < APART, F.col("base") + F.col("copy") * APART).otherwise(F.col("base") * 3 + F.col("copy")).alias("id"), F.when((F.col("base") % 14 == 0) & (F.col("copy") == 1), 4 - F.col("k0")).otherwise(F.col("k0")).alias("kind"), F.coalesce(F.aggregate(masks, F.lit(0).cast("bigint"), lambda z, x: z.bitwiseOR(x)), F.lit(0).cast("bigint")).alias("flip"))
+    p = p.select("base", "copy", "basehash", (F.col("base") * 3 + F.col("copy")).alias("id"), F.when((F.col("base") % 14 == 0) & (F.col("copy") == 1), 4 - F.col("k0")).otherwise(F.col("k0")).alias("kind"), F.coalesce(F.aggregate(masks, F.lit(0).cast("bigint"), lambda z, x: z.bitwiseOR(x)), F.lit(0).cast("bigint")).alias("flip"))
     p = p.withColumn("phash", F.col("basehash").bitwiseXOR(F.col("flip")))
     short = (F.col("copy") > 0) & (F.col("base") % 4 == 0)
     line = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.col("phash").bitwiseXOR(_bit(i % 32)))
     crops = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.when((k == 1) & (F.col("copy") > 0) & (F.col("base") % 5 == 0), F.col("basehash")).otherwise(F.col("phash").bitwiseXOR(k.cast("bigint") * STEP)))
     return p.select(
-        "base", "copy", "id", "kind", "phash", F.concat(F.lit("gallery/v"), F.col("id").cast("string"), F.when(F.col("kind") == 1, ".jpg").otherwise(".mp4")).alias("key"),
+        "base", "copy", "id", "kind", "phash", F.concat(F.lit("gallery/v"), F.col("base").cast("string"), F.lit("-"), F.col("copy").cast("string"), F.when(F.col("kind") == 1, ".jpg").otherwise(".mp4")).alias("key"),
         (1000 + F.col("id") % 5000).alias("size"), F.sha2(F.concat(F.lit("v"), F.col("id").cast("string")), 256).alias("sha256"), F.array(*["phash"] * 4).alias("hash256"),
         (64 + F.col("id") % 1000).cast("int").alias("width"), (48 + F.col("id") % 700).cast("int").alias("height"),
-        F.when(F.col("kind") == 1, None).when(short, 6000).otherwise(10000).alias("duration_ms"), crops.alias("crop_hashes"), F.when(F.col("kind") == 1, None).when(short, line(10, 38)).otherwise(line(0, 47)).alias("timeline"),
+        F.concat(F.lit("w-"), F.col("id").cast("string")).alias("file_id"), F.when((F.col("kind") == 1) | (F.col("base") % 9 == 0), None).when(short, 6000).otherwise(10000).alias("duration_ms"),
+        F.when(F.col("kind") == 1, None).when(short, 29).otherwise(48).cast("long").alias("frame_count"), crops.alias("crop_hashes"), F.when(F.col("kind") == 1, None).when(short, line(10, 38)).otherwise(line(0, 47)).alias("timeline"),
     )
 
 
@@ -89,7 +87,7 @@ def wide_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES_SQL = f"""
 SELECT key, frame_index, frame_index * 100000000 + (frame_index * frame_index * 7919) % 90000000 AS timestamp_ns, xor(phash, {_POWER.format('((frame_index * (id % 7 + 1)) % 64)')}) AS h, 10000000000 AS total_ns
-FROM (SELECT key, id, phash, unnest(range(0, 96)) AS frame_index FROM ({SQL}) q WHERE kind = 3 AND id < 1000000) f
+FROM (SELECT key, id, phash, unnest(range(0, 96)) AS frame_index FROM ({SQL}) q WHERE kind = 3 AND copy = 0) f
 """
 
 

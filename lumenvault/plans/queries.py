@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import consolidate, dedup, fingerprint, reconcile, selection, similarity, summary
+from ..operators import consolidate, decisions, dedup, fingerprint, postings, reconcile, selection, similarity, summary
 from ..sources import readers
 from ..sources.shared import cut
 from ..streaming import ingest
 from . import prints as P
-from .fixtures import BUDGET, NOW, SEED, SHARDS, derived, with_tables
+from .fixtures import BUDGET, NOW, SEED, SHARDS, derived, from_sql, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,9 +103,14 @@ def generation_latest(t, spark, sf_dir):
     return readers.latest_states(t("states"))
 
 
-@query("SELECT source_key AS key, extension AS ext, size FROM {manifest} m")
+@query("SELECT destination_key AS key, extension AS ext, size FROM {manifest} m")
 def gallery_index_build(t, spark, sf_dir):
-    return t("manifest").orderBy("destination_key").select(c("source_key").alias("key"), c("extension").alias("ext"), "size")
+    return summary.gallery_items(t("manifest"))
+
+
+@query(f"SELECT 1 AS version, CAST({NOW} AS BIGINT) AS generated_at, count(*) AS count FROM {{manifest}} m")
+def gallery_index_header(t, spark, sf_dir):
+    return summary.gallery_header(t("manifest"), NOW)
 
 
 @query("SELECT key, CAST(json_object('content_type', content_type, 'ext', extension, 'file_id', file_id, 'key', key, 'sha1', sha1, 'size', size, 'upload_timestamp', upload_timestamp) AS VARCHAR) AS item FROM {objects} o")
@@ -183,9 +188,18 @@ def content_type_resolve(t, spark, sf_dir):
     return o.select("key", F.when(c("content_type").isin("", "b2/x-auto"), F.coalesce("mime", F.lit("application/octet-stream"))).otherwise(c("content_type")).alias("content_type"))
 
 
-@query("SELECT count(*) AS entries, count(*) - count(DISTINCT source_key) AS repeated_sources, count(*) - count(DISTINCT destination_key) AS repeated_destinations, count(*) FILTER (NOT starts_with(destination_key, 'gallery/generations/g1/')) AS \"foreign\" FROM {manifest} m")
+#: Manifests of four generations; entries of some repeat a key or lie in another folder, and each header has one fault.
+_MANIFESTS = """SELECT generation, CASE WHEN doc_id % 202 = 0 AND generation = 's2' THEN 'gallery/twice' ELSE source_key END AS source_key, 'gallery/generations/' || CASE WHEN doc_id % 102 = 0 AND generation = 's0' THEN 'other' ELSE generation END || substring(source_key, 8) AS destination_key, size
+FROM (SELECT doc_id, source_key, size, 's' || CAST(doc_id % 8 AS STRING) AS generation FROM {manifest} m) a"""
+_HEADERS = f"""SELECT generation, CASE WHEN generation = 's2' THEN 2 ELSE 1 END AS version, CASE WHEN generation = 's4' THEN 0 ELSE 1000000 END AS target_bytes, count(*) - CASE WHEN generation = 's4' THEN 1 ELSE 0 END AS inventory_objects,
+count(*) AS selected_objects, CAST(sum(size) + CASE WHEN generation = 's0' THEN 1 ELSE 0 END AS BIGINT) AS selected_bytes FROM ({_MANIFESTS}) e GROUP BY generation UNION ALL SELECT 'none', 1, 5, 0, 3, 0"""
+
+
+@query(f"""SELECT *, repeated_sources + repeated_destinations + "foreign" > 0 OR bad_version OR bad_target OR bad_inventory OR bad_objects OR bad_bytes AS refused FROM (SELECT generation, coalesce(entries, 0) AS entries, coalesce(rs, 0) AS repeated_sources, coalesce(rd, 0) AS repeated_destinations, coalesce(fo, 0) AS "foreign",
+coalesce(version <> 1, true) AS bad_version, coalesce(target_bytes < 1, true) AS bad_target, coalesce(inventory_objects < coalesce(entries, 0), true) AS bad_inventory, coalesce(selected_objects <> coalesce(entries, 0), true) AS bad_objects, coalesce(selected_bytes <> coalesce(bytes, 0), true) AS bad_bytes
+FROM ({_HEADERS}) h FULL JOIN (SELECT generation, count(*) AS entries, sum(size) AS bytes, count(*) - count(DISTINCT source_key) AS rs, count(*) - count(DISTINCT destination_key) AS rd, count(*) FILTER (NOT starts_with(destination_key, 'gallery/generations/' || generation || '/')) AS fo FROM ({_MANIFESTS}) e GROUP BY generation) f USING (generation)) q""")
 def manifest_validate(t, spark, sf_dir):
-    return summary.manifest_violations(t("manifest"), "g1")
+    return summary.manifest_violations(from_sql(spark, sf_dir, _MANIFESTS), from_sql(spark, sf_dir, _HEADERS))
 
 
 @query("""SELECT shard, planned, planned_bytes, entries, bytes FROM (SELECT shard, count(*) AS planned, CAST(sum(size) AS BIGINT) AS planned_bytes FROM {shard_plan} p GROUP BY shard) a
@@ -435,14 +449,24 @@ def abandoned_generations(t, spark, sf_dir):
     return reconcile.abandoned(latest, latest.where("seq % 7 = 0").select("generation"), NOW)
 
 
+_LISTED = "SELECT CASE WHEN doc_id % 50 = 49 THEN 'gallery/generations/g' || CAST(doc_id AS STRING) ELSE 'gallery/generations/g' || CAST(doc_id % 300 AS STRING) || substring(key, 8) END AS key FROM {objects} o"
+
+
+@query(f"SELECT generation, key FROM (SELECT key, regexp_extract(key, '^gallery/generations/([^/]*)/', 1) AS generation FROM ({_LISTED}) k) l WHERE generation <> '' AND generation IN (SELECT generation FROM ({_LATEST}) q WHERE seq % 7 <> 0 AND ({_DEAD}))")
+def abandoned_keys(t, spark, sf_dir):
+    """The published keys of the generations that abandoned_generations() sweeps."""
+    return reconcile.abandoned_keys(abandoned_generations(t, spark, sf_dir), from_sql(spark, sf_dir, _LISTED))
+
+
 @query(f"SELECT generation FROM ({_LATEST}) q WHERE status = 'publication-failed'")
 def stuck_generations(t, spark, sf_dir):
     return readers.latest_states(t("states")).where("status = 'publication-failed'").select("generation")
 
 
-@query("SELECT count(*) AS targets, count(*) FILTER (o.key IS NULL OR o.file_id <> target_file_id) AS stale, count(*) FILTER (o.key IS NULL OR o.file_id <> target_file_id) > 0 AS refused FROM {operations} t LEFT JOIN {objects} o ON o.key = target_key")
+@query("SELECT count(*) AS targets, count(*) FILTER (o.key IS NULL OR o.file_id <> target_file_id) AS stale, count(*) FILTER (o.key IS NULL OR o.file_id <> target_file_id) > 0 AS refused FROM (SELECT DISTINCT target_key, target_file_id FROM {operations} a) t LEFT JOIN {objects} o ON o.key = target_key")
 def delete_target_check(t, spark, sf_dir):
-    return reconcile.deletable(t("operations"), t("objects"))
+    asked = t("operations")
+    return reconcile.deletable(asked.unionByName(asked.where("state = 'prepared'")), t("objects"))
 
 
 @query("SELECT t.id, target_key, CASE WHEN state = 'remote_deleted' THEN 'complete' WHEN state <> 'prepared' THEN 'error' WHEN o.key IS NOT NULL THEN 'delete' ELSE 'already done' END AS action FROM {operations} t LEFT JOIN {objects} o ON o.key = target_key AND o.file_id = target_file_id")
@@ -507,7 +531,7 @@ def moving_candidates(t, spark, sf_dir):
     return similarity.moving_candidates(P.prints(spark, sf_dir))
 
 
-_PAIR = "SELECT e.a, e.b, l.phash AS lp, r.phash AS rp, l.crop_hashes AS lc, r.crop_hashes AS rc, l.duration_ms AS ld, r.duration_ms AS rd, l.timeline AS lt, r.timeline AS rt, bit_count(xor(l.phash, r.phash)) AS p, 4 * bit_count(xor(l.phash, r.phash)) AS h FROM ({0}) e JOIN prints l ON l.key = e.a JOIN prints r ON r.key = e.b WHERE l.sha256 <> r.sha256"
+_PAIR = "SELECT e.a, e.b, l.phash AS lp, r.phash AS rp, l.crop_hashes AS lc, r.crop_hashes AS rc, l.duration_ms AS ld, r.duration_ms AS rd, l.frame_count AS lf, r.frame_count AS rf, l.timeline AS lt, r.timeline AS rt, bit_count(xor(l.phash, r.phash)) AS p, 4 * bit_count(xor(l.phash, r.phash)) AS h FROM ({0}) e JOIN prints l ON l.key = e.a JOIN prints r ON r.key = e.b WHERE l.sha256 <> r.sha256"
 _STILL_EDGES = "SELECT a, b, round(greatest(0.0, least(1.0, 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0)))::DOUBLE, 9) AS score, 'same image after resize or recompression' AS evidence FROM pair_still WHERE p <= 10 AND h <= 48 AND 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0) >= 0.76"
 _CROP_EDGES = f"""SELECT a, b, round(greatest(0.0, least(1.0, 0.96 - 0.45 * c / 64.0 - 0.25 * h / 256.0))::DOUBLE, 9) AS score, 'convincing crop or reframe' AS evidence FROM (SELECT a, b, h, list_min(list_concat(list_concat(list_transform(rc, lambda y: bit_count(xor(lp, y))),
 list_transform(lc, lambda x: bit_count(xor(x, rp)))), flatten(list_transform(lc, lambda x: list_transform(rc, lambda y: bit_count(xor(x, y))))))) AS c FROM pair_still WHERE h <= 64 AND (a, b) NOT IN (SELECT (a, b) FROM ({_STILL_EDGES}) s)) q
@@ -548,7 +572,7 @@ def class_edges(t, spark, sf_dir):
 
 _PAIR_MOVING = f", pair_moving AS MATERIALIZED ({_PAIR.format(_MOVING)}) "
 #: Alignment of each pair, a row for each length and start of a stretch of the longer series.
-_ALIGNED = """, lines AS MATERIALIZED (SELECT a, b, p, h, least(ld, rd) / greatest(ld, rd) AS ratio, CASE WHEN len(lt) <= len(rt) THEN lt ELSE rt END AS s, CASE WHEN len(lt) <= len(rt) THEN rt ELSE lt END AS l FROM pair_moving),
+_ALIGNED = """, lines AS MATERIALIZED (SELECT a, b, p, h, CASE WHEN ld > 0 AND rd > 0 THEN least(ld, rd) / greatest(ld, rd) WHEN lf > 0 AND rf > 0 THEN least(lf, rf) / greatest(lf, rf) ELSE 1.0::DOUBLE END AS ratio, CASE WHEN len(lt) <= len(rt) THEN lt ELSE rt END AS s, CASE WHEN len(lt) <= len(rt) THEN rt ELSE lt END AS l FROM pair_moving),
 sized AS (SELECT *, len(l) AS n, len(s) AS m, greatest(least(2, len(l)), least(len(l), CAST(floor(len(l) * ratio + 0.5) AS BIGINT))) AS e FROM lines),
 lens AS (SELECT *, unnest(range(greatest(least(2, n), CAST(floor(e * 0.82) AS BIGINT)), least(n, CAST(ceil(e * 1.18) AS BIGINT)) + 1)) AS w FROM sized),
 starts AS (SELECT *, unnest(range(0, n - w + 1)) AS o FROM lens),
@@ -561,8 +585,7 @@ WHERE p <= 12 AND h <= 64 AND t <= 12 AND (ratio >= 0.60 OR t <= 7.8) AND 1.0 -
 def timeline_distance(t, spark, sf_dir):
     p = P.prints(spark, sf_dir)
     both = similarity._with_prints(similarity.moving_candidates(p), p)
-    ratio = F.least("l.duration_ms", "r.duration_ms") / F.greatest("l.duration_ms", "r.duration_ms")
-    return both.select("a", "b", F.round(similarity.timeline_distance("l.timeline", "r.timeline", ratio), 9).alias("distance"))
+    return both.select("a", "b", F.round(similarity.timeline_distance("l.timeline", "r.timeline", similarity.length_ratio()), 9).alias("distance"))
 
 
 @query(_WITH + _PAIR_MOVING + _ALIGNED + _MOVING_EDGES)
@@ -571,10 +594,13 @@ def moving_edges(t, spark, sf_dir):
     return similarity.moving_edges(similarity.moving_candidates(p), p)
 
 
-_PLANTED = "SELECT least(x.key, y.key) AS a, greatest(x.key, y.key) AS b FROM prints x JOIN prints y ON y.id = x.id + 1000000 WHERE x.id < 1000000 AND x.id % 18 = 0"
+_PLANTED = "SELECT least(x.key, y.key) AS a, greatest(x.key, y.key) AS b FROM prints x JOIN prints y ON y.base = x.base WHERE x.copy = 0 AND y.copy = 1 AND x.base % 18 = 0"
+
 
+_EVERY_EDGE = f"SELECT * FROM (SELECT * FROM ({_STILL_EDGES}) s UNION ALL SELECT * FROM ({_CROP_EDGES}) k UNION ALL SELECT * FROM ({_MOVING_EDGES}) m) e WHERE (a, b) NOT IN (SELECT (a, b) FROM ({_PLANTED}) x)"
 
-@query(_WITH_PAIRS + _PAIR_MOVING + _ALIGNED + f"SELECT * FROM (SELECT * FROM ({_STILL_EDGES}) s UNION ALL SELECT * FROM ({_CROP_EDGES}) k UNION ALL SELECT * FROM ({_MOVING_EDGES}) m) e WHERE (a, b) NOT IN (SELECT (a, b) FROM ({_PLANTED}) x)")
+
+@query(_WITH_PAIRS + _PAIR_MOVING + _ALIGNED + _EVERY_EDGE)
 def all_edges(t, spark, sf_dir):
     return similarity.all_edges(P.prints(spark, sf_dir), _excluded(spark, sf_dir))
 
@@ -586,6 +612,21 @@ def _excluded(spark, sf_dir):
     return p.join(q, "base").select(F.least("k0", "k1").alias("first_key"), F.greatest("k0", "k1").alias("second_key"))
 
 
+_PRINT = "CASE WHEN kind = 1 THEN CAST((phash, hash256, crop_hashes) AS VARCHAR) ELSE CAST((phash, hash256, duration_ms, frame_count, timeline) AS VARCHAR) END"
+_MEDIA_CLASSES = f"SELECT key, min(key) OVER (PARTITION BY kind = 1, {_PRINT}, CASE WHEN key IN (SELECT a FROM ({_PLANTED}) x) OR key IN (SELECT b FROM ({_PLANTED}) y) THEN key END) AS class, CASE WHEN kind = 1 THEN 'same image after resize or recompression' ELSE 'same moving media after re-encode or resize' END AS evidence FROM prints"
+
+
+@query(_WITH + _MEDIA_CLASSES)
+def media_classes(t, spark, sf_dir):
+    return similarity.media_classes(P.prints(spark, sf_dir), _excluded(spark, sf_dir))
+
+
+@query(_WITH_PAIRS + _PAIR_MOVING + _ALIGNED + f", first AS MATERIALIZED (SELECT DISTINCT class FROM ({_MEDIA_CLASSES}) c) SELECT * FROM ({_EVERY_EDGE}) e WHERE a IN (SELECT class FROM first) AND b IN (SELECT class FROM first)")
+def media_class_edges(t, spark, sf_dir):
+    """Edges between classes of all media, less exclusions: with media_classes() they say all that all_edges() lists pair by pair."""
+    return similarity.class_graph(P.prints(spark, sf_dir), _excluded(spark, sf_dir))[1]
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
@@ -701,12 +742,15 @@ def budget_select(t, spark, sf_dir):
     return selection.budget_select(t("objects"), BUDGET, SEED)
 
 
-@query(_PICKED + f"SELECT w.key AS source_key, 'gallery/generations/g9/' || substring(w.key, 9) AS destination_key, w.size, CASE WHEN o.content_type IN ('', 'b2/x-auto') THEN coalesce(CASE o.extension {_MIME} END, 'application/octet-stream') ELSE o.content_type END AS content_type FROM walk w JOIN {{objects}} o ON o.key = w.key WHERE took")
+@query(_PICKED + f"SELECT w.key AS source_key, 'gallery/generations/g9/' || substring(w.key, 9) AS destination_key, w.size, o.sha1, o.file_id, o.extension, CASE WHEN o.content_type IN ('', 'b2/x-auto') THEN coalesce(CASE o.extension {_MIME} END, 'application/octet-stream') ELSE o.content_type END AS content_type FROM walk w JOIN {{objects}} o ON o.key = w.key WHERE took")
 def manifest_build(t, spark, sf_dir):
-    chosen = selection.budget_select(t("objects"), BUDGET, SEED)
+    inventory = summary.refused_if_unverifiable(t("objects"))
+    chosen = cut(selection.budget_select(inventory, BUDGET, SEED))
     typed = content_type_resolve(t, spark, sf_dir)
-    made = chosen.join(typed, "key").select(c("key").alias("source_key"), F.concat(F.lit("gallery/generations/g9/"), F.substring("key", 9, 1000000)).alias("destination_key"), "size", "content_type")
-    return summary.valid_manifest(made, "g9")
+    made = chosen.join(typed, "key").join(inventory.select("key", "sha1", "file_id", "extension"), "key")
+    made = made.select(c("key").alias("source_key"), F.concat(F.lit("gallery/generations/g9/"), F.substring("key", 9, 1000000)).alias("destination_key"), "size", "sha1", "file_id", "extension", "content_type")
+    summary.valid_manifest(made.withColumn("generation", F.lit("g9")), summary.manifest_header(chosen, inventory, "g9", NOW, SEED, BUDGET))
+    return made
 
 
 def _entries(t):
@@ -747,15 +791,35 @@ def tag_and_filter(t, spark, sf_dir):
     return selection.with_all_tags(t("item_tags"), wanted)
 
 
+#: Tagged items of a known extension, the terms they have (tags, and their buckets but `all`), and requests: tags and the bucket that the request means.
+_TAGGED = "SELECT item, key, lower(ext) AS ext FROM {items} i WHERE lower(ext) IN ('jpg','jpeg','png','webp','gif','mp4','m4v','webm')"
+_PICK_SETS = f"""SELECT request, list_sort(list(DISTINCT term)) AS terms FROM (SELECT request, CAST(tag AS VARCHAR) AS term FROM ({_WANTED}) w WHERE request % 3 <> 2 UNION ALL SELECT request, 'bucket:' || bucket FROM ({_ASKS}) a) u GROUP BY request"""
+
+
+@query(f"""WITH i AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY SHA256(w), item) AS pos FROM (SELECT *, CAST(item AS STRING) AS w FROM ({_TAGGED}) g) h), t AS MATERIALIZED (SELECT DISTINCT item, term FROM (SELECT item, CAST(tag AS VARCHAR) AS term FROM {{item_tags}} g UNION ALL SELECT item, 'bucket:all' FROM i
+UNION ALL SELECT item, 'bucket:' || CASE WHEN ext IN ('jpg','jpeg','png','webp') THEN 'stills' ELSE 'clips' END FROM i UNION ALL SELECT item, 'bucket:' || ext FROM i) u), q AS MATERIALIZED ({_PICK_SETS}),
+m AS MATERIALIZED (SELECT request, item, pos, key FROM (SELECT request, len(terms) AS k, unnest(terms) AS term FROM q) r JOIN t USING (term) JOIN i USING (item) GROUP BY request, item, pos, key HAVING count(*) = max(k))
+SELECT request, key, total FROM (SELECT request, key, count(*) OVER (PARTITION BY request) AS total, row_number() OVER (PARTITION BY request ORDER BY pos) AS n, CAST('0x' || left(SHA256(w), 15) AS BIGINT) AS draw FROM (SELECT *, 'pick' || chr(0) || CAST(request AS STRING) AS w FROM m) a) b WHERE n = draw % total + 1""")
+def random_pick_tagged(t, spark, sf_dir):
+    """A random item of those that have all tags of a request and are in its bucket; some requests name no tags."""
+    items = from_sql(spark, sf_dir, _TAGGED)
+    term = lambda x: F.concat(F.lit("bucket:"), x)
+    terms = t("item_tags").select("item", c("tag").cast("string").alias("term")).unionByName(items.select("item", F.explode(F.transform(rules.buckets_of(c("ext")), term)).alias("term")))
+    tags = t("requests").join(tag_catalog_clean(t, spark, sf_dir).select("id", c("name").alias("tag")), "tag").where("request % 3 <> 2").select("request", c("id").cast("string").alias("term"))
+    asked = F.get(F.array(*map(F.lit, ("all", "Stills", "clips", "webm", "no such bucket"))), (c("s_suppkey") % 5).cast("int"))
+    buckets = t("supplier").select(c("s_suppkey").alias("request"), term(rules.requested_bucket(asked)).alias("term"))
+    return postings.picked(items, terms, tags.unionByName(buckets).groupBy("request").agg(F.collect_set("term").alias("terms")), "pick")
+
+
 _GRAPH = f""", r AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY quality DESC, key) AS n FROM (SELECT key, log2(greatest(1.0, CAST(CAST(width AS BIGINT) * height AS DOUBLE))) + CASE WHEN kind <> 1 THEN 0.9::DOUBLE * log2(greatest(1.0, CAST(coalesce(duration_ms, 0) AS DOUBLE))) ELSE 0.0::DOUBLE END
  + 0.08::DOUBLE * log2(greatest(1.0, CAST(size AS DOUBLE))) AS quality FROM prints) q),
-e AS MATERIALIZED (SELECT a, b, score, evidence FROM ({_STILL_EDGES}) s UNION ALL SELECT a, b, score, evidence FROM ({_CROP_EDGES}) k),
+e AS MATERIALIZED ({_EVERY_EDGE}),
 s AS MATERIALIZED (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
 g AS MATERIALIZED (SELECT x.n AS u, list(y.n) AS vs FROM s JOIN r x ON x.key = s.u JOIN r y ON y.key = s.v GROUP BY x.n),
 o AS MATERIALIZED (SELECT u, vs, row_number() OVER (ORDER BY u) AS i FROM g),
 walk(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.i, CASE WHEN list_has_any(w.kept, o.vs) THEN w.kept ELSE list_append(w.kept, o.u) END FROM walk w JOIN o ON o.i = w.i + 1),
 kept AS MATERIALIZED (SELECT unnest(kept) AS u FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1) z) """
-_CHOSEN = _WITH_PAIRS.replace("WITH prints", "WITH RECURSIVE prints", 1) + _GRAPH
+_CHOSEN = _WITH_PAIRS.replace("WITH prints", "WITH RECURSIVE prints", 1) + _PAIR_MOVING + _ALIGNED + _GRAPH
 
 
 def _class_edges(spark, sf_dir):
@@ -769,7 +833,9 @@ def _class_edges(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    return P.rated(P.prints(spark, sf_dir)), *_class_edges(spark, sf_dir)
+    """Quality of all media, their classes and the edges between classes, less exclusions."""
+    p = P.prints(spark, sf_dir)
+    return P.rated(p), *similarity.class_graph(p, _excluded(spark, sf_dir))
 
 
 @query(_CHOSEN + "SELECT r.key, r.n IN (SELECT u FROM kept) AS survives FROM g JOIN r ON r.n = g.u")
@@ -777,7 +843,7 @@ def consolidate_graph(t, spark, sf_dir):
     return consolidate.class_survivors(*_graph(spark, sf_dir))
 
 
-_QUEUE = """SELECT l.key AS left_key, x.key AS right_key, e.score, e.evidence, 'g1' AS generation FROM (SELECT q.v, min(q.u) AS u FROM (SELECT g.u AS v, unnest(g.vs) AS u FROM g) q WHERE q.u IN (SELECT u FROM kept) AND q.v NOT IN (SELECT u FROM kept) GROUP BY q.v) m
+_QUEUE = """SELECT l.key AS left_key, x.key AS right_key, e.score, e.evidence, 'g1' AS generation, row_number() OVER (ORDER BY l.n, x.key) AS pos FROM (SELECT q.v, min(q.u) AS u FROM (SELECT g.u AS v, unnest(g.vs) AS u FROM g) q WHERE q.u IN (SELECT u FROM kept) AND q.v NOT IN (SELECT u FROM kept) GROUP BY q.v) m
 JOIN r l ON l.n = m.u JOIN r x ON x.n = m.v JOIN e ON (e.a = l.key AND e.b = x.key) OR (e.b = l.key AND e.a = x.key)"""
 
 
@@ -792,31 +858,41 @@ def dedupe_summary(t, spark, sf_dir):
     return summary.startup(reconcile.reconciled(t("stored"), t("objects_v2")), t("objects_v2"), consolidate.class_review_queue(*_graph(spark, sf_dir), "g1"))
 
 
+_RANK = "CAST(regexp_extract(right_key, '([0-9]+)', 1) AS BIGINT)"
+#: What is stored now: some objects have another file id than their card showed, some are gone.
+_LIVE = "SELECT key, CASE WHEN base % 5 = 1 THEN file_id || '-b' ELSE file_id END AS file_id FROM prints WHERE base % 25 <> 2"
+
+
 def _decisions(spark, sf_dir):
-    """The review queue with a decision for three of four cards; every tenth is of an older generation."""
-    q = consolidate.class_review_queue(*_graph(spark, sf_dir), "g1").withColumn("rank", F.expr("cast(regexp_extract(right_key, '([0-9]+)', 1) as bigint) div 3"))
+    """The review queue, a decision for three of four cards (every tenth of an older generation) with the file ids shown, what is stored now, and exclusions stored before."""
+    p = cut(P.prints(spark, sf_dir).select("base", "key", "file_id"))
+    queue = cut(consolidate.class_review_queue(*_graph(spark, sf_dir), "g1"))
+    q = queue.withColumn("rank", F.expr(_RANK))
     kind = F.when(c("rank") % 4 == 0, "keep both").when(c("rank") % 4 == 1, "delete left").when(c("rank") % 4 == 2, "delete right")
-    return q, q.where("rank % 4 <> 3").select("left_key", "right_key", kind.alias("decision"), F.when(c("rank") % 10 == 0, "g0").otherwise("g1").alias("seen"))
+    made = q.where("rank % 4 <> 3").select("left_key", "right_key", kind.alias("decision"), F.when(c("rank") % 10 == 0, "g0").otherwise("g1").alias("seen"))
+    shown = p.select(c("key").alias("shown"), "file_id")
+    made = made.join(shown, F.when(c("decision") == "delete left", c("left_key")).when(c("decision") == "delete right", c("right_key")) == c("shown"), "left").drop("shown")
+    live = p.where("base % 25 <> 2").select("key", F.when(c("base") % 5 == 1, F.concat("file_id", F.lit("-b"))).otherwise(c("file_id")).alias("file_id"))
+    stored = q.where("rank % 8 = 0").select(F.least("left_key", "right_key").alias("first_key"), F.greatest("left_key", "right_key").alias("second_key"))
+    return queue, made, live, stored
 
 
-_DECIDED = f"""SELECT left_key, right_key, CASE rank % 4 WHEN 0 THEN 'keep both' WHEN 1 THEN 'delete left' ELSE 'delete right' END AS decision, CASE WHEN rank % 10 = 0 THEN 'stale' ELSE 'accepted' END AS state
-FROM (SELECT left_key, right_key, CAST(regexp_extract(right_key, '([0-9]+)', 1) AS BIGINT) // 3 AS rank FROM ({_QUEUE}) q) d WHERE rank % 4 <> 3"""
+_DECIDED = f"""SELECT left_key, right_key, decision, target, d.file_id, CASE WHEN seen <> 'g1' THEN 'stale' WHEN target IS NOT NULL AND (l.file_id IS NULL OR l.file_id <> d.file_id) THEN 'changed' ELSE 'accepted' END AS state FROM (
+SELECT q.*, p.file_id FROM (SELECT *, CASE decision WHEN 'delete left' THEN left_key WHEN 'delete right' THEN right_key END AS target FROM (SELECT left_key, right_key, CASE rank % 4 WHEN 0 THEN 'keep both' WHEN 1 THEN 'delete left' ELSE 'delete right' END AS decision, CASE WHEN rank % 10 = 0 THEN 'g0' ELSE 'g1' END AS seen
+FROM (SELECT left_key, right_key, {_RANK} AS rank FROM ({_QUEUE}) q0) r WHERE rank % 4 <> 3) s) q LEFT JOIN prints p ON p.key = q.target) d LEFT JOIN ({_LIVE}) l ON l.key = d.target"""
 
 
 @query(_CHOSEN + _DECIDED)
 def decision_check(t, spark, sf_dir):
-    queue, decisions = _decisions(spark, sf_dir)
-    met = decisions.join(queue.select("left_key", "right_key", "generation"), ["left_key", "right_key"], "left")
-    return met.select("left_key", "right_key", "decision", F.when(c("generation").isNull(), "unknown").when(c("seen") != c("generation"), "stale").otherwise("accepted").alias("state"))
+    queue, made, live, _ = _decisions(spark, sf_dir)
+    return decisions.checked(made, queue, live)
 
 
-@query(_CHOSEN + f"""SELECT DISTINCT CASE WHEN decision = 'keep both' THEN 'exclude' ELSE 'delete' END AS action, CASE decision WHEN 'keep both' THEN least(left_key, right_key) WHEN 'delete left' THEN left_key ELSE right_key END AS key,
-CASE WHEN decision = 'keep both' THEN greatest(left_key, right_key) END AS other FROM ({_DECIDED}) c WHERE state = 'accepted'""")
+@query(_CHOSEN + f"""SELECT DISTINCT 'delete' AS action, target AS key, CAST(NULL AS VARCHAR) AS other, file_id FROM ({_DECIDED}) c WHERE state = 'accepted' AND target IS NOT NULL
+UNION ALL SELECT DISTINCT 'exclude', least(left_key, right_key), greatest(left_key, right_key), CAST(NULL AS VARCHAR) FROM ({_DECIDED}) e WHERE state = 'accepted' AND target IS NULL AND {_RANK} % 8 <> 0""")
 def decision_apply(t, spark, sf_dir):
-    good = decision_check(t, spark, sf_dir).where("state = 'accepted'")
-    deleted = good.where("decision <> 'keep both'").select(F.lit("delete").alias("action"), F.when(c("decision") == "delete left", c("left_key")).otherwise(c("right_key")).alias("key"), F.lit(None).cast("string").alias("other"))
-    kept = good.where("decision = 'keep both'").select(F.lit("exclude").alias("action"), F.least("left_key", "right_key").alias("key"), F.greatest("left_key", "right_key").alias("other"))
-    return deleted.unionByName(kept).distinct()
+    queue, made, live, stored = _decisions(spark, sf_dir)
+    return decisions.applied(decisions.checked(made, queue, live), stored)
 
 
 # ---------------------------------------------------------------- streaming
@@ -827,7 +903,7 @@ def stream_acquire(t, spark, sf_dir):
     return ingest.acquire(spark, t("objects_v2"), t("objects").where("doc_id % 2 = 0"), 500 << 20)
 
 
-@query(f"SELECT DISTINCT lower(source) AS folded FROM ({_API}) q WHERE source <> ''")
+@query(f"SELECT lower(source) AS folded, arg_min(source, position) AS source, min(position) AS position FROM ({_API}) q WHERE source <> '' GROUP BY 1")
 def stream_sources(t, spark, sf_dir):
     return ingest.upsert_sources(spark, t("raw_sources"))
 
@@ -844,6 +920,6 @@ def stream_fingerprint(t, spark, sf_dir):
     return ingest.fingerprint_changes(spark, t("stored"), t("objects_v2"), lambda keys: P.object_pixels(keys, sf_dir)).select("key", "computed")
 
 
-@query(f"SELECT generation FROM ({_LATEST}) q WHERE status IN ('building', 'recovering', 'ready') AND {NOW} - coalesce(updated_at, created_at, {NOW}) >= 86400")
+@query(f"SELECT generation, status, coalesce(updated_at, created_at, {NOW}) AS at FROM ({_LATEST}) q WHERE status IN ('building', 'recovering', 'ready') AND {NOW} - coalesce(updated_at, created_at, {NOW}) >= 86400")
 def stream_abandoned(t, spark, sf_dir):
-    return ingest.idle_generations(spark, t("states"), NOW, reconcile.DAY)
+    return ingest.idle_generations(spark, t("states"), NOW, reconcile.DAY, 10 * 366 * reconcile.DAY)

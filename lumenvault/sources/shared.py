@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this setting Spark removes the shuffle files of a query when it ends; otherwise they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -24,6 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared one, to be removed when it has ended."""
+    return f"{shared_dir(spark)}/lumenvault-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cut lineage that survives lost executors.
+
+    Nothing reads the write's shuffle files again, so they go with it. discard() removes the table before the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written() tables that nothing still to run reads."""
+    for df in tables:
+        remove(df.sparkSession, df._written)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the shared folder."""
     shared_dir(df.sparkSession)

@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def manifest(entries: DataFrame, generation: str, inventory: DataFrame, path: str) -> None:
-    """Entries under their generation and a header row of totals. Invalid entries raise before anything is written."""
-    from ..operators.summary import manifest_totals, valid_manifest
+def _replace(df: DataFrame, path: str, *by: str) -> None:
+    """Writes `df` in folders by columns; those that it has rows for are replaced, so a write tried again doubles nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
-    entries = valid_manifest(entries, generation)
-    header = manifest_totals(entries, inventory).withColumn("generation", F.lit(generation))
-    entries.withColumn("generation", F.lit(generation)).write.mode("append").partitionBy("generation").parquet(f"{path}/entries")
-    header.write.mode("append").parquet(f"{path}/headers")
+
+def manifest(entries: DataFrame, header: DataFrame, path: str) -> None:
+    """Entries and header row (see manifest_header) under their generation. Invalid manifests raise before anything is written."""
+    from ..operators.summary import valid_manifest
+
+    _replace(valid_manifest(entries, header), f"{path}/entries", "generation")
+    _replace(header, f"{path}/headers", "generation")
 
 
 def shard_plan(plan: DataFrame, path: str) -> None:
     """One folder for each generation, round and shard, so that a worker reads its own only."""
-    plan.repartition("generation", "round", "shard").write.mode("append").partitionBy("generation", "round", "shard").parquet(path)
+    _replace(plan.repartition("generation", "round", "shard"), path, "generation", "round", "shard")
+
 
+def gallery_index(entries: DataFrame, generated_at: int, path: str) -> None:
+    """Index rows in order of the key they are published under, and version, time and number of rows beside them."""
+    from ..operators.summary import gallery_header, gallery_items
 
-def gallery_index(entries: DataFrame, path: str) -> None:
-    """Index rows in order of their published key, with the number of rows beside them."""
-    entries.orderBy("destination_key").select(F.col("source_key").alias("key"), F.col("extension").alias("ext"), "size").write.mode("overwrite").parquet(f"{path}/items")
-    entries.agg(F.count("*").alias("count")).write.mode("overwrite").parquet(f"{path}/header")
+    gallery_items(entries).write.mode("overwrite").parquet(f"{path}/items")
+    gallery_header(entries, generated_at).write.mode("overwrite").parquet(f"{path}/header")
 
 
-def run_summary(runs: DataFrame, path: str) -> None:
+def run_summary(runs: DataFrame, run: str, path: str) -> None:
+    """The counters of one run under its id."""
     from ..operators.summary import acquisition
 
-    acquisition(runs).write.mode("append").parquet(path)
+    _replace(acquisition(runs).withColumn("run", F.lit(run)), path, "run")
 
 
 def canonical_index(objects: DataFrame, path: str) -> None:

@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.rules import MEDIA, normalised_source_api
-from ..sources.shared import shared_dir
+from ..sources.shared import ship, work_dir
 
 MOST_SOURCES = 500
+#: Statuses that an idle generation is abandoned in.
+UNFINISHED = ("building", "recovering", "ready")
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def _put(batch: DataFrame, sink: str, number: int) -> None:
@@ -39,45 +51,65 @@ def _stream(spark: SparkSession, path: str, files: int):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def acquire(spark: SparkSession, staged: DataFrame, known: DataFrame, most: int) -> DataFrame:
+@contextmanager
+def _states(spark: SparkSession):
+    """State in RocksDB: it may outgrow memory, and timers need it."""
+    was = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if was is None else spark.conf.set(_PROVIDER, was)
+
+
+def acquire(spark: SparkSession, staged: DataFrame, known: DataFrame, most: int, folder: str | None = None) -> DataFrame:
     """Keys of `staged` (key, extension, size) that are eligible and not known, each ingested once.
 
-    Every micro-batch appends what neither `known` nor an earlier batch has.
+    Which keys earlier batches had is kept as streaming state by key, so a batch reads its own files, the known keys and
+    the state of its own keys, never the sink. Of a key the row that comes first is taken. folder: where to work; its
+    state goes on if the stream is started there again.
     """
-    folder = _folder(spark)
-    staged.select("key", "extension", "size").repartition(4).write.parquet(f"{folder}/staged")
-    known.select("key").write.parquet(f"{folder}/known")
+    folder = folder or _folder(spark)
     schema = "key string, size long"
-    sink = _begin(spark, f"{folder}/sink", schema)
-
-    def commit(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        seen = session.read.parquet(f"{folder}/known").unionByName(_taken(session, sink, schema, number).select("key"))
-        _put(batch.groupBy("key").agg(F.min("size").alias("size")).join(seen, "key", "left_anti"), sink, number)
-
+    if not _exists(spark, f"{folder}/known"):
+        known.select("key").distinct().write.parquet(f"{folder}/known")
+        _begin(spark, f"{folder}/sink", schema)
+    staged.select("key", "extension", "size").repartition(4).write.mode("append").parquet(f"{folder}/staged")
     eligible = _stream(spark, f"{folder}/staged", 1).where(F.col("extension").isin(*MEDIA) & (F.col("size") > 0) & (F.col("size") <= most))
-    eligible.writeStream.foreachBatch(commit).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return _taken(spark, sink, schema)
+    fresh = eligible.join(spark.read.parquet(f"{folder}/known"), "key", "left_anti").select("key", "size").dropDuplicates(["key"])
+    with _states(spark):
+        fresh.writeStream.foreachBatch(lambda batch, number: _put(batch, f"{folder}/sink", number)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return _taken(spark, f"{folder}/sink", schema)
 
 
 def upsert_sources(spark: SparkSession, raw: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
-    """(source): normalised names in case-insensitive order of position, existing ones ignored; more than `most` is refused."""
+    """(folded, source, position): normalised names, of those that differ in case only the one of the least position; more than `most` is refused.
+
+    The first row of each name is streaming state, an aggregate that is combined before it is shuffled. A batch puts the names that it
+    changed over the list that the batch before left, of `most` rows at most, so nothing reaches the driver but a count.
+    """
     folder = _folder(spark)
     raw.select("position", "value").repartitionByRange(3, "position").write.parquet(f"{folder}/raw")
     schema = "folded string, source string, position long"
-    state = _begin(spark, f"{folder}/state", schema)
+    lists = f"{folder}/lists"
+    spark.createDataFrame([], schema).write.parquet(f"{lists}/-1")
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = _taken(batch.sparkSession, state, schema, number)
-        named = batch.select("position", normalised_source_api(F.col("value")).alias("source")).where("source <> ''")
-        first = named.groupBy(F.lower("source").alias("folded")).agg(F.min_by("source", "position").alias("source"), F.min("position").alias("position"))
-        fresh = first.join(held, "folded", "left_anti").select("folded", "source", "position").collect() if first.limit(most + 1).count() <= most else None
-        if fresh is None or held.count() + len(fresh) > most:
-            raise ValueError(f"more than {most} sources")
-        _put(batch.sparkSession.createDataFrame(fresh, schema), state, number)
-
-    _stream(spark, f"{folder}/raw", 10).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return _taken(spark, state, schema).select("folded")
+        held = batch.sparkSession.read.schema(schema).parquet(f"{lists}/{number - 1}")
+        if batch.limit(most + 1).count() <= most:
+            merged = held.join(batch, "folded", "left_anti").unionByName(batch)
+            merged.write.mode("overwrite").parquet(f"{lists}/{number}")
+            if batch.sparkSession.read.schema(schema).parquet(f"{lists}/{number}").count() <= most:
+                last[0] = number
+                return
+        raise ValueError(f"more than {most} sources")
+
+    last = [-1]
+    named = _stream(spark, f"{folder}/raw", 1).select("position", normalised_source_api(F.col("value")).alias("source")).where("source <> ''")
+    first = named.groupBy(F.lower("source").alias("folded")).agg(F.min(F.struct("position", "source")).alias("first")).select("folded", "first.source", "first.position")
+    with _states(spark):
+        first.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{lists}/{last[0]}")
 
 
 def checkpoint_index(spark: SparkSession, index: DataFrame, successes: DataFrame, every: int) -> DataFrame:
@@ -124,19 +156,58 @@ def fingerprint_changes(spark: SparkSession, stored: DataFrame, remote: DataFram
     return _taken(spark, sink, schema)
 
 
-def idle_generations(spark: SparkSession, states: DataFrame, now: int, ttl: int) -> DataFrame:
-    """(generation) whose last event leaves it unfinished and idle for `ttl` seconds at `now`.
+class IdleTimer(StatefulProcessor):
+    """Keeps the last event of a generation and a timer `ttl` seconds after it; when the timer fires the state goes, and an unfinished generation comes out."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "u long, seq long, status string, at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.last.get()
+        best = held
+        for pdf in rows:
+            for r in zip(pdf["u"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist(), pdf["at"].tolist()):
+                best = r if best is None or r[:2] > tuple(best)[:2] else best
+        if best is not held:
+            if held is not None:
+                self.handle.deleteTimer((held[3] + self.ttl) * 1000)
+            self.handle.registerTimer((best[3] + self.ttl) * 1000)
+            self.last.update(tuple(best))
+        yield from ()
 
-    The last event of a generation is kept as streaming state (an aggregate by generation), so
-    events may come in any order over the micro-batches; none is late, as state is never dropped. A batch
-    writes the generations that it changed, under its number.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, _, status, at = self.last.get()
+        self.last.clear()
+        if status in UNFINISHED:
+            yield pd.DataFrame({"generation": [key[0]], "status": [status], "at": [at]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle_generations(spark: SparkSession, states: DataFrame, now: int, ttl: int, late: int, folder: str | None = None) -> DataFrame:
+    """(generation, status, at) whose last event leaves it unfinished and idle for `ttl` seconds when event time reaches `now`.
+
+    Each generation has a timer in event time, set anew by a later event; its state goes when it fires, so state holds the generations
+    of the last `ttl` seconds only. Events may be `late` seconds behind the newest one; older ones are dropped. An event without a time counts as
+    of `now`. A last row without a generation moves event time on to `now`. folder: where to work, as for acquire().
     """
-    folder = _folder(spark)
-    states.select("generation", "status", "seq", F.coalesce("updated_at", "created_at", F.lit(now)).alias("at"), F.coalesce("updated_at", F.lit(-1)).alias("u")).repartition(3).write.parquet(f"{folder}/events")
-    sink = f"{folder}/sink"
-    last = _stream(spark, f"{folder}/events", 10).groupBy("generation").agg(F.max(F.struct("u", "seq", "status", "at")).alias("s")).select("generation", "s.status", "s.at")
+    folder = folder or _folder(spark)
+    at = F.coalesce("updated_at", "created_at", F.lit(now))
+    events = states.select("generation", "status", "seq", at.alias("at"), F.coalesce("updated_at", F.lit(-1)).cast("long").alias("u")).where("generation is not null")
+    clock = spark.createDataFrame([(None, "clock", 0, now + late, -1)], "generation string, status string, seq long, at long, u long")
     schema = "generation string, status string, at long"
-    _begin(spark, sink, schema)
-    last.writeStream.outputMode("update").foreachBatch(lambda batch, number: _put(batch, sink, number)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    newest = spark.read.schema(f"{schema}, batch int").parquet(sink).groupBy("generation").agg(F.max_by(F.struct("status", "at"), "batch").alias("s"))
-    return newest.where(F.col("s.status").isin("building", "recovering", "ready") & (F.lit(now) - F.col("s.at") >= ttl)).select("generation")
+    ship(spark)
+    if not _exists(spark, f"{folder}/sink"):
+        _begin(spark, f"{folder}/sink", schema)
+    for part in (events.repartition(3), clock.coalesce(1)):
+        part.write.mode("append").parquet(f"{folder}/events")
+        stream = _stream(spark, f"{folder}/events", 10).withColumn("time", F.timestamp_seconds("at")).withWatermark("time", f"{late} seconds")
+        fired = stream.where("generation is not null or status = 'clock'").groupBy(F.coalesce("generation", F.lit("")).alias("generation")).transformWithStateInPandas(IdleTimer(ttl), T.StructType.fromDDL(schema), "Append", "EventTime")
+        with _states(spark):
+            fired.writeStream.outputMode("append").foreachBatch(lambda batch, number: _put(batch, f"{folder}/sink", number)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return _taken(spark, f"{folder}/sink", schema)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenvault.operators import fingerprint
+from lumenvault.operators import fingerprint, summary
 from lumenvault.sources import sinks
 from lumenvault.streaming import ingest
 
@@ -39,16 +39,36 @@ def test_red_is_gray_77():
 
 def test_manifest_and_shard_sinks(spark, tmp_path):
     inventory = spark.createDataFrame([("gallery/a", 5), ("gallery/b", 6)], "key string, size long")
-    entries = inventory.select(F.col("key").alias("source_key"), F.concat(F.lit("gallery/generations/g1/"), "key").alias("destination_key"), "size", F.lit("jpg").alias("extension"))
-    sinks.manifest(entries, "g1", inventory, str(tmp_path / "m"))
+    entries = inventory.select(F.lit("g1").alias("generation"), F.col("key").alias("source_key"), F.concat(F.lit("gallery/generations/g1/"), "key").alias("destination_key"), "size", F.lit("jpg").alias("extension"))
+    header = summary.manifest_header(entries, inventory, "g1", 7, "s", 100)
+    for _ in range(2):  # tried again, nothing is doubled
+        sinks.manifest(entries, header, str(tmp_path / "m"))
+        sinks.shard_plan(entries.select("source_key", "generation", F.lit(0).alias("round"), F.lit(3).alias("shard")), str(tmp_path / "s"))
+        sinks.gallery_index(entries, 9, str(tmp_path / "i"))
+        sinks.run_summary(spark.createDataFrame([(1, "uploaded", 5, 0)], "source_number int, status string, bytes long, return_code int"), "r1", str(tmp_path / "r"))
+    other = entries.select(F.lit("g2").alias("generation"), "source_key", F.replace("destination_key", F.lit("g1"), F.lit("g2")).alias("destination_key"), "size", "extension")
+    sinks.manifest(other, summary.manifest_header(other, inventory, "g2", 8, "s", 100), str(tmp_path / "m"))
     back = spark.read.parquet(str(tmp_path / "m/entries"))
-    assert back.where("generation = 'g1'").count() == 2 and spark.read.parquet(str(tmp_path / "m/headers")).first().selected_bytes == 11
-    with pytest.raises(ValueError):
-        sinks.manifest(entries.unionByName(entries), "g1", inventory, str(tmp_path / "m"))
-    sinks.shard_plan(entries.select("source_key", F.lit("g1").alias("generation"), F.lit(0).alias("round"), F.lit(3).alias("shard")), str(tmp_path / "s"))
-    assert (tmp_path / "s/generation=g1/round=0/shard=3").is_dir()
-    sinks.gallery_index(entries, str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i/header")).first()["count"] == 2
+    assert {r.generation: r["count"] for r in back.groupBy("generation").count().collect()} == {"g1": 2, "g2": 2}
+    kept = spark.read.parquet(str(tmp_path / "m/headers")).where("generation = 'g1'").collect()
+    assert [(r.version, r.created_at, r.seed, r.target_bytes, r.selected_objects, r.selected_bytes, r.inventory_bytes) for r in kept] == [(1, 7, "s", 100, 2, 11, 11)]
+    assert (tmp_path / "s/generation=g1/round=0/shard=3").is_dir() and spark.read.parquet(str(tmp_path / "s")).count() == 2
+    assert [r.key for r in spark.read.parquet(str(tmp_path / "i/items")).collect()] == ["gallery/generations/g1/gallery/a", "gallery/generations/g1/gallery/b"]
+    assert tuple(spark.read.parquet(str(tmp_path / "i/header")).first()) == (1, 9, 2) and spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
+def test_faulty_manifests_are_refused(spark, tmp_path):
+    inventory = spark.createDataFrame([("gallery/a", 5), ("gallery/b", 6)], "key string, size long")
+    entries = inventory.select(F.lit("g1").alias("generation"), F.col("key").alias("source_key"), F.concat(F.lit("gallery/generations/g1/"), "key").alias("destination_key"), "size")
+    header = summary.manifest_header(entries, inventory, "g1", 7, "s", 100)
+    assert not summary.manifest_violations(entries, header).first().refused
+    faults = [header.withColumn(c, F.lit(v)) for c, v in (("version", 2), ("target_bytes", 0), ("inventory_objects", 1), ("selected_objects", 3), ("selected_bytes", 10), ("generation", ""))]
+    for given, of in [(entries, h) for h in faults] + [(entries.unionByName(entries), header), (entries.withColumn("destination_key", F.concat(F.lit("gallery/generations/g2/"), "source_key")), header)]:
+        with pytest.raises(ValueError, match="invalid manifest"):
+            sinks.manifest(given, of, str(tmp_path / "m"))
+    assert not (tmp_path / "m").exists()
+    with pytest.raises(ValueError, match="cannot be published"):
+        summary.refused_if_unverifiable(inventory.withColumn("sha1", F.lit("x")))
 
 
 def test_acquisition_takes_a_key_once(spark):

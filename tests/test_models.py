@@ -1,5 +1,6 @@
 """Operators against short sequential models, on random and skewed inputs."""
 
+import os
 import random
 
 import numpy as np
@@ -71,6 +72,73 @@ def test_survivors_follow_the_sequential_walk(spark, seed):
     assert got == want
 
 
+def walked(quality, edges):
+    """{key: survives} of the keys that have an edge, by the walk from the best on."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    kept, gone = set(), set()
+    for k in sorted(near, key=lambda k: (-quality[k], k)):
+        if k not in gone:
+            kept.add(k)
+            gone |= near[k] - kept
+    return {k: k in kept for k in near}
+
+
+def test_a_long_chain_settles_in_few_rounds(spark):
+    """10,000 nodes in order of quality, and shorter chains that meet in nodes with several better neighbours."""
+    n = 10_000
+    quality = {f"k{i:05}": float(n - i) for i in range(n)}
+    edges = [(f"k{i:05}", f"k{i + 1:05}") for i in range(n - 1)]
+    nodes = spark.createDataFrame(list(quality.items()), "key string, quality double")
+    done, rounds = consolidate.settled(nodes, spark.createDataFrame(edges, "a string, b string"))
+    assert {r.key: r.survives for r in done.collect()} == walked(quality, edges) and rounds < 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_that_meet_follow_the_walk(spark, seed):
+    rng = random.Random(seed)
+    quality = {f"k{i:03}": float(rng.randrange(400)) for i in range(300)}
+    order = sorted(quality, key=lambda k: (-quality[k], k))
+    edges = [(order[i], order[j]) for i in range(300) for j in [i + rng.choice([1, 1, 1, 2, 7, 40])] if j < 300] + [tuple(rng.sample(order, 2)) for _ in range(40)] + [(order[5], k) for k in order[100:160]]
+    done, rounds = consolidate.settled(spark.createDataFrame(list(quality.items()), "key string, quality double"), spark.createDataFrame(edges, "a string, b string"))
+    assert {r.key: r.survives for r in done.collect()} == walked(quality, edges) and rounds < 60
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    from lumenvault.sources.shared import work_dir
+
+    held = lambda: set(os.listdir(work_dir(spark).removeprefix("file://"))) if os.path.isdir(work_dir(spark).removeprefix("file://")) else set()
+    before = held()
+    nodes = spark.createDataFrame([(f"k{i}", float(i)) for i in range(30)], "key string, quality double")
+    consolidate.settled(nodes, spark.createDataFrame([(f"k{i}", f"k{i + 1}") for i in range(29)], "a string, b string"))
+    assert len(held() - before) == 1
+
+
+PRINTS = "key string, phash long, hash256 array<long>, crop_hashes array<long>, kind int, sha256 string, duration_ms long, frame_count long, timeline array<long>"
+
+
+def test_moving_media_without_duration_are_compared_by_frames(spark):
+    line = [(1 << (i % 40)) * 3 for i in range(48)]
+    rows = [("a", 5, [5] * 4, [], 3, "s1", None, 48, line), ("b", 5, [5] * 4, [], 3, "s2", None, 29, line[10:39]), ("c", 5, [5] * 4, [], 3, "s3", 9000, 48, line), ("d", 5, [5] * 4, [], 3, "s4", 9000, 48, line), ("e", 5, [5] * 4, [], 3, "s5", None, None, []), ("f", 5, [5] * 4, [], 3, "s6", None, None, [])]
+    p = spark.createDataFrame(rows, PRINTS)
+    got = {(r.a, r.b): r.evidence for r in similarity.all_edges(p).collect()}
+    assert got["a", "b"] == similarity.EXCERPT and got["c", "d"] == got["a", "c"] == similarity.SAME_MOVING
+    assert not any("e" in k or "f" in k for k in got)
+    classes = {r.key: r["class"] for r in similarity.media_classes(p).collect()}
+    assert classes == {"a": "a", "b": "b", "c": "c", "d": "c", "e": "e", "f": "f"}
+    out = similarity.all_edges(p, spark.createDataFrame([("c", "d")], "first_key string, second_key string"))
+    assert {(r.a, r.b) for r in out.collect()} == set(got) - {("c", "d")}
+
+
+def test_cards_are_numbered_by_survivor(spark):
+    nodes = spark.createDataFrame([("a", 1.0), ("b", 9.0), ("c", 2.0), ("d", 0.5), ("e", 9.0), ("f", 0.1)], "key string, quality double")
+    edges = spark.createDataFrame([("a", "b", 0.9, "x"), ("b", "d", 0.8, "x"), ("c", "f", 0.8, "x"), ("e", "f", 0.9, "x")], "a string, b string, score double, evidence string")
+    got = sorted((r.pos, r.left_key, r.right_key) for r in consolidate.review_queue(nodes, edges, "g").collect())
+    assert got == [(1, "b", "a"), (2, "b", "d"), (3, "e", "f")]
+
+
 def test_deletion_is_not_transitive(spark):
     nodes = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "key string, quality double")
     edges = spark.createDataFrame([("a", "b", 0.95, "x"), ("b", "c", 0.94, "x")], "a string, b string, score double, evidence string")
@@ -281,8 +349,8 @@ def test_classes_of_copies_consolidate_as_their_pairs(spark):
     base = rng.getrandbits(63)
     flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(63), n))
     prints = [base] * 60 + [flip(base, n) for n in (1, 2, 4, 6, 8, 10, 12)] + [flip(base, 14)] * 5 + [rng.getrandbits(63) for _ in range(5)] + [rng.getrandbits(63)] * 3
-    rows = [(f"k{i:03d}", h, [h] * 4, [h ^ 1 << 40, h ^ 3], 1, f"s{i}", None, None) for i, h in enumerate(prints)]
-    p = spark.createDataFrame(rows, "key string, phash long, hash256 array<long>, crop_hashes array<long>, kind int, sha256 string, duration_ms long, timeline array<long>").cache()
+    rows = [(f"k{i:03d}", h, [h] * 4, [h ^ 1 << 40, h ^ 3], 1, f"s{i}", None, None, None) for i, h in enumerate(prints)]
+    p = spark.createDataFrame(rows, PRINTS).cache()
     nodes = spark.createDataFrame([(r[0], float(rng.randrange(9))) for r in rows], "key string, quality double")
     apart = spark.createDataFrame([("k003", "k010"), ("k004", "k061")], "first_key string, second_key string")
 
@@ -291,7 +359,7 @@ def test_classes_of_copies_consolidate_as_their_pairs(spark):
         still = similarity.still_edges(pairs, of)
         return still.unionByName(similarity.crop_edges(pairs, of, still)).cache()
 
-    members = similarity.still_classes(p, apart).cache()
+    members = similarity.media_classes(p, apart).cache()
     every, few = linked(p), linked(p.join(members.where("key = class").select("key"), "key", "left_semi"))
     rows_of = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
     assert rows_of(consolidate.class_survivors(nodes, members, few)) == rows_of(consolidate.survivors(nodes, every))
