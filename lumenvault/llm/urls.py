@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from .common import lower_ascii, written
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.6
+#: Tokens of rules up to this number are looked for in the row.
+LISTED = 5000
 #: Verdict of a url that no mined rule matches.
 OTHERWISE = "allow"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -45,34 +49,70 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(parts))
 
 
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support) from rows (tokens, label), by FP-growth.
+def token_classes(rows: DataFrame, least: int) -> DataFrame:
+    """(class, label, tokens, n, n_label): tokens that occur in the same rows are a class, named by its least token, with its rows of each label.
 
-    A rule is a frequent token set whose rows carry one verdict in a share of at least `confidence`.
-    Pruned is a rule that has a more general one (fewer tokens) for the same verdict with no less confidence.
-    The number of rules has a bound in `support` and the tokens of a url, not in the table.
+    rows: (tokens, label, w), w equal rows a row. Only tokens with `least` rows of one label or more are classed. Rows are compared by
+    count and two 64-bit sums of their hashes.
     """
-    marked = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked)
-    rules = model.associationRules.where(F.get("consequent", F.lit(0)).startswith("verdict=") & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
-    rules = written(rules.select(F.array_sort("antecedent").alias("rule_tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")))
-    # a more general rule shares its first token with the rule, so it is found by that token
-    general = rules.select(F.get("rule_tokens", F.lit(0)).alias("t"), F.col("rule_tokens").alias("g"), F.col("verdict").alias("gv"), F.col("confidence").alias("gc"))
-    each = rules.select("*", F.explode("rule_tokens").alias("t"))
-    beaten = each.join(general, "t").where((F.size("g") < F.size("rule_tokens")) & (F.col("gv") == F.col("verdict")) & (F.col("gc") >= F.col("confidence")) & (F.size(F.array_except("g", "rule_tokens")) == 0)).select("rule_tokens", "verdict").distinct()
-    return rules.join(beaten, ["rule_tokens", "verdict"], "left_anti")
+    each = rows.select(F.explode("tokens").alias("t"), "label", "w", *[F.xxhash64(F.lit(k), "tokens", "label").cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)])
+    counts = written(each.groupBy("t", "label").agg(F.sum("w").alias("n_label"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")))
+    whole = counts.groupBy("t").agg(F.sum("n_label").alias("n"), F.max("n_label").alias("most"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where(F.col("most") >= least)
+    classes = whole.groupBy("n", "h1", "h2").agg(F.sort_array(F.collect_list("t")).alias("tokens")).select(F.get("tokens", F.lit(0)).alias("class"), "tokens", "n")
+    return written(classes.join(counts.select(F.col("t").alias("class"), "label", "n_label"), "class"))
+
 
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules (classes, verdict, confidence, support) from rows (tokens, label), by FP-growth, and the classes (class, tokens) of tokens that they name.
 
-def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    A rule is a frequent token set whose rows carry one verdict in a share of at least `confidence`. Pruned is a rule that has a more general one (fewer
+    tokens) for the same verdict with no less confidence. So no rule has two tokens of one class, nor beside others a token of all
+    rows or one whose rows have one label only: the set without it, or it alone, says as much. Those sets are never made: FP-growth gets
+    one item a class, and only classes of several labels that some rows lack. A rule stands for all its choices of one token a class, which are not listed here.
+    """
+    rows = written(labelled.select(F.array_distinct("tokens").alias("tokens"), "label").groupBy("tokens", "label").agg(F.count("*").alias("w")))
+    total = rows.agg(F.sum("w")).first()[0] or 0
+    least = max(1, math.ceil(support * total))
+    classes = token_classes(rows, least)
+    share = lambda n, of: F.round(n / of, 9)
+    single = classes.where(F.col("n_label") >= least).select(F.array("class").alias("classes"), F.col("label").alias("verdict"), share(F.col("n_label"), F.col("n")).alias("confidence"), share(F.col("n_label"), F.lit(max(1, total))).alias("support")).where(F.col("confidence") >= confidence)
+    mixed = classes.groupBy("class").agg(F.max("n_label").alias("most"), F.max("n").alias("n")).where((F.col("most") < F.col("n")) & (F.col("n") < total)).select(F.col("class").alias("t"))
+    items = rows.select("tokens", "label", "w", F.explode_outer("tokens").alias("t")).join(mixed.withColumn("item", F.col("t")), "t", "left").groupBy("tokens", "label", "w").agg(F.collect_list("item").alias("items"))
+    marked = items.select(F.concat("items", F.array(F.concat(F.lit("verdict="), "label"))).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("w"))).alias("copy")).drop("copy")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked)
+    several = model.associationRules.where(F.get("consequent", F.lit(0)).startswith("verdict=") & ~F.exists("antecedent", lambda x: x.startswith("verdict=")) & (F.size("antecedent") > 1))
+    several = several.select(F.array_sort("antecedent").alias("classes"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
+    rules = written(single.unionByName(several))
+    # a more general rule shares its first class with the rule, so it is found by that
+    general = rules.select(F.get("classes", F.lit(0)).alias("t"), F.col("verdict"), F.col("classes").alias("g"), F.col("confidence").alias("gc"))
+    each = rules.where(F.size("classes") > 1).select("*", F.explode("classes").alias("t"))
+    beaten = each.join(general, ["t", "verdict"]).where((F.size("g") < F.size("classes")) & (F.col("gc") >= F.col("confidence")) & (F.size(F.array_except("g", "classes")) == 0)).select("classes", "verdict").distinct()
+    kept = written(rules.join(beaten, ["classes", "verdict"], "left_anti"))
+    return kept, classes.select("class", "tokens").distinct().join(kept.select(F.explode("classes").alias("class")).distinct(), "class", "left_semi")
+
+
+def token_rules(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rules of mine() by tokens: (rule_tokens, verdict, confidence, support), one for each choice of a token a class."""
+    named = rules.select("*", F.explode("classes").alias("class")).join(classes, "class").groupBy("classes", "verdict", "confidence", "support").agg(F.collect_list("tokens").alias("lists"))
+    start = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("lists", start, lambda made, tokens: F.flatten(F.transform(made, lambda m: F.transform(tokens, lambda t: F.concat(m, F.array(t))))))
+    return named.select(F.explode(choices).alias("rule_tokens"), "verdict", "confidence", "support").withColumn("rule_tokens", F.array_sort("rule_tokens"))
+
+
+def match(sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """(tokens, mined, mined_rule) of the distinct arrays in column `tokens` of `sets`: the best rule of an inverted index.
 
-    The index lists each rule under its first token; rules met there are verified as a whole. Best is
-    the highest confidence, then support, then fewest tokens, then the text of the rule.
+    The index lists each rule under its first class; rules met there are verified as a whole. Best is the highest confidence, then
+    support, then fewest tokens, then the greatest tokens in order; of a class the greatest token that the set has is named.
     """
-    index = rules.select(F.get("rule_tokens", F.lit(0)).alias("t"), "rule_tokens", "verdict", "confidence", "support")
-    met = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("t")).join(index, "t").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    best = F.max(F.struct("confidence", "support", (-F.size("rule_tokens")).alias("short"), F.array_join("rule_tokens", "+").alias("rule"), "verdict")).alias("best")
-    return met.groupBy("tokens").agg(best).select("tokens", F.col("best.verdict").alias("mined"), F.col("best.rule").alias("mined_rule"))
+    index = rules.select(F.get("classes", F.lit(0)).alias("class"), "classes", "verdict", "confidence", "support")
+    of = classes.select("class", F.explode("tokens").alias("t"))
+    held = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("t")).join(of, "t").groupBy("tokens", "class").agg(F.max("t").alias("t"))
+    have = held.groupBy("tokens").agg(F.collect_list(F.struct("class", "t")).alias("have"))
+    met = have.select("tokens", "have", F.explode("have.class").alias("class")).join(index, "class").where(F.size(F.array_except("classes", "have.class")) == 0)
+    named = F.array_sort(F.transform(F.filter("have", lambda x: F.array_contains("classes", x["class"])), lambda x: x["t"]))
+    best = F.max(F.struct("confidence", "support", (-F.size("classes")).alias("short"), named.alias("rule"), "verdict")).alias("best")
+    return met.groupBy("tokens").agg(best).select("tokens", F.col("best.verdict").alias("mined"), F.array_join("best.rule", "+").alias("mined_rule"))
 
 
 def judge(pages: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -86,10 +126,13 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame
     rows = pages.select(F.col(key), F.col(url).alias("__url"), host.alias("host"), path.alias("path"))
     rule, verdict = stated(F.col("host"), F.col("path"))
     rows = rows.select(key, "host", "path", rule.alias("rule"), verdict.alias("__stated"), tokens(F.col("__url"), F.col("host"), F.col("path")).alias("tokens"))
-    rules = written(mine(rows.where("rule is not null").select("tokens", F.col("__stated").alias("label"))))
-    # a token of a rule is in MIN_SUPPORT of all labelled urls, so there are at most 1 / MIN_SUPPORT times the tokens of a url
-    known = [r.t for r in rules.select(F.explode("rule_tokens").alias("t")).distinct().collect()]
-    rows = rows.withColumn("tokens", F.filter("tokens", lambda x: x.isin(known)))
-    found = written(match(rows.where("rule is null"), rules))
+    rules, classes = mine(rows.where("rule is not null").select("tokens", F.col("__stated").alias("label")))
+    classes = written(classes)
+    # tokens of rules are each in MIN_SUPPORT of the labelled urls; few of them are looked for in the row, more by the join in match()
+    listed = classes.select(F.explode("tokens").alias("t"))
+    if listed.count() <= LISTED:
+        known = [r.t for r in listed.collect()]
+        rows = rows.withColumn("tokens", F.filter("tokens", lambda x: x.isin(known)))
+    found = written(match(rows.where("rule is null"), rules, classes))
     out = rows.join(found, "tokens", "left")
     return out.select(key, "host", "path", "rule", F.coalesce("__stated", "mined", F.lit(OTHERWISE)).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined_rule")).alias("mined_rule"))

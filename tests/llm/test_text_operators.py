@@ -59,10 +59,48 @@ def test_mined_rules_match_enumeration(spark):
             both[part, label] += 1
     rules = {(p, v): both[p, v] / seen[p] for p, v in both if both[p, v] >= support * len(rows) and both[p, v] / seen[p] >= confidence}
     want = {k for k, conf in rules.items() if not any(set(p) < set(k[0]) and v == k[1] and round(c, 9) >= round(conf, 9) for (p, v), c in rules.items())}
-    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), support, confidence)
+    got = urls.token_rules(*urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), support, confidence))
     assert {(tuple(r.rule_tokens), r.verdict) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_tokens_that_go_together_match_enumeration(spark, seed):
+    """Tokens in all rows, tokens always in company, nested ones and those of one label only."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        deep = rng.randrange(4)
+        tokens = {"every", "also"} | {f"deep{k}" for k in range(deep)} | ({"a1", "a2", "a3"} if rng.random() < 0.5 else set()) | ({"b1", "b2"} if rng.random() < 0.4 else set())
+        label = "block" if deep == 3 or rng.random() < 0.5 else "allow"
+        rows.append((sorted(tokens | ({"only"} if label == "allow" and rng.random() < 0.3 else set())), label))
+    support, confidence = 0.05, 0.6
+    seen, both = Counter(), Counter()
+    for tokens, label in rows:
+        for k in range(1, 1 << len(tokens)):
+            part = tuple(t for i, t in enumerate(tokens) if k >> i & 1)
+            seen[part] += 1
+            both[part, label] += 1
+    rules = {k: both[k] / seen[k[0]] for k in both if both[k] >= support * len(rows) and both[k] / seen[k[0]] >= confidence}
+    by_verdict = {v: [(frozenset(p), round(c, 9)) for (p, w), c in rules.items() if w == v] for v in ("allow", "block")}
+    want = {(p, v) for (p, v), conf in rules.items() if not any(q < set(p) and c >= round(conf, 9) for q, c in by_verdict[v])}
+    got = urls.token_rules(*urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), support, confidence)).collect()
+    assert {(tuple(r.rule_tokens), r.verdict) for r in got} == want and len(got) == len(want)
+    assert all(r.confidence == round(rules[tuple(r.rule_tokens), r.verdict], 9) for r in got)
+
+
+def test_many_common_folders_are_one_item(spark):
+    """300 urls that share 30 folders, of both verdicts, and 30 more that a third of them share."""
+    import time
+
+    shared, more = "/".join(f"f{k}" for k in range(30)), "/".join(f"g{k}" for k in range(30))
+    given = [f"http://{'www.' if i % 2 else ''}example.com/en/{shared}/{more if i % 3 == 0 else 'x'}/{i}" for i in range(300)] + [f"http://other.org/en/{shared}", "http://other.org/q"]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert time.time() - began < 60 and len(got) == 302  # some seconds alone; 2^30 token sets would take years
+    assert {got[i].verdict for i in range(0, 300, 2)} == {"block"} and got[301].mined_rule is None
+
+
 def test_rules_on_deep_folders(spark):
     deep = lambda host, last, n: [f"http://{host}/{k}{last}" for k in (f"en/a/b/{i}/" for i in range(n))]
     given = deep("example.com", "ads", 30) + deep("www.example.com", "news", 30) + deep("other.org", "ads", 2) + deep("other.org", "news", 2)
@@ -98,8 +136,8 @@ def brute_verdicts(pages):
     kept = {k: c for k, c in rules.items() if not any(p < k[0] and v == k[1] and d[0] >= c[0] for (p, v), d in rules.items())}
     out = {}
     for i, (rule, verdict, t) in read.items():
-        best = max(((*c, -len(p), "+".join(sorted(p)), v) for (p, v), c in kept.items() if p <= t), default=None)
-        out[i] = (rule, verdict, None) if rule else (None, best[-1] if best else urls.OTHERWISE, best[-2] if best else None)
+        best = max(((*c, -len(p), sorted(p), v) for (p, v), c in kept.items() if p <= t), default=None)
+        out[i] = (rule, verdict, None) if rule else (None, best[-1] if best else urls.OTHERWISE, "+".join(best[-2]) if best else None)
     return out
 
 
