@@ -534,7 +534,7 @@ def moving_candidates(t, spark, sf_dir):
 _PAIR = "SELECT e.a, e.b, l.phash AS lp, r.phash AS rp, l.crop_hashes AS lc, r.crop_hashes AS rc, l.duration_ms AS ld, r.duration_ms AS rd, l.frame_count AS lf, r.frame_count AS rf, l.timeline AS lt, r.timeline AS rt, bit_count(xor(l.phash, r.phash)) AS p, 4 * bit_count(xor(l.phash, r.phash)) AS h FROM ({0}) e JOIN prints l ON l.key = e.a JOIN prints r ON r.key = e.b WHERE l.sha256 <> r.sha256"
 _STILL_EDGES = "SELECT a, b, round(greatest(0.0, least(1.0, 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0)))::DOUBLE, 9) AS score, 'same image after resize or recompression' AS evidence FROM pair_still WHERE p <= 10 AND h <= 48 AND 1.0 - (0.55 * p / 64.0 + 0.45 * h / 256.0) >= 0.76"
 _CROP_EDGES = f"""SELECT a, b, round(greatest(0.0, least(1.0, 0.96 - 0.45 * c / 64.0 - 0.25 * h / 256.0))::DOUBLE, 9) AS score, 'convincing crop or reframe' AS evidence FROM (SELECT a, b, h, list_min(list_concat(list_concat(list_transform(rc, lambda y: bit_count(xor(lp, y))),
-list_transform(lc, lambda x: bit_count(xor(x, rp)))), flatten(list_transform(lc, lambda x: list_transform(rc, lambda y: bit_count(xor(x, y))))))) AS c FROM pair_still WHERE h <= 64 AND (a, b) NOT IN (SELECT (a, b) FROM ({_STILL_EDGES}) s)) q
+list_transform(lc, lambda x: bit_count(xor(x, rp)))), flatten(list_transform(lc, lambda x: list_transform(rc, lambda y: bit_count(xor(x, y))))))) AS c FROM pair_still p WHERE h <= 64 AND NOT EXISTS (SELECT 1 FROM ({_STILL_EDGES}) s WHERE s.a = p.a AND s.b = p.b)) q
 WHERE c <= 7 AND 0.96 - 0.45 * c / 64.0 - 0.25 * h / 256.0 >= 0.76"""
 _WITH_PAIRS = _WITH + f", pair_still AS MATERIALIZED ({_PAIR.format('SELECT * FROM (' + _STILLS + ') s1 UNION SELECT * FROM (' + _CROPS + ') s2')}) "
 
