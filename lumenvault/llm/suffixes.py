@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import SLICE_BYTES, ship, written
 from .spans import KEYS, kept_digests, kept_text, keyed, unions
 
 LENGTH, GRAM, STEP = 400, 64, 32
@@ -75,35 +75,65 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return h[new], p[new], lo[new], hi[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(p) - 1]))]
 
 
+def regions(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(h, c, lo, n, p, reps) of the anchor places of `raw`: the anchor's hash, a hash of its region, the first window start, the number of
+    starts less 1, the anchor less lo, and how many equal regions follow one another from there on.
+
+    In a stretch that repeats itself every few bytes each period has a region of its own, equal to the one before; such a run is one row.
+    """
+    from xxhash import xxh3_64_intdigest as digest
+
+    h, place, lo, hi = anchors(raw)
+    n, p = hi - lo, place - lo
+    if not len(h):
+        return h, h, lo, n, p, n
+    like = np.concatenate(([False], (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & (p[1:] == p[:-1]) & (lo[1:] == lo[:-1] + n[:-1] + 1)))
+    first = np.flatnonzero(~like)
+    reps = np.diff(np.append(first, len(h)))
+    data = np.frombuffer(raw, np.uint8)
+    for k in np.flatnonzero(reps > 1).tolist():
+        step, s = int(n[first[k]]) + 1, int(lo[first[k]])
+        e = s + (int(reps[k]) - 1) * step + step - 1 + LENGTH
+        if (data[s : e - step] != data[s + step : e]).any():  # equal anchors of regions that differ
+            like[first[k] : first[k] + reps[k]] = False
+    first = np.flatnonzero(~like)
+    reps = np.diff(np.append(first, len(h)))
+    h, lo, n, p = h[first], lo[first], n[first], p[first]
+    c = np.array([digest(raw[s : s + k + LENGTH]) for s, k in zip(lo.tolist(), n.tolist())], np.uint64).view(np.int64)
+    return h, c, lo, n, p, reps
+
+
 def _batches(columns: list[tuple[str, pa.DataType]], rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(rows, columns)], names=[n for n, _ in columns])
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """(__k, __th, h, c, lo, n, p): the anchor places of each document.
-
-    h: the anchor's hash; c: hash of its region; lo: first window start, n: number of starts less 1, p: anchor less lo.
-    """
+    """(__k, __th, h, c, lo, n, p, reps): the regions() of each document."""
     ship(rows.sparkSession)
+    names = ["__k", "__th", "h", "c", "lo", "n", "p", "reps"]
 
     def run(batches):
-        from xxhash import xxh3_64_intdigest as digest
+        from lumenvault.llm.suffixes import regions as of
+
+        def handed_on(out):
+            flat = [np.concatenate(x) for x in zip(*out)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], names=names)
 
         for batch in batches:
-            for part in range(0, batch.num_rows, 1024):
-                piece = batch.slice(part, 1024)
-                out: list[list] = [[] for _ in range(7)]
-                for a, b, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2)):
-                    raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    h, p, lo, hi = anchors(raw)
-                    if len(h):
-                        c = np.array([digest(raw[s : e + LENGTH]) for s, e in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
-                        for to, x in zip(out, (np.full(len(h), a), np.full(len(h), b), h, c, lo, hi - lo, p - lo)):
-                            to.append(x)
-                flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], names=["__k", "__th", "h", "c", "lo", "n", "p"])
-
-    return rows.select(*KEYS, "__text").mapInArrow(run, "__k long, __th long, h long, c long, lo long, n long, p long")
+            out, held = [], 0
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                found = of(raw)
+                if len(found[0]):
+                    out.append((np.full(len(found[0]), a), np.full(len(found[0]), b), *found))
+                held += len(raw)
+                if out and held > SLICE_BYTES:
+                    yield handed_on(out)
+                    out, held = [], 0
+            if out:
+                yield handed_on(out)
+
+    return rows.select(*KEYS, "__text").mapInArrow(run, "__k long, __th long, h long, c long, lo long, n long, p long, reps long")
 
 
 def groups(rows: DataFrame, regions: DataFrame) -> DataFrame:
@@ -117,22 +147,27 @@ def groups(rows: DataFrame, regions: DataFrame) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_64_intdigest as digest
 
+        def handed_on(out):
+            out[3] = np.array(out[3], np.uint64).view(np.int64)
+            return _batches(names, out)
+
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                piece = batch.slice(part, 256)
-                out: list[list] = [[] for _ in names]
-                for text, own in zip(piece.column(0), piece.column(1)):
-                    raw = text.as_py().encode("utf-8", "surrogatepass")
-                    for x in own.as_py():
-                        lo, hi, p = x["lo"], x["lo"] + x["n"], x["lo"] + x["p"]
-                        # starts p - STEP * j - STEP + 1 .. p - STEP * j make group j
-                        for j in range((p - hi) // STEP, (p - lo) // STEP + 1):
-                            core = p - STEP * j
-                            row = (x["h"], x["c"], j, digest(raw[core : core + CORE]), core - lo, raw[max(lo, core - STEP + 1) : core], raw[core + CORE : min(hi + LENGTH, core + LENGTH)])
-                            for to, v in zip(out, row):
-                                to.append(v)
-                out[3] = np.array(out[3], np.uint64).view(np.int64)
-                yield _batches(names, out)
+            out: list[list] = [[] for _ in names]
+            for text, own in zip(batch.column(0), batch.column(1)):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                for x in own.as_py():
+                    lo, hi, p = x["lo"], x["lo"] + x["n"], x["lo"] + x["p"]
+                    # starts p - STEP * j - STEP + 1 .. p - STEP * j make group j
+                    for j in range((p - hi) // STEP, (p - lo) // STEP + 1):
+                        core = p - STEP * j
+                        row = (x["h"], x["c"], j, digest(raw[core : core + CORE]), core - lo, raw[max(lo, core - STEP + 1) : core], raw[core + CORE : min(hi + LENGTH, core + LENGTH)])
+                        for to, v in zip(out, row):
+                            to.append(v)
+                    if len(out[0]) >= BATCH:
+                        yield handed_on(out)
+                        out = [[] for _ in names]
+            if out[0]:
+                yield handed_on(out)
 
     return rows.join(regions, list(KEYS)).select("__text", "regions").mapInArrow(run, "h long, c long, j int, core long, off int, left binary, right binary")
 
@@ -269,7 +304,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     """(__k, __th, spans): the bytes to remove from each document of keyed() rows, written to a table."""
     found = places(rows)
     first = [F.first(x).alias(x) for x in ("__k", "__th", "lo", "n", "p")]
-    classes = written(found.groupBy("h", "c").agg(F.count("*").alias("many"), *first))
+    classes = written(found.groupBy("h", "c").agg(F.sum("reps").alias("many"), *first))
     several = written(classes.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("h"))
     unclear = classes.join(several, "h").groupBy(*KEYS).agg(F.collect_list(F.struct("h", "c", "lo", "n", "p")).alias("regions"))
     parts = written(groups(rows, written(unclear)))
@@ -277,7 +312,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     whole = classes.where("many > 1").select("h", "c", F.lit(None).cast("array<bigint>").alias("starts"))
     known = written(starts.join(whole.select("h", "c"), ["h", "c"], "left_anti").unionByName(whole))
     met = found.join(known, ["h", "c"])
-    intervals = met.select(*KEYS, F.inline(F.when(F.col("starts").isNull(), F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).alias("e")))).otherwise(F.transform("starts", lambda s: F.struct((F.col("lo") + s).alias("s"), (F.col("lo") + s + LENGTH).alias("e"))))))
+    intervals = met.select(*KEYS, F.inline(F.when(F.col("starts").isNull(), F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("reps") * (F.col("n") + 1) - 1 + LENGTH).alias("e")))).otherwise(F.transform("starts", lambda s: F.struct((F.col("lo") + s).alias("s"), (F.col("lo") + s + LENGTH).alias("e"))))))
     return written(unions(intervals))
 
 
