@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, written
+from .common import bound, small, written
 
 #: A run of this many consecutive item words is a hit; an item of fewer words is one window.
 WINDOW = 13
@@ -13,8 +13,8 @@ WINDOW = 13
 GRAM = 5
 #: Words beside a kept k-gram that a window with it can reach.
 REACH = WINDOW - GRAM
-#: Item fingerprints up to this number (about 300 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Item fingerprints of this many bytes at most, as measured, are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Item fingerprints up to this number are also looked up before the join, so that few of the documents' leave their row.
 LOOKUP_ROWS = 20_000
 #: Words are runs of other characters than these: ASCII without digits and letters, A-Z lower-cased first.
@@ -101,19 +101,19 @@ def _judged(docs: DataFrame, items: DataFrame, text: str, key: str, item_key: st
     lengths = sorted(r[0] for r in bench.where(F.size("w") < WINDOW).select(F.size("w").alias("m")).distinct().collect())  # 12 numbers at most
 
     rows = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), words_of(F.col(text)).alias("w"))
-    own = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("p"), F.lit(0).alias("left"), F.lit("").alias("near"))).cast(_MARKS)
+    # one row for the document itself (p negative) and one for each of its fingerprints; where it goes in a shuffle follows from the document
+    own = F.array(F.struct(F.xxhash64(key, "__th").alias("h"), F.lit(-1).alias("p"), F.lit(0).alias("left"), F.lit("").alias("near"))).cast(_MARKS)
     w = F.col("w")
-    # one row for the document itself (h null) and one for each of its fingerprints
     grams = rows.select(key, "__th", F.size("w").cast("long").alias("n_words"), F.inline(F.concat(own, winnowed(w, long), *[phrases(w, m, short) for m in lengths])))
-    met = grams.join(F.broadcast(marks) if size <= BROADCAST_ROWS else marks, F.col("h") == F.col("ih"), "left").where("h is null or ih is not null")
+    met = grams.join(small(marks, BROADCAST_BYTES), (F.col("h") == F.col("ih")) & (F.col("p") >= 0), "left").where("p < 0 or ih is not null")
     before = lambda x, left: F.reverse(F.slice(x, F.lit(1), left))
     after = lambda x, left: F.slice(x, left + 1, F.lit(GRAM + REACH))
     met = met.withColumn("dw", F.split("near", " ")).withColumn("iw", F.split("inear", " "))
     met = met.withColumn("a", _same(before(F.col("dw"), F.col("left")), before(F.col("iw"), F.col("ileft")))).withColumn("b", _same(after(F.col("dw"), F.col("left")), after(F.col("iw"), F.col("ileft"))))
     span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
-    run = F.when((F.col("h") < 0) & (F.col("near") == F.col("inear")), span(F.col("p"), F.col("p") + F.col("left")))
-    run = run.when((F.col("h") >= 0) & (F.col("b") >= GRAM) & (F.col("a") + F.col("b") >= WINDOW), span(F.col("p") - F.col("a"), F.col("p") + F.col("b")))
-    met = met.select(key, "__th", "n_words", F.col("h").isNull().alias("own"), run.alias("run"), "item").where("own or run is not null")
+    run = F.when((F.col("p") >= 0) & (F.col("h") < 0) & (F.col("near") == F.col("inear")), span(F.col("p"), F.col("p") + F.col("left")))
+    run = run.when((F.col("p") >= 0) & (F.col("h") >= 0) & (F.col("b") >= GRAM) & (F.col("a") + F.col("b") >= WINDOW), span(F.col("p") - F.col("a"), F.col("p") + F.col("b")))
+    met = met.select(key, "__th", "n_words", (F.col("p") < 0).alias("own"), run.alias("run"), "item").where("own or run is not null")
     found = met.groupBy(key, "__th", "n_words").agg(F.count_if("own").alias("__rows"), F.collect_set("run").alias("runs"), F.collect_set(F.when(F.col("run").isNotNull(), F.col("item"))).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(F.array_sort("runs"), zero, lambda z, r: F.struct(F.greatest(z["end"], r["e"]).alias("end"), (z["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(z["end"], r["s"]))).alias("n")))["n"].cast("long")
