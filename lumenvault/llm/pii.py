@@ -165,7 +165,7 @@ def written_out(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of `docs`: key, the number of spans of each base kind, base_sha256 and spans as text.
+    """Per row of `docs`: key, the number of spans of each base kind, base_sha256, spans as text and their scores in hundredths.
 
     A null text is empty. Repeated rows and null keys keep their rows; other columns play no part. An empty
     table gives an empty result.
@@ -173,7 +173,7 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     found = spans(docs.select(key, text), text)
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter("spans", _of_kind(k.name))).cast("long").alias(f"n_{k.name}") for k in KINDS if k.base]
-    return found.select(key, *counts, F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
+    return found.select(key, *counts, F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"))
 
 
 def _without_kind(kind: Kind, text: Column) -> Column:

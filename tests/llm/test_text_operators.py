@@ -329,9 +329,9 @@ def brute_contamination(docs, items):
         yield i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("limits", [(100_000, 20_000), (0, 0)])
+@pytest.mark.parametrize("limits", [(1 << 25, 20_000), (0, 0)])
 def test_contamination(spark, sf, docs, monkeypatch, limits):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limits[0])
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limits[0])
     monkeypatch.setattr(decontaminate, "LOOKUP_ROWS", limits[1])
     bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bench += [(500, "cd ab"), (501, None), (502, ""), (None, "same text twice"), (503, "same TEXT twice"), (503, "same TEXT twice"), (504, " ".join(f"w{i % 5}" for i in range(40)))]
@@ -343,6 +343,26 @@ def test_contamination(spark, sf, docs, monkeypatch, limits):
     assert decontaminate.drop_contaminated(docs, items).columns == docs.columns
 
 
+def test_documents_spread_over_a_shuffled_join(spark, monkeypatch):
+    """With items too many to broadcast every document still sends its own row, by a key of its own."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "LOOKUP_ROWS", 0)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), "id") for k in range(14)]).alias("text"))
+    seen = []
+    join = type(docs).join
+
+    def spy(self, other, *on):
+        if "ih" in other.columns:
+            seen.append(self)
+        return join(self, other, *on)
+
+    monkeypatch.setattr(type(docs), "join", spy)
+    found = decontaminate.contamination(docs, spark.createDataFrame([(1, " ".join(f"w{k}x7" for k in range(14)))], "item_id long, text string"))
+    assert [r.doc_id for r in found.where("contaminated").collect()] == [7]
+    own = seen[0].where("p < 0")
+    assert own.where("h is null").count() == 0 and own.select("h").distinct().count() == 3000
+
+
 def test_long_items_take_linear_time(spark):
     import time
 
@@ -681,6 +701,26 @@ def test_suffixes_and_chunks_without_rows(none):
     assert suffixes.report(none).count() == 0 and chunks.report(none).count() == 0
 
 
+def test_repetitive_texts_are_few_rows(spark):
+    """Texts that repeat themselves every byte or every few, alone and within others."""
+    rng = random.Random(3)
+    noise = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = ["a" * 3000, noise + "xyz" * 500 + noise[:300], "xyz" * 200, "a" * 400, "a" * 401, "ab" * 450 + "c", noise[100:600] + "a" * 450, ("word " * 300) + noise[::-1], noise[::-1][:450], "q" * 399]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, map(tuple, suffixes.report(df).collect()))) == sorted(map(str, brute_repeats(rows, suffixes.LENGTH)))
+    assert suffixes.places(keyed(df, "doc_id", "text").where("__id = 0")).count() == 1
+
+
+def test_ten_megabytes_of_one_letter(spark):
+    import time
+
+    df = spark.createDataFrame([(1, 10), (2, 1)], "doc_id long, n int").select("doc_id", F.repeat(F.lit("a"), F.col("n") * 1_000_000).alias("text"))
+    began = time.time()
+    assert [(r.doc_id, r.n_removed, r.n_spans) for r in suffixes.report(df).orderBy("doc_id").collect()] == [(1, 10_000_000, 1), (2, 1_000_000, 1)]
+    assert time.time() - began < 60  # half that alone
+
+
 # ---------------------------------------------------------------- op8
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -728,6 +768,25 @@ def test_added_kinds_next_to_others(spark):
     assert left[1] == "IBAN [IBAN] BIC COBADEFFXXX" and left[3] == "[IBAN] BIC COBA"
 
 
+def test_added_kinds_by_sql(spark, docs):
+    """The registered SQL on the rows that decide: country lengths, context over earlier matches, scores of all kinds."""
+    import duckdb
+
+    from lumenvault.llm import oracles
+
+    texts = ["SSN: 123-45-6789, 987-65-4321", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 BIC X", "BE68 5390 0754 7034 BIC COBA", "ssn 123-45-6789" + " " * 30 + "987-65-4321", "ssn 123-45-6789" + "." * 12 + "987-65-4321"]
+    texts += ["GB82 WEST 1234 5698 7654 32", "ZZ12 3456 7890 1234 5678 X", "host 10.0.0.1, ip 1.2.3.4 5.6.7.8", "write to a@b.co or call +49 30 12345678, visa 4111 1111 1111 1111", "", None, "é 🙂 mail x@y.zz"]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(oracles.OP8)
+    names, got = want.columns, pii.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
+    by = {r.doc_id: (r.spans, r.scores) for r in got.collect()}
+    assert by[0] == ("ssn:5:16,ssn:18:29", "80,80") and by[1] == ("iban:5:32", "100") and by[8][1] == "90,90,90"
+
+
 def test_one_context_rule_for_spans_and_redaction(spark):
     far, near = "ssn " + "." * 60 + " 123-45-6789", "12 34 56 78 90 12 SSN 1 2 123-45-6789 and 223-45-6789"
     df = spark.createDataFrame([(1, far), (2, near), (3, "ssn DE89 3704 0044 0532 0130 00 123-45-6789"), (4, None)], "doc_id long, text string").withColumn("spans", F.lit("extra"))
