@@ -139,3 +139,30 @@ def survivor_quality(width: Column, height: Column, duration: Column, kind: Colu
     moving = F.when(kind != 1, lasting * logged(F.coalesce(duration, F.lit(0)))).otherwise(0.0)
     bonus = F.when(extension.isin("png", "webp", "gif"), lossless).otherwise(0.0)
     return F.when(kind.isNull(), F.lit(float("-inf"))).otherwise(pixels + moving + bonus + bytes_ * logged(size))
+
+
+def _day(seconds: Column, pattern: str) -> Column:
+    """The UTC day of a time in seconds, whatever the session's time zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")), pattern)
+
+
+def _clock(seconds: Column, between: str) -> Column:
+    of_day = F.pmod(seconds, F.lit(86_400))
+    part = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    return F.concat_ws(between, part(F.floor(of_day / 3600)), part(F.floor(of_day / 60) % 60), part(of_day % 60))
+
+
+def iso_time(seconds: Column) -> Column:
+    """Epoch seconds as 2024-01-31T05:06:07Z."""
+    return F.concat(_day(seconds, "yyyy-MM-dd"), F.lit("T"), _clock(seconds, ":"), F.lit("Z"))
+
+
+def generation_id(seconds: Column, token: Column) -> Column:
+    """The name of a generation begun then: 20240131T050607Z and ten digits of a digest of `token`."""
+    return F.concat(_day(seconds, "yyyyMMdd"), F.lit("T"), _clock(seconds, ""), F.lit("Z-"), F.substring(F.sha2(token, 256), 1, 10))
+
+
+def mail_date(seconds: Column, now: int) -> Column:
+    """The date line of a message: Wed, 31 Jan 2024 05:06:07 GMT; of `now` where it has no readable date."""
+    at = F.coalesce(seconds, F.lit(now).cast("long"))
+    return F.concat(_day(at, "EEE, dd MMM yyyy"), F.lit(" "), _clock(at, ":"), F.lit(" GMT"))

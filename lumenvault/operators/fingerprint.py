@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import ship
+from ..sources.shared import ship, small, written
 
 #: Pixels of an image at most; larger ones are rejected.
 MOST_PIXELS = 100_000_000
@@ -161,6 +161,35 @@ def timelines(frames: DataFrame) -> DataFrame:
     return lines.join(majority(frames), "key").join(majority_wide(frames), "key").select("key", "timeline", "majority", "majority256", "crop_hashes")
 
 
+def chosen_frames(frames: DataFrame) -> DataFrame:
+    """(key, sample, frame_index) by the rules of the media's kind. frames: (key, frame_index, timestamp_ns, total_ns, duration_ns, way), metadata only; way: gif or video."""
+    gif = sampled_frames_gif(frames.where("way = 'gif'").select("key", "frame_index", F.col("timestamp_ns").alias("start_ns"), "duration_ns"))
+    return gif.unionByName(sampled_frames_video(frames.where("way = 'video'").select("key", "frame_index", "timestamp_ns", "total_ns")))
+
+
+def moving_fingerprints(frames: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(key, timeline, majority, majority256, crop_hashes, samples) of moving media, from the pixels of their chosen frames.
+
+    frames: metadata as for chosen_frames(). pixels: (key, frame_index, width, height, pixels), a table in folders by frame_index.
+    Frames are chosen first; the table of choices, if small enough to be sent out, prunes the folders that are read, and only
+    chosen frames are hashed. The crops are those of the first one. Media of which no chosen frame has pixels are left out.
+    """
+
+    def work(batches):
+        for pdf in batches:
+            rows = []
+            for key, sample, w, h, data in zip(pdf["key"], pdf["sample"], pdf["width"], pdf["height"], pdf["pixels"]):
+                image = np.frombuffer(data, np.uint8).reshape(h, w)
+                rows.append((key, sample, phash(image), hash256(image), crop_hashes(image) if sample == 0 else []))
+            yield pd.DataFrame(rows, columns=["key", "frame_index", "h", "h256", "crops"])
+
+    ship(frames.sparkSession)
+    chosen = small(written(chosen_frames(frames)).where("frame_index >= 0"))
+    met = pixels.where(F.col("width").cast("bigint") * F.col("height") <= MOST_PIXELS).join(chosen, ["key", "frame_index"]).select("key", "sample", "width", "height", "pixels")
+    hashed = written(met.mapInPandas(work, "key string, frame_index long, h long, h256 array<long>, crops array<long>"))
+    return timelines(hashed).withColumn("samples", F.size("timeline"))
+
+
 def dispatch(extension):
     """How media of an extension are fingerprinted: still, gif or video; null for others."""
     from ..functions.rules import CLIP, STILL

@@ -150,3 +150,37 @@ def digest(objects: DataFrame, rows: int = DIGEST_ROWS) -> DataFrame:
     lines = objects.select(F.sha2(line, 256).alias("d")).select("d", F.substring("d", 1, digits).alias("bucket"))
     groups = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
     return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("objects"))
+
+
+#: Pieces of a row's SHA-256 that are summed up, and the digits of each.
+PIECES, PIECE_DIGITS = 4, 15
+
+
+def _pieces() -> list:
+    line = F.sha2(F.concat_ws("\0", "key", "file_id", F.col("size").cast("string"), "sha1"), 256)
+    return [F.conv(F.substring(line, 1 + PIECE_DIGITS * k, PIECE_DIGITS), 16, 10).cast("decimal(38,0)").alias(f"s{k}") for k in range(PIECES)]
+
+
+def _summed(rows: DataFrame, sign) -> DataFrame:
+    total = lambda c: F.coalesce(F.sum(sign * F.col(c)), F.lit(0)).cast("decimal(38,0)")
+    return rows.agg(F.coalesce(F.sum(sign), F.lit(0)).cast("long").alias("objects"), *[total(f"s{k}").alias(f"s{k}") for k in range(PIECES)])
+
+
+def multiset_digest(objects: DataFrame) -> DataFrame:
+    """One row (objects, s0..s3): an order-free digest of an inventory, sums of 60-bit pieces of each row's SHA-256.
+
+    Equal inventories have equal digests in any order, and the digest of a changed one follows from the old one and the changes alone.
+    """
+    return _summed(objects.select(*_pieces()), F.lit(1))
+
+
+def updated_digest(digest: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The multiset_digest() after rows came and went, from the one before; a changed row is removed as it was and added as it is."""
+    rows = added.select(F.lit(1).alias("sign"), *_pieces()).unionByName(removed.select(F.lit(-1).alias("sign"), *_pieces()))
+    both = digest.unionByName(_summed(rows, F.col("sign")))
+    return both.agg(F.sum("objects").alias("objects"), *[F.sum(f"s{k}").cast("decimal(38,0)").alias(f"s{k}") for k in range(PIECES)])
+
+
+def unchanged_since(before: DataFrame, now: DataFrame) -> bool:
+    """Whether an inventory is as it was analysed: two digests of one row agree. A queue made in between is valid only then."""
+    return before.first() == now.select(*before.columns).first()

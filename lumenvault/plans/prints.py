@@ -96,10 +96,41 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(derived(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("key"), "embedding"))
 
 
-def object_pixels(keys: DataFrame, sf_dir: str) -> DataFrame:
-    """The images of objects by key (as in pixels()): the number in a key, modulo the number of vectors, is its vector."""
+def frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frames() without hashes, every fifth vector's as of a GIF."""
+    f = frames(spark, sf_dir)
+    base = F.regexp_extract("key", r"v([0-9]+)-", 1).cast("long")
+    return f.select("key", "frame_index", "timestamp_ns", "total_ns", F.lit(100_000_000).alias("duration_ns"), F.when(base % 5 == 0, "gif").otherwise("video").alias("way"))
+
+
+def stored_frames(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """(key, frame_index, width, height, pixels) of all frames, written in folders by frame_index: the vector, turned by frame_index values, as an image of 16 x 16 pixels."""
+    import numpy as np
+    import pandas as pd
+
+    def work(batches):
+        for pdf in batches:
+            out = []
+            for x, turn in zip(pdf.embedding, pdf.frame_index):
+                v = np.roll(np.asarray(x, np.float64), int(turn)).reshape(8, 8)
+                out.append(np.kron(np.floor((v - v.min()) / (np.ptp(v) or 1.0) * 255), np.ones((2, 2))).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"key": pdf.key, "frame_index": pdf.frame_index, "width": 16, "height": 16, "pixels": out}).astype({"width": "int32", "height": "int32"})
+
+    ship(spark)
+    kept = prints(spark, sf_dir).where("kind = 3 and copy = 0").select("base", "key")
+    rows = kept.join(derived(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("base"), "embedding"), "base")
+    rows = rows.select("key", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(95).cast("bigint"))).alias("frame_index"))
+    rows.mapInPandas(work, "key string, frame_index long, width int, height int, pixels binary").repartition("frame_index").write.partitionBy("frame_index").parquet(path)
+    return spark.read.schema("key string, width int, height int, pixels binary, frame_index long").parquet(path)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> int:
+    return derived(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+
+
+def object_pixels(keys: DataFrame, sf_dir: str, count: int) -> DataFrame:
+    """The images of objects by key (as in pixels()): the number in a key, modulo the `count` of vectors, is its vector."""
     e = derived(keys.sparkSession, sf_dir, "embeddings").select("vec_id", "embedding")
-    count = e.agg(F.max("vec_id") + 1).first()[0]
     number = F.regexp_extract("key", r"([0-9]+)[.][^.]*$", 1).cast("bigint")
     return _drawn(keys.withColumn("vec_id", number % F.lit(count)).join(e, "vec_id").select("key", "embedding"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import consolidate, decisions, dedup, fingerprint, postings, reconcile, selection, similarity, summary
+from ..operators import consolidate, decisions, dedup, fingerprint, postings, reconcile, selection, similarity, store, summary
+from ..operators.hash_index import HashIndex
 from ..sources import readers
 from ..sources.shared import cut
 from ..streaming import ingest
@@ -54,13 +56,13 @@ def published_listing(t, spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS STRING) || '.txt' AS name, octet_length(encode(text)) AS size, SHA256(text) AS sha256 FROM documents")
 def staged_scan(t, spark, sf_dir):
-    """Writes each document as a file of its own and scans the folder; at scale the scan reads what is staged already."""
+    """Writes each document as a file, its name in the first line, all in one folder, and scans that; at scale the scan reads what is staged already."""
     folder = ingest._folder(spark)
-    t("documents").select("text", c("doc_id").alias("part")).repartitionByRange(8, "part").write.partitionBy("part").option("lineSep", "\x1e").text(folder)
+    t("documents").select(F.concat(c("doc_id").cast("string"), F.lit("\n"), "text")).repartition(8).write.option("lineSep", "\x1e").option("maxRecordsPerFile", 1).text(folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.concat(F.regexp_extract("path", r"/part=(\d+)/", 1), F.lit(".txt"))
-    body = F.expr("substring(content, 1, length(content) - 1)")
-    return files.select(name.alias("name"), (c("length") - 1).alias("size"), F.sha2(body, 256).alias("sha256"))
+    named = files.select("content", "length", F.substring_index(F.decode("content", "utf-8"), "\n", 1).alias("id"))
+    body = F.expr("substring(content, length(id) + 2, length(content) - length(id) - 2)")
+    return named.select(F.concat("id", F.lit(".txt")).alias("name"), (c("length") - F.length("id") - 2).alias("size"), F.sha2(body, 256).alias("sha256"))
 
 
 def _index_documents(t):
@@ -128,6 +130,13 @@ def index_merge(t, spark, sf_dir):
 # ---------------------------------------------------------------- rules
 
 
+@query(f"""SELECT generation, seq, strftime(make_timestamp(at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(make_timestamp(at * 1000000), '%Y%m%dT%H%M%SZ-') || left(SHA256(generation), 10) AS id, strftime(make_timestamp(coalesce(updated_at + seq % 86400, {NOW}) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') AS mail
+FROM (SELECT *, coalesce(updated_at, created_at, {NOW}) + seq % 86400 AS at FROM {{states}} s) q""")
+def date_rules(t, spark, sf_dir):
+    at = F.coalesce("updated_at", "created_at", F.lit(NOW)) + c("seq") % 86400
+    return t("states").select("generation", "seq", rules.iso_time(at).alias("iso"), rules.generation_id(at, c("generation")).alias("id"), rules.mail_date(c("updated_at") + c("seq") % 86400, NOW).alias("mail"))
+
+
 @query("SELECT key, lower(regexp_extract(key, '\\.([^./]*)$', 1)) AS extension FROM (SELECT CASE doc_id % 4 WHEN 0 THEN upper(key) WHEN 1 THEN key WHEN 2 THEN 'a.b/' || CAST(doc_id AS STRING) ELSE key || '/.hid' END AS key FROM {objects} o) q")
 def extension_of(t, spark, sf_dir):
     d = c("doc_id")
@@ -458,6 +467,16 @@ def abandoned_keys(t, spark, sf_dir):
     return reconcile.abandoned_keys(abandoned_generations(t, spark, sf_dir), from_sql(spark, sf_dir, _LISTED))
 
 
+@query("""SELECT n.key, n.file_id, n.size, n.sha1, CASE WHEN o.file_id = n.file_id AND o.size = n.size AND o.sha1 = n.sha1 AND o.fp_version = 2 THEN o.fp_version END AS fp_version,
+CASE WHEN o.file_id = n.file_id AND o.size = n.size AND o.sha1 = n.sha1 AND o.fp_version = 2 THEN o.phash END AS phash FROM {objects_v2} n LEFT JOIN {stored} o ON o.key = n.key""")
+def store_rewrite(t, spark, sf_dir):
+    """A stored inventory brought to the new one, written only where it changed."""
+    path = ingest._folder(spark)
+    store.create(t("stored"), path, 16)
+    store.rewrite(spark, path, t("objects_v2"), 16)
+    return spark.read.parquet(path).select(*store.COLUMNS)
+
+
 @query(f"SELECT generation FROM ({_LATEST}) q WHERE status = 'publication-failed'")
 def stuck_generations(t, spark, sf_dir):
     return readers.latest_states(t("states")).where("status = 'publication-failed'").select("generation")
@@ -511,6 +530,17 @@ def hamming_join(t, spark, sf_dir):
     return similarity.near_hashes(h, h, 2, 11)
 
 
+@query(_WITH + "SELECT x.phash AS x, y.phash AS y, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS d FROM (SELECT DISTINCT phash FROM prints WHERE copy > 0) x JOIN (SELECT DISTINCT phash FROM prints) y ON bit_count(xor(x.phash, y.phash)) <= 11")
+def hamming_incremental(t, spark, sf_dir):
+    """The pairs that copies add, when the hashes of originals are in a stored index."""
+    p = cut(P.prints(spark, sf_dir).select("copy", c("phash").alias("h")))
+    index = HashIndex(spark, f"hashes_{uuid.uuid4().hex}", 2)
+    index.put(p.where("copy = 0"))
+    found = cut(index.near_new(p.where("copy > 0"), 11))
+    spark.sql(f"DROP TABLE {index.table}")
+    return found
+
+
 @query(_WITH + "SELECT p.key, p.phash AS h, count(*) FILTER (q.phash = p.phash) AS copies, count(*) - 1 AS links FROM prints p JOIN prints q ON bit_count(xor(p.phash, q.phash)) <= 11 GROUP BY p.key, p.phash")
 def near_classes(t, spark, sf_dir):
     return similarity.classes(P.prints(spark, sf_dir).select("key", c("phash").alias("h")), 2, 11)
@@ -671,6 +701,12 @@ def timeline_build(t, spark, sf_dir):
     return fingerprint.timelines(P.wide_frames(spark, sf_dir))
 
 
+@query()
+def moving_fingerprints(t, spark, sf_dir):
+    """Fingerprints of moving media from the pixels of the frames that the sampling rules choose."""
+    return fingerprint.moving_fingerprints(P.frame_metadata(spark, sf_dir), P.stored_frames(spark, sf_dir, ingest._folder(spark)))
+
+
 @query("SELECT CASE WHEN extension IN ('jpg','jpeg','png','webp') THEN 'still' WHEN extension = 'gif' THEN 'gif' WHEN extension IN ('mp4','m4v','webm') THEN 'video' ELSE 'none' END AS way, count(*) AS n FROM {objects} o GROUP BY 1")
 def fingerprint_dispatch(t, spark, sf_dir):
     return t("objects").groupBy(F.coalesce(fingerprint.dispatch(c("extension")), F.lit("none")).alias("way")).agg(F.count("*").alias("n"))
@@ -730,6 +766,24 @@ def canonical_header(t, spark, sf_dir):
     return summary.canonical_header(t("objects"))
 
 
+_PIECES = ", ".join(f"CAST(sum(CAST('0x' || substring(d, {1 + 15 * k}, 15) AS BIGINT)) AS DECIMAL(38,0)) AS s{k}" for k in range(4))
+_MULTISET = f"SELECT count(*) AS objects, {_PIECES} FROM (SELECT SHA256(line) AS d FROM (SELECT key || chr(0) || file_id || chr(0) || CAST(size AS STRING) || chr(0) || sha1 AS line FROM {{{{{{0}}}}}} o) a) b"
+
+
+@query(_MULTISET.format("objects"))
+def inventory_multiset(t, spark, sf_dir):
+    return summary.multiset_digest(t("objects"))
+
+
+@query(_MULTISET.format("objects_v2"))
+def inventory_multiset_updated(t, spark, sf_dir):
+    """The digest of the new inventory from that of the old one and the changes alone."""
+    old, new = t("objects"), t("objects_v2")
+    changes = cut(reconcile.difference(old, new))
+    side = lambda rows, *kinds: rows.join(changes.where(c("change").isin(*kinds)).select("key"), "key", "left_semi")
+    return summary.updated_digest(summary.multiset_digest(old), side(new, "added", "changed"), side(old, "removed", "changed"))
+
+
 # ---------------------------------------------------------------- selection and graphs
 
 _PICKED = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT key, size, row_number() OVER (ORDER BY SHA256(w)) AS n FROM (SELECT key, size, '{SEED}' || chr(0) || key AS w FROM {{objects}} o WHERE starts_with(key, 'gallery/')) a),
@@ -915,9 +969,16 @@ def stream_index_checkpoint(t, spark, sf_dir):
     return ingest.checkpoint_index(spark, rows("objects"), rows("objects_v2"), 500)
 
 
-@query(f"SELECT key, phash IS NULL AS computed FROM ({_RECONCILED}) q WHERE change <> 'gone'")
+@query(f"SELECT key, phash IS NULL AS computed, phash AS kept FROM ({_RECONCILED}) q WHERE change <> 'gone'")
 def stream_fingerprint(t, spark, sf_dir):
-    return ingest.fingerprint_changes(spark, t("stored"), t("objects_v2"), lambda keys: P.object_pixels(keys, sf_dir)).select("key", "computed")
+    return stream_fingerprint_hashes(t, spark, sf_dir).select("key", "computed", F.when(~c("computed"), c("phash")).alias("kept"))
+
+
+@query()
+def stream_fingerprint_hashes(t, spark, sf_dir):
+    """stream_fingerprint() with the hashes that were computed."""
+    vectors = P.vectors(spark, sf_dir)
+    return ingest.fingerprint_changes(spark, t("stored"), t("objects_v2"), lambda keys: P.object_pixels(keys, sf_dir, vectors))
 
 
 @query(f"SELECT generation, status, coalesce(updated_at, created_at, {NOW}) AS at FROM ({_LATEST}) q WHERE status IN ('building', 'recovering', 'ready') AND {NOW} - coalesce(updated_at, created_at, {NOW}) >= 86400")

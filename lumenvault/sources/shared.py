@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: With this setting Spark removes the shuffle files of a query when it ends; otherwise they stay until the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -61,10 +62,21 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def small(table: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """A table that is cheap to read, to be broadcast if its rows take `most` bytes at most as measured; else left to a shuffled join."""
+    each = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "struct", "map")) else F.lit(0) for c, t in table.dtypes]
+    taken = table.agg(F.sum(sum(each, F.lit(16 * len(each))).cast("long"))).first()[0] or 0
+    return F.broadcast(table) if taken <= most else table
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """written(), where the lineage is cut so that what follows is planned from a table and not worked out again."""
+    return written(df)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes all tables of this application, when nothing still to run reads them."""
+    remove(spark, work_dir(spark))
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.rules import MEDIA, normalised_source_api
 from ..sources.shared import ship, work_dir
+from .batches import BatchLog
 
 MOST_SOURCES = 500
 #: Statuses that an idle generation is abandoned in.
@@ -115,7 +116,7 @@ def upsert_sources(spark: SparkSession, raw: DataFrame, most: int = MOST_SOURCES
 def checkpoint_index(spark: SparkSession, index: DataFrame, successes: DataFrame, every: int) -> DataFrame:
     """(key, ext, size) of `index` merged with `successes` (key, ext, size, position), `every` rows or fewer a micro-batch.
 
-    Each batch is a checkpoint of its own, and one that is tried again replaces its rows. Of a key the row of the greatest
+    Each batch is a checkpoint: a version of the sink, which readers follow and which puts small batches together. Of a key the row of the greatest
     position wins, whatever batch it came in, and any row over that of the index.
     """
     from ..sources.readers import merged_index
@@ -124,11 +125,10 @@ def checkpoint_index(spark: SparkSession, index: DataFrame, successes: DataFrame
     rows = successes.select("key", "ext", "size", "position")
     parts = max(1, -(-rows.count() // every))
     rows.repartitionByRange(parts, "position").write.parquet(f"{folder}/successes")
-    schema = "key string, ext string, size long, position long"
-    sink = _begin(spark, f"{folder}/sink", schema)
-    done = _stream(spark, f"{folder}/successes", 1).writeStream.foreachBatch(lambda batch, number: _put(batch, sink, number))
+    log = BatchLog(spark, f"{folder}/sink", "key string, ext string, size long, position long")
+    done = _stream(spark, f"{folder}/successes", 1).writeStream.foreachBatch(lambda batch, number: log.add(batch, number))
     done.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return merged_index(index.select("key", "ext", "size", F.lit(0).cast("long").alias("position")), _taken(spark, sink, schema))
+    return merged_index(index.select("key", "ext", "size", F.lit(0).cast("long").alias("position")), log.read())
 
 
 def fingerprint_changes(spark: SparkSession, stored: DataFrame, remote: DataFrame, pixels: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -167,6 +167,9 @@ class IdleTimer(StatefulProcessor):
         self.last = handle.getValueState("last", "u long, seq long, status string, at long")
 
     def handleInputRows(self, key, rows, timerValues):
+        if not key[0]:  # rows that move time on
+            yield from ()
+            return
         held = self.last.get()
         best = held
         for pdf in rows:
@@ -194,11 +197,11 @@ def idle_generations(spark: SparkSession, states: DataFrame, now: int, ttl: int,
 
     Each generation has a timer in event time, set anew by a later event; its state goes when it fires, so state holds the generations
     of the last `ttl` seconds only. Events may be `late` seconds behind the newest one; older ones are dropped. An event without a time counts as
-    of `now`. A last row without a generation moves event time on to `now`. folder: where to work, as for acquire().
+    of `now`. A last row without a generation moves event time on to `now`; generations without a name are left out. folder: where to work, as for acquire().
     """
     folder = folder or _folder(spark)
     at = F.coalesce("updated_at", "created_at", F.lit(now))
-    events = states.select("generation", "status", "seq", at.alias("at"), F.coalesce("updated_at", F.lit(-1)).cast("long").alias("u")).where("generation is not null")
+    events = states.select("generation", "status", "seq", at.alias("at"), F.coalesce("updated_at", F.lit(-1)).cast("long").alias("u")).where("generation <> ''")
     clock = spark.createDataFrame([(None, "clock", 0, now + late, -1)], "generation string, status string, seq long, at long, u long")
     schema = "generation string, status string, at long"
     ship(spark)
@@ -207,7 +210,7 @@ def idle_generations(spark: SparkSession, states: DataFrame, now: int, ttl: int,
     for part in (events.repartition(3), clock.coalesce(1)):
         part.write.mode("append").parquet(f"{folder}/events")
         stream = _stream(spark, f"{folder}/events", 10).withColumn("time", F.timestamp_seconds("at")).withWatermark("time", f"{late} seconds")
-        fired = stream.where("generation is not null or status = 'clock'").groupBy(F.coalesce("generation", F.lit("")).alias("generation")).transformWithStateInPandas(IdleTimer(ttl), T.StructType.fromDDL(schema), "Append", "EventTime")
+        fired = stream.groupBy(F.coalesce("generation", F.lit("")).alias("generation")).transformWithStateInPandas(IdleTimer(ttl), T.StructType.fromDDL(schema), "Append", "EventTime")
         with _states(spark):
             fired.writeStream.outputMode("append").foreachBatch(lambda batch, number: _put(batch, f"{folder}/sink", number)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     return _taken(spark, f"{folder}/sink", schema)
