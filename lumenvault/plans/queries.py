@@ -130,8 +130,8 @@ def index_merge(t, spark, sf_dir):
 # ---------------------------------------------------------------- rules
 
 
-@query(f"""SELECT generation, seq, strftime(make_timestamp(at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(make_timestamp(at * 1000000), '%Y%m%dT%H%M%SZ-') || left(SHA256(generation), 10) AS id, strftime(make_timestamp(coalesce(updated_at + seq % 86400, {NOW}) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') AS mail
-FROM (SELECT *, coalesce(updated_at, created_at, {NOW}) + seq % 86400 AS at FROM {{states}} s) q""")
+@query(f"""SELECT generation, seq, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(make_timestamp(seconds * 1000000), '%Y%m%dT%H%M%SZ-') || left(SHA256(generation), 10) AS id, strftime(make_timestamp(coalesce(updated_at + seq % 86400, {NOW}) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') AS mail
+FROM (SELECT *, coalesce(updated_at, created_at, {NOW}) + seq % 86400 AS seconds FROM {{states}} s) q""")
 def date_rules(t, spark, sf_dir):
     at = F.coalesce("updated_at", "created_at", F.lit(NOW)) + c("seq") % 86400
     return t("states").select("generation", "seq", rules.iso_time(at).alias("iso"), rules.generation_id(at, c("generation")).alias("id"), rules.mail_date(c("updated_at") + c("seq") % 86400, NOW).alias("mail"))
