@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,66 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import ship
+from ..sources.shared import discard, ship, small, written
+from ..sources.shared import work_dir as shared_dir
+
+__all__ = ["append_columns", "bound", "components", "discard", "lower_ascii", "shared_dir", "ship", "slices", "small", "table", "written"]
 
 #: Bytes of text that a Python task holds as word or piece lists at a time.
 SLICE_BYTES = 2 << 20
-#: With this setting Spark removes the shuffle files of a query when it ends; otherwise they stay until the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    Where neither is set, a folder of our own in local mode, and an error on a cluster, whose machines share none.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenvault-"))
-        found = context.getCheckpointDir()
-    return f"{found.rstrip('/')}/lumenvault-{context.applicationId}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cut lineage that survives lost executors.
-
-    Nothing reads the write's shuffle files again, so they go with it. All tables of an application lie in one folder, to be removed when it has ended; discard() removes one before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._written = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes written() tables that nothing still to run reads."""
-    for df in tables:
-        spark, path = df.sparkSession, df._written
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def small(table: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """A written() table, to be broadcast if its rows take `most` bytes at most as measured; else left to a shuffled join."""
-    each = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "struct", "map")) else F.lit(0) for c, t in table.dtypes]
-    taken = table.agg(F.sum(sum(each, F.lit(16 * len(each))).cast("long"))).first()[0] or 0
-    return F.broadcast(table) if taken <= most else table
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

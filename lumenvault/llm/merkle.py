@@ -157,7 +157,7 @@ def edited_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """Fingerprints of every document and its edited text, with likenesses (see op5), and in edit_at the place of the edit.
 
     edit_at is written as level:section:paragraph:phrase-removed+added of differing(), '' for equal texts. A null text is empty. A null key orders as the least BIGINT. Rows that share a key follow one
-    another by their text. A lone document is followed by itself.
+    another by their text, and lie in one partition of the window, as do all null keys: keys are taken to tell documents apart. A lone document is followed by itself.
     """
     rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = fingerprint(rows, "__text", "fingerprint")

@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, max(1, len(scale)), np.int32)), ids, values], names=["type", "size", "indices", "values"])
             yield pa.RecordBatch.from_arrays([vector, pa.array((np.array(batch.column(1).to_pylist()) > 0).astype(np.float64))], names=["features", "label"])
 
-    sample = rows.mapInArrow(vectors, T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())]))
+    # hashed once, as the fit reads its rows several times
+    sample = written(rows.mapInArrow(vectors, T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())])))
     fitted = LogisticRegression(regParam=RIDGE / (zero + one), standardization=False, maxIter=100, tol=1e-6).fit(sample)
     weight = np.zeros(1 << BITS, np.float32)
     weight[kept] = (r[kept] * fitted.coefficients.toArray()[: len(kept)]).astype(np.float32)
