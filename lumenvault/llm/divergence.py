@@ -97,22 +97,26 @@ def pair_values(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     V f(0, 0), plus f(x, 0) - f(0, 0) over the first source's terms, plus f(0, y) - f(0, 0) over the second's, plus
     f(x, y) - f(x, 0) - f(0, y) + f(0, 0) over those of both; absent terms are never listed.
     """
-    nothing = F.lit(0).cast("long")
-    side = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("other"))
-    pairs = written(groups.select("lang", "source", "total", "terms").join(small(side), "lang").where("source <> item"))
-    p, q = (lambda x: share(x, F.col("total"), F.col("terms"))), (lambda y: share(y, F.col("other"), F.col("terms")))
-    f = lambda x, y: divergence(p(x), q(y))
-    some = pairs.where("terms > 0")
-    spread = written(vectors.select("lang", F.inline("entries")).groupBy("lang", "source", "n").agg(F.count("*").alias("m")))
-    first = spread.join(small(some), ["lang", "source"]).select("lang", "source", "item", _weighted(F.col("m"), f(F.col("n"), nothing) - f(nothing, nothing)).alias("v"))
-    second = spread.withColumnRenamed("source", "item").join(small(some), ["lang", "item"]).select("lang", "source", "item", _weighted(F.col("m"), f(nothing, F.col("n")) - f(nothing, nothing)).alias("v"))
-    # terms with the same sources and counts are one row before their sources are paired
+    side = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("other"), F.col("p0").alias("q0"))
+    pairs = written(groups.select("lang", "source", "total", "terms", "p0").join(small(side), "lang").where("source <> item"))
+    some = small(pairs.where("terms > 0"))
+    col, f = F.col, divergence
+    p0, q0, m = col("p0"), col("q0"), col("m")
+    spread = vectors.select("lang", F.inline("entries")).groupBy("lang", "source", "n").agg(F.count("*").alias("m")).join(small(groups), ["lang", "source"])
+    spread = written(spread.select("lang", "source", "m", share(col("n"), col("total"), col("terms")).alias("p")))
+    first = spread.join(some, ["lang", "source"]).select("lang", "source", "item", _weighted(m, f(col("p"), q0) - f(p0, q0)).alias("v"))
+    second = spread.withColumnRenamed("source", "item").join(some, ["lang", "item"]).select("lang", "source", "item", _weighted(m, f(p0, col("p")) - f(p0, q0)).alias("v"))
+    # terms with the same sources and counts are one row before their sources are paired: each two once, as both directions have the same cells
     alike = vectors.groupBy("lang", "entries").agg(F.count("*").alias("m")).where(F.size("entries") > 1)
-    cells = alike.select("lang", "m", "entries", F.explode("entries").alias("a")).select("lang", "m", "a", F.explode("entries").alias("b")).where("a.source <> b.source")
-    cells = cells.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(F.sum("m").alias("m"))
-    x, y = F.col("x"), F.col("y")
-    both = cells.join(small(some), ["lang", "source", "item"]).select("lang", "source", "item", _weighted(F.col("m"), f(x, y) - f(x, nothing) - f(nothing, y) + f(nothing, nothing)).alias("v"))
-    neither = pairs.select("lang", "source", "item", F.when(F.col("terms") > 0, _weighted(F.col("terms"), f(nothing, nothing))).otherwise(F.lit(0).cast("decimal(38,0)")).alias("v"))
+    first_of = F.explode(F.transform("entries", lambda a, i: F.struct(a.alias("a"), F.slice("entries", i + 2, F.size("entries")).alias("rest"))))
+    cells = alike.select("lang", "m", first_of.alias("z")).select("lang", "m", "z.a", F.explode("z.rest").alias("b"))
+    cells = cells.groupBy("lang", col("a.source").alias("source"), col("b.source").alias("item"), col("a.n").alias("x"), col("b.n").alias("y")).agg(F.sum("m").alias("m"))
+    cells = cells.join(some, ["lang", "source", "item"]).select("lang", "source", "item", "m", "p0", "q0", share(col("x"), col("total"), col("terms")).alias("p"), share(col("y"), col("other"), col("terms")).alias("q"))
+    p, q = col("p"), col("q")
+    there, back = f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0), f(q, p) - f(q, p0) - f(q0, p) + f(q0, p0)
+    met = cells.groupBy("lang", "source", "item").agg(F.sum(_weighted(m, there)).alias("there"), F.sum(_weighted(m, back)).alias("back"))
+    both = met.select("lang", F.inline(F.array(F.struct("source", "item", col("there").alias("v")), F.struct(col("item").alias("source"), col("source").alias("item"), col("back").alias("v")))))
+    neither = pairs.select("lang", "source", "item", F.when(col("terms") > 0, _weighted(col("terms"), f(p0, q0))).otherwise(F.lit(0).cast("decimal(38,0)")).alias("v"))
     parts = neither.unionByName(first).unionByName(second).unionByName(both)
     return parts.groupBy("lang", "source", "item").agg(F.sum("v").cast("long").alias("value"))
 
@@ -150,7 +154,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     kept = vectors.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n_lang").alias("lang_total"))
     own = vectors.select("lang", F.inline("entries")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = clean.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(kept, "lang", "left")
-    groups = written(groups.na.fill(0, ["total", "terms", "lang_total"]))
+    groups = groups.na.fill(0, ["total", "terms", "lang_total"])
+    groups = written(groups.withColumn("p0", F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms")))))
     pairs = pair_values(vectors, groups)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     columns = ["lang", "source", "part", "item", "value", "rank"]
