@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, written
@@ -16,6 +17,8 @@ MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.6
 #: Tokens of rules up to this number are looked for in the row.
 LISTED = 5000
+#: Items of a url up to which FP-growth lists their sets; where a url has more, only the sets that can be rules are made.
+WIDEST = 16
 #: Verdict of a url that no mined rule matches.
 OTHERWISE = "allow"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -68,7 +71,7 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     A rule is a frequent token set whose rows carry one verdict in a share of at least `confidence`. Pruned is a rule that has a more general one (fewer
     tokens) for the same verdict with no less confidence. So no rule has two tokens of one class, nor beside others a token of all
     rows or one whose rows have one label only: the set without it, or it alone, says as much. Those sets are never made: FP-growth gets
-    one item a class, and only classes of several labels that some rows lack. A rule stands for all its choices of one token a class, which are not listed here.
+    one item a class, and only classes of several labels that some rows lack; if a url has more than WIDEST of these, least_sets() makes the sets. A rule stands for all its choices of one token a class, which are not listed here.
     """
     rows = written(labelled.select(F.array_distinct("tokens").alias("tokens"), "label").groupBy("tokens", "label").agg(F.count("*").alias("w")))
     total = rows.agg(F.sum("w")).first()[0] or 0
@@ -78,10 +81,15 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     single = classes.where(F.col("n_label") >= least).select(F.array("class").alias("classes"), F.col("label").alias("verdict"), share(F.col("n_label"), F.col("n")).alias("confidence"), share(F.col("n_label"), F.lit(max(1, total))).alias("support")).where(F.col("confidence") >= confidence)
     mixed = classes.groupBy("class").agg(F.max("n_label").alias("most"), F.max("n").alias("n")).where((F.col("most") < F.col("n")) & (F.col("n") < total)).select(F.col("class").alias("t"))
     items = rows.select("tokens", "label", "w", F.explode_outer("tokens").alias("t")).join(mixed.withColumn("item", F.col("t")), "t", "left").groupBy("tokens", "label", "w").agg(F.collect_list("item").alias("items"))
-    marked = items.select(F.concat("items", F.array(F.concat(F.lit("verdict="), "label"))).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("w"))).alias("copy")).drop("copy")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked)
-    several = model.associationRules.where(F.get("consequent", F.lit(0)).startswith("verdict=") & ~F.exists("antecedent", lambda x: x.startswith("verdict=")) & (F.size("antecedent") > 1))
-    several = several.select(F.array_sort("antecedent").alias("classes"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
+    items = written(items.select(F.array_sort("items").alias("items"), "label", "w"))
+    if (items.agg(F.max(F.size("items"))).first()[0] or 0) <= WIDEST:
+        marked = items.select(F.concat("items", F.array(F.concat(F.lit("verdict="), "label"))).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("w"))).alias("copy")).drop("copy")
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked)
+        several = model.associationRules.where(F.get("consequent", F.lit(0)).startswith("verdict=") & ~F.exists("antecedent", lambda x: x.startswith("verdict=")) & (F.size("antecedent") > 1))
+        several = several.select(F.array_sort("antecedent").alias("classes"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
+    else:
+        found = least_sets(items, least)
+        several = found.where(F.col("n_label") >= least).select("classes", F.col("label").alias("verdict"), share(F.col("n_label"), F.col("n")).alias("confidence"), share(F.col("n_label"), F.lit(total)).alias("support")).where(F.col("confidence") >= confidence)
     rules = written(single.unionByName(several))
     # a more general rule shares its first class with the rule, so it is found by that
     general = rules.select(F.get("classes", F.lit(0)).alias("t"), F.col("verdict"), F.col("classes").alias("g"), F.col("confidence").alias("gc"))
@@ -91,6 +99,36 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     return kept, classes.select("class", "tokens").distinct().join(kept.select(F.explode("classes").alias("class")).distinct(), "class", "left_semi")
 
 
+def least_sets(items: DataFrame, least: int) -> DataFrame:
+    """(classes, label, n, n_label): the sets of two classes or more that no smaller one has the rows of, with their rows of each label.
+
+    items: (items, label, w). Only such sets can be rules, all their subsets are of that kind too, and one of a single label need not
+    grow; so they are made size by size from those of the size before. Where classes lie within one another (folders of different
+    depth) they are few, when the frequent sets are not.
+    """
+    counts = items.select("label", "w", F.explode("items").alias("c")).groupBy(F.array("c").alias("classes"), "label").agg(F.sum("w").alias("n_label"))
+    out, size = [], 1
+    while True:
+        whole = Window.partitionBy("classes")
+        counts = written(counts.select("classes", "label", "n_label", F.sum("n_label").over(whole).alias("n"), F.max("n_label").over(whole).alias("most")).where(F.col("most") >= least))
+        if size > 1:
+            out.append(counts.select("classes", "label", "n", "n_label"))
+        grow = counts.where(F.col("most") < F.col("n")).select("classes", "n").distinct()
+        head = lambda c: F.slice(c, 1, size - 1)
+        a = grow.select(F.col("classes").alias("a"), head("classes").alias("head"))
+        b = grow.select(F.element_at("classes", -1).alias("last"), head("classes").alias("head"))
+        pairs = a.join(b, "head").where(F.col("last") > F.element_at("a", -1)).select(F.concat("a", F.array("last")).alias("classes"))
+        parts = pairs.select("classes", F.explode(F.transform("classes", lambda x: F.array_except("classes", F.array(x)))).alias("part"))
+        fewest = parts.join(grow.withColumnRenamed("classes", "part"), "part").groupBy("classes").agg(F.min("n").alias("bound"), F.count("*").alias("k")).where(F.col("k") == size + 1)
+        fewest = written(fewest.select("classes", "bound", F.get("classes", F.lit(0)).alias("c")))
+        if not fewest.limit(1).count():
+            return functools.reduce(DataFrame.unionByName, out) if out else counts.where("false").select("classes", "label", "n", "n_label")
+        met = items.select("items", "label", "w", F.explode("items").alias("c")).join(fewest, "c").where(F.size(F.array_except("classes", "items")) == 0)
+        met = met.groupBy("classes", "label", "bound").agg(F.sum("w").alias("n_label"))
+        counts = met.withColumn("all", F.sum("n_label").over(whole)).where(F.col("all") < F.col("bound")).select("classes", "label", "n_label")
+        size += 1
+
+
 def token_rules(rules: DataFrame, classes: DataFrame) -> DataFrame:
     """The rules of mine() by tokens: (rule_tokens, verdict, confidence, support), one for each choice of a token a class."""
     named = rules.select("*", F.explode("classes").alias("class")).join(classes, "class").groupBy("classes", "verdict", "confidence", "support").agg(F.collect_list("tokens").alias("lists"))

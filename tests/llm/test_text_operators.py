@@ -47,7 +47,9 @@ def test_stated_rules(spark):
     assert got[2].host == "www.example.com" and got[7].path == "" and got[11].host == "" and all(r.verdict in ("allow", "block") for r in got.values())
 
 
-def test_mined_rules_match_enumeration(spark):
+@pytest.mark.parametrize("widest", [16, 0])
+def test_mined_rules_match_enumeration(spark, monkeypatch, widest):
+    monkeypatch.setattr(urls, "WIDEST", widest)
     rng = random.Random(4)
     rows = [(sorted({f"t{rng.randrange(6)}" for _ in range(4)}), rng.choice(["allow", "block", "block"])) for _ in range(80)]
     support, confidence = 0.05, 0.6
@@ -63,9 +65,10 @@ def test_mined_rules_match_enumeration(spark):
     assert {(tuple(r.rule_tokens), r.verdict) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_tokens_that_go_together_match_enumeration(spark, seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_tokens_that_go_together_match_enumeration(spark, monkeypatch, seed):
     """Tokens in all rows, tokens always in company, nested ones and those of one label only."""
+    monkeypatch.setattr(urls, "WIDEST", 16 * (seed % 2))
     rng = random.Random(seed)
     rows = []
     for _ in range(60):
@@ -109,6 +112,16 @@ def test_rules_on_deep_folders(spark):
     assert [r.verdict for r in got[60:]] == ["block", "block", "allow", "allow"] and "folder:ads" in got[60].mined_rule
 
 
+def test_folders_within_folders(spark):
+    """400 urls, 30 folders deep at most, of both verdicts: 2^30 frequent sets, but only 30 that differ in their rows."""
+    import time
+
+    given = [f"http://{'www.' if i % 2 else ''}example.com/en/" + "/".join(f"d{k}" for k in range(i // 2 % 31)) for i in range(400)]
+    began = time.time()
+    got = urls.judge(spark.createDataFrame(list(enumerate([*given, "http://other.org/d0/d1"])), "page_id long, url string")).collect()
+    assert time.time() - began < 60 and len(got) == 401
+
+
 def brute_tokens(host, path, url):
     labels = host.split(".")
     out = {"tld:" + labels[-1], "site:" + ".".join(labels[-2:])} | {"sub:" + x for x in labels[:-2]}
