@@ -93,9 +93,9 @@ def test_tag_index(spark):
 
 def pair(spark, **sides):
     """Prints of keys with the fields given, others plain."""
-    plain = {"hash256": [0, 0, 0, 0], "crop_hashes": [0], "kind": 1, "duration_ms": None, "timeline": None}
-    order = ["phash", "hash256", "crop_hashes", "kind", "sha256", "duration_ms", "timeline"]
-    schema = "key string, phash long, hash256 array<long>, crop_hashes array<long>, kind int, sha256 string, duration_ms long, timeline array<long>"
+    plain = {"hash256": [0, 0, 0, 0], "crop_hashes": [0], "kind": 1, "duration_ms": None, "frame_count": None, "timeline": None}
+    order = ["phash", "hash256", "crop_hashes", "kind", "sha256", "duration_ms", "frame_count", "timeline"]
+    schema = "key string, phash long, hash256 array<long>, crop_hashes array<long>, kind int, sha256 string, duration_ms long, frame_count long, timeline array<long>"
     return spark.createDataFrame([(k, *[{**plain, "sha256": k, **v}[n] for n in order]) for k, v in sides.items()], schema)
 
 
