@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 #: Epochs that a source gives at most.
 EPOCHS = 3
 #: Documents a key range is meant to hold.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 #: Bits of a document's key.
 KEY_BITS = 60
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
