@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, written
 from .similarity import BANDS, WIDTH, _bands, near_hashes
 
 
@@ -15,22 +16,19 @@ class HashIndex:
     new hashes alone and joins them bucket by bucket.
     """
 
-    def __init__(self, spark: SparkSession, table: str, radius: int, buckets: int = 32):
+    def __init__(self, spark: SparkSession, table: str, path: str, radius: int, buckets: int = 32):
+        """The index in the folder `path`, which need not exist, under a table name of this session; radius and buckets stay as they were when it was begun."""
         self.spark, self.table, self.radius, self.buckets = spark, table, radius, buckets
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (slot BIGINT, h BIGINT) USING parquet CLUSTERED BY (slot) SORTED BY (slot) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def _slots(self, hashes: DataFrame, radius: int, name: str) -> DataFrame:
         return _bands(hashes, radius, (name, "k")).select((F.col("band") * (1 << WIDTH) + F.col("k")).cast("long").alias("slot"), name)
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
-
     def put(self, hashes: DataFrame) -> None:
         """Adds those of `hashes` (h) that are not in the index; a put that is tried again adds nothing."""
-        fresh = hashes.select("h").distinct()
-        if self.exists():
-            fresh = fresh.join(self.stored(), "h", "left_anti")
-        rows = self._slots(fresh, self.radius // 2, "h").repartition(self.buckets, "slot")
-        rows.write.mode("append").bucketBy(self.buckets, "slot").sortBy("slot").saveAsTable(self.table)
+        fresh = written(hashes.select("h").distinct().join(self.stored(), "h", "left_anti"))
+        self._slots(fresh, self.radius // 2, "h").repartition(self.buckets, "slot").write.insertInto(self.table)
+        discard(fresh)
 
     def stored(self) -> DataFrame:
         """(h) of the index: each once, from the slots that hold it unchanged in its first band."""

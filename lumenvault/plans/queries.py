@@ -534,7 +534,7 @@ def hamming_join(t, spark, sf_dir):
 def hamming_incremental(t, spark, sf_dir):
     """The pairs that copies add, when the hashes of originals are in a stored index."""
     p = cut(P.prints(spark, sf_dir).select("copy", c("phash").alias("h")))
-    index = HashIndex(spark, f"hashes_{uuid.uuid4().hex}", 2)
+    index = HashIndex(spark, f"hashes_{uuid.uuid4().hex}", ingest._folder(spark), 2)
     index.put(p.where("copy = 0"))
     found = cut(index.near_new(p.where("copy > 0"), 11))
     spark.sql(f"DROP TABLE {index.table}")
