@@ -11,13 +11,14 @@ def checked(decisions: DataFrame, queue: DataFrame, live: DataFrame) -> DataFram
 
     decisions: (left_key, right_key, decision, seen, file_id): `keep both`, `delete left` or `delete right`, the generation of the card and the file id that
     it showed of the object to go. queue: the pending cards with their generation. live: (key, file_id) of what is stored now.
-    A pair without a card is unknown, a card of another generation stale; a deletion is refused as changed if its object is gone or has another file id.
+    Any other decision is invalid, a pair without a card unknown, a card of another generation stale; a deletion is refused as changed if its object is gone or has another file id.
     """
     target = F.when(F.col("decision") == "delete left", F.col("left_key")).when(F.col("decision") == "delete right", F.col("right_key"))
     met = decisions.withColumn("target", target).join(queue.select("left_key", "right_key", F.col("generation").alias("__now")), ["left_key", "right_key"], "left")
     met = met.join(live.select(F.col("key").alias("target"), F.col("file_id").alias("__live")), "target", "left")
     changed = F.col("target").isNotNull() & ~F.coalesce(F.col("__live") == F.col("file_id"), F.lit(False))
-    state = F.when(F.col("__now").isNull(), "unknown").when(~F.col("seen").eqNullSafe(F.col("__now")), "stale").when(changed, "changed").otherwise("accepted")
+    known = F.coalesce(F.col("decision").isin("keep both", "delete left", "delete right"), F.lit(False))
+    state = F.when(~known, "invalid").when(F.col("__now").isNull(), "unknown").when(~F.col("seen").eqNullSafe(F.col("__now")), "stale").when(changed, "changed").otherwise("accepted")
     return met.select("left_key", "right_key", "decision", "target", "file_id", state.alias("state"))
 
 

@@ -139,6 +139,23 @@ def test_cards_are_numbered_by_survivor(spark):
     assert got == [(1, "b", "a"), (2, "b", "d"), (3, "e", "f")]
 
 
+def test_decisions_hold_for_what_the_card_showed(spark):
+    from lumenvault.operators import decisions
+
+    queue = spark.createDataFrame([("a", "b", "g2"), ("a", "c", "g2"), ("a", "d", "g2"), ("e", "f", "g2")], "left_key string, right_key string, generation string")
+    live = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3x"), ("e", "5"), ("f", "6")], "key string, file_id string")
+    asked = [
+        ("a", "b", "delete right", "g2", "2", "accepted"), ("a", "c", "delete right", "g2", "3", "changed"), ("a", "d", "delete right", "g2", "4", "changed"), ("a", "b", "delete right", "g1", "2", "stale"), ("x", "y", "keep both", "g2", None, "unknown"),
+        ("e", "f", "keep both", "g2", None, "accepted"), ("a", "c", "keep both", "g2", None, "accepted"), ("a", "c", "keep both", None, None, "stale"), ("e", "f", "burn", "g2", "5", "invalid"), ("e", "f", None, "g2", None, "invalid"), ("a", "b", "delete right", "g2", None, "changed"),
+    ]
+    given = spark.createDataFrame([r[:5] for r in asked] * 2, "left_key string, right_key string, decision string, seen string, file_id string")
+    judged = decisions.checked(given, queue, live)
+    pick = lambda r: tuple(map(str, r))
+    assert sorted(pick((r.left_key, r.right_key, r.decision, r.file_id, r.state)) for r in judged.collect()) == sorted(pick((a, b, d, f, s)) for a, b, d, _, f, s in asked * 2)
+    out = decisions.applied(judged, spark.createDataFrame([("a", "c")], "first_key string, second_key string"))
+    assert sorted(tuple(r) for r in out.collect()) == [("delete", "b", None, "2"), ("exclude", "e", "f", None)]
+
+
 def test_deletion_is_not_transitive(spark):
     nodes = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "key string, quality double")
     edges = spark.createDataFrame([("a", "b", 0.95, "x"), ("b", "c", 0.94, "x")], "a string, b string, score double, evidence string")
