@@ -809,3 +809,22 @@ def test_one_context_rule_for_spans_and_redaction(spark):
     assert left[1] == far and left[2] == "12 34 56 78 90 12 SSN 1 2 [SSN] and [SSN]" and left[3] == "ssn [IBAN] [SSN]" and left[4] is None
     card = spark.createDataFrame([(1, "visa " + "1 a " * 8 + "4111111111111111")], "doc_id long, text string")
     assert [(s.kind, round(s.score, 2)) for s in pii.spans(card).first().spans] == [("card", 1.0)]
+
+
+# ---------------------------------------------------------------- hot groups
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    """One text is a third of all rows, and another passage is in half of the rest."""
+    rng = random.Random(41)
+    noise = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(10**6)}" for _ in range(n))
+    copy, passage = noise(90), noise(70)
+    rows = [(i, copy) for i in range(60)] + [(100 + i, f"{noise(20)} {passage if i % 2 else noise(30)} {noise(20)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert sorted(map(str, map(tuple, suffixes.report(df).collect()))) == sorted(map(str, brute_repeats(rows, suffixes.LENGTH)))
+    named = brute_components({i: brute_fingerprint(t) for i, t in rows})
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == named and named[59] == 0
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in chunks.report(df).collect()}
+    assert cut[0][1] == 0 and all(cut[i][0] == cut[i][1] for i in range(1, 60))
+    within = [cut[100 + i][1] for i in range(120)]
+    assert within[1] == 0 and not any(within[::2]) and all(n > 0.8 * len(passage) for n in within[3::2])
