@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, written
+from ..sources.shared import discard, small, written
 from .similarity import BANDS, WIDTH, _bands, near_hashes
 
 
@@ -34,11 +34,14 @@ class HashIndex:
         """(h) of the index: each once, from the slots that hold it unchanged in its first band."""
         return self.spark.table(self.table).where(F.col("slot") == F.col("h").bitwiseAND(F.lit((1 << WIDTH) - 1))).select("h")
 
-    def near(self, hashes: DataFrame, distance: int) -> DataFrame:
-        """Pairs (x, y, d) of `hashes` (h, as x) with those of the index at `distance` bits or less."""
+    def near(self, hashes: DataFrame, distance: int, most: int = 8 << 20) -> DataFrame:
+        """Pairs (x, y, d) of `hashes` (h, as x) with those of the index at `distance` bits or less.
+
+        Band values of new hashes that take `most` bytes at most, as measured, are sent to all; more are dealt out to the buckets.
+        """
         if distance > BANDS * (self.radius + 1) - 1:
             raise ValueError("distance is beyond what the bands can find")
-        asked = self._slots(hashes.select("h").distinct(), self.radius - self.radius // 2, "x")
+        asked = small(written(self._slots(hashes.select("h").distinct(), self.radius - self.radius // 2, "x")), most)
         stored = self.spark.table(self.table).select("slot", F.col("h").alias("y"))
         d = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
         return asked.join(stored.hint("merge"), "slot").where(d <= distance).select("x", "y", d.alias("d")).distinct()

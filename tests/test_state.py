@@ -87,8 +87,11 @@ def test_incremental_edges_equal_the_whole_join(spark, tmp_path):
     for turn in range(3):
         index = HashIndex(spark, f"hashes_test_{turn}", str(tmp_path / "index"), 2, buckets=5)  # found again in its folder
         fresh = df.where(F.col("turn") == turn).select("h")
-        plan = index.near(fresh, 11)._jdf.queryExecution().executedPlan().toString()
-        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(slot") == 1  # the new side only
+        plan_of = lambda most: index.near(fresh, 11, most)._jdf.queryExecution().executedPlan().toString()
+        dealt, sent = plan_of(0), plan_of(8 << 20)
+        assert "Bucketed: true" in dealt and dealt.count("Exchange hashpartitioning(slot") == 1  # the new side only
+        assert "Exchange hashpartitioning(slot" not in sent and "BroadcastHashJoin" in sent
+        assert {tuple(r) for r in index.near(fresh, 11, 0).collect()} == {tuple(r) for r in index.near(fresh, 11).collect()}
         found = {tuple(r) for r in index.near_new(fresh, 11).collect()}
         got |= found | {(y, x, d) for x, y, d in found}
         index.put(fresh)
