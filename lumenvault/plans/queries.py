@@ -859,12 +859,31 @@ def random_pick_tagged(t, spark, sf_dir):
     items = from_sql(spark, sf_dir, _TAGGED)
     term = lambda x: F.concat(F.lit("bucket:"), x)
     terms = t("item_tags").select("item", c("tag").cast("string").alias("term")).unionByName(items.select("item", F.explode(F.transform(rules.buckets_of(c("ext")), term)).alias("term")))
-    tags = t("requests").join(tag_catalog_clean(t, spark, sf_dir).select("id", c("name").alias("tag")), "tag").where("request % 3 <> 2").select("request", c("id").cast("string").alias("term"))
-    asked = F.get(F.array(*map(F.lit, ("all", "Stills", "clips", "webm", "no such bucket"))), (c("s_suppkey") % 5).cast("int"))
-    buckets = t("supplier").select(c("s_suppkey").alias("request"), term(rules.requested_bucket(asked)).alias("term"))
+    tags, buckets = _tag_requests(t, spark, sf_dir)
+    tags = tags.where("request % 3 <> 2").select("request", c("tag").alias("term"))
+    buckets = buckets.select("request", term(c("bucket")).alias("term"))
     return postings.picked(items, terms, tags.unionByName(buckets).groupBy("request").agg(F.collect_set("term").alias("terms")), "pick")
 
 
+def _tag_requests(t, spark, sf_dir):
+    """(request, tag) of known tags as text, and (request, bucket) of what each request asks for."""
+    tags = t("requests").join(tag_catalog_clean(t, spark, sf_dir).select("id", c("name").alias("tag")), "tag").select("request", c("id").cast("string").alias("tag")).distinct()
+    asked = F.get(F.array(*map(F.lit, ("all", "Stills", "clips", "webm", "no such bucket"))), (c("s_suppkey") % 5).cast("int"))
+    return tags, t("supplier").select(c("s_suppkey").alias("request"), rules.requested_bucket(asked).alias("bucket"))
+
+
+@query(f"""SELECT w.request, g.item FROM ({_WANTED}) w JOIN {{item_tags}} g USING (tag) JOIN ({_TAGGED}) i USING (item) JOIN ({_ASKS}) a ON a.request = w.request
+WHERE a.bucket IN ('all', i.ext, CASE WHEN i.ext IN ('jpg','jpeg','png','webp') THEN 'stills' ELSE 'clips' END) GROUP BY w.request, g.item HAVING count(DISTINCT tag) = (SELECT count(*) FROM ({_WANTED}) x WHERE x.request = w.request)""")
+def tag_bucket_filter(t, spark, sf_dir):
+    """tag_and_filter() within the bucket of the request: the bucket is one more tag that an item must have."""
+    items = from_sql(spark, sf_dir, _TAGGED)
+    term = lambda x: F.concat(F.lit("bucket:"), x)
+    own = t("item_tags").join(items.select("item"), "item", "left_semi").select("item", c("tag").cast("string").alias("tag")).unionByName(items.select("item", F.explode(F.transform(rules.buckets_of(c("ext")), term)).alias("tag")))
+    tags, buckets = _tag_requests(t, spark, sf_dir)
+    within = buckets.join(tags.select("request").distinct(), "request", "left_semi").where("bucket <> 'all'").select("request", term(c("bucket")).alias("tag"))
+    return selection.with_all_tags(own, tags.unionByName(within))
+
+
 _GRAPH = f""", r AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY quality DESC, key) AS n FROM (SELECT key, log2(greatest(1.0, CAST(CAST(width AS BIGINT) * height AS DOUBLE))) + CASE WHEN kind <> 1 THEN 0.9::DOUBLE * log2(greatest(1.0, CAST(coalesce(duration_ms, 0) AS DOUBLE))) ELSE 0.0::DOUBLE END
  + 0.08::DOUBLE * log2(greatest(1.0, CAST(size AS DOUBLE))) AS quality FROM prints) q),
 e AS MATERIALIZED ({_EVERY_EDGE}),
