@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, components, written
+from .common import append_columns, components, dealt, written
 
 #: A bucket with more fingerprints than this is linked through midpoints instead of pair by pair.
 HOT_BUCKET = 1000
@@ -57,6 +57,7 @@ def links(fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     rule on flips), and the join condition verifies the whole distance. In a bucket of more than
     `hot` fingerprints pairs are not listed: its members list all values within 2 bits of the
     whole fingerprint, and members that share such a value (so are within 4) link to its smallest.
+    Both sides are dealt out, as a fingerprint becomes up to 66 rows (2081 at midpoints), which Spark's sizes leave out.
     """
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     top = fps.select("fp", F.lit(0).alias("seg"), F.inline(_ball(high, 32, 0)))
@@ -71,7 +72,7 @@ def links(fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     x, y = left.select("seg", "key", F.col("fp").alias("a"), F.col("flip").alias("ia")), right.select("seg", "key", F.col("fp").alias("b"), F.col("flip").alias("ib"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4
     once = ((F.col("x.seg") == 0) & (F.col("a") < F.col("b")) & ((F.col("ia") < F.col("ib")) | ((F.col("ia") == -1) & (F.col("ib") == -1)))) | ((F.col("x.seg") == 1) & (F.col("a") != F.col("b")) & ((F.col("ia") >= 0) | (F.col("a") < F.col("b"))))
-    edges = x.alias("x").join(y.alias("y"), (F.col("x.seg") == F.col("y.seg")) & (F.col("x.key") == F.col("y.key")) & once & near).select("a", "b")
+    edges = x.alias("x").join(dealt(y.alias("y")), (F.col("x.seg") == F.col("y.seg")) & (F.col("x.key") == F.col("y.key")) & once & near).select("a", "b")
     return edges.unionByName(midpoint_links(written(members))) if many else edges
 
 
@@ -81,13 +82,13 @@ def midpoint_links(members: DataFrame) -> DataFrame:
     masks = F.concat(F.array(F.lit(0).cast("long")), one, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), i).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))))
     near = members.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
     least = written(near.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a"))
-    return near.join(least, "mid").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    return near.join(dealt(least), "mid").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def _classes(fps: DataFrame, hot: int) -> DataFrame:
     """(fp, class) of every row of `fps`: the least fingerprint that each one reaches."""
     groups = components(links(fps, hot)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
-    return written(fps.select("fp").join(groups, "fp", "left").select("fp", F.coalesce("class", "fp").alias("class")))
+    return written(fps.select("fp").join(dealt(groups), "fp", "left").select("fp", F.coalesce("class", "fp").alias("class")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT_BUCKET) -> DataFrame:

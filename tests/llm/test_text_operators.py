@@ -237,6 +237,16 @@ def test_links_connect_planted_distances(spark, hot):
     assert all({found.get(v, v) for v in group} == {min(group)} for group in classes.values())
 
 
+@pytest.mark.parametrize("many", [simhash.links, simhash.midpoint_links])
+def test_links_send_no_side_whole(spark, many):
+    """A small table of fingerprints becomes very many rows, so neither side is to be built on the driver."""
+    from lumenvault.llm.common import written
+
+    fps = written(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    plan = many(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from lumenvault.llm.common import components
 
