@@ -152,3 +152,18 @@ def test_urls_of_odd_tables(spark):
     long = "http://a.example.com/" + "x/" * 200_000
     got = urls.judge(spark.createDataFrame([(1, long), (None, long), (1, None), (1, long)], "page_id long, url string").withColumn("host", F.lit(3))).collect()
     assert len(got) == 4 and sum(r.rule == "com/" for r in got) == 3
+
+
+def test_near_copies_are_found_without_sending_a_side_whole(spark, sf, monkeypatch):
+    """The listed fingerprints are many more rows than their table shows, so they are not built on the driver."""
+    plans, links = [], simhash.links
+
+    def seen(fps, hot):
+        out = links(fps, hot)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "links", seen)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert 0 < corpus_pipeline.drop_near_copies(spark, docs, sf).count() <= docs.count()
+    assert plans and all("SortMergeJoin" in x and "Broadcast" not in x for x in plans)
