@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenvault.operators import consolidate, fingerprint, selection, similarity
 from lumenvault.plans import queries
-from lumenvault.sources import readers
+from lumenvault.sources import readers, shared
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -24,6 +24,14 @@ def test_near_hashes_are_complete(spark, seed):
         assert got == {(a, b) for a in signed for b in signed if ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
 
 
+@pytest.mark.parametrize("joined", [lambda h: similarity.near_hashes(h, h, 2, 11), lambda h: similarity.classes(h.select(F.col("h").cast("string").alias("key"), "h"), 2, 11), lambda h: similarity.moving_candidates(h.select(F.col("h").cast("string").alias("key"), F.lit(3).alias("kind"), F.col("h").alias("phash")))])
+def test_near_hashes_send_no_side_whole(spark, joined):
+    """A hash becomes up to 548 rows, which the size of its table does not show."""
+    h = shared.written(spark.range(3000).select(F.xxhash64("id").alias("h")))
+    plan = joined(h)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_distance_beyond_the_bands_is_refused(spark):
     df = spark.createDataFrame([(1,)], "h long")
     with pytest.raises(ValueError):
