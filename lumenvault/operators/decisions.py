@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
+
 
 def checked(decisions: DataFrame, queue: DataFrame, live: DataFrame) -> DataFrame:
     """`decisions` with `state`: accepted, or why not.
@@ -14,8 +16,8 @@ def checked(decisions: DataFrame, queue: DataFrame, live: DataFrame) -> DataFram
     Any other decision is invalid, a pair without a card unknown, a card of another generation stale; a deletion is refused as changed if its object is gone or has another file id.
     """
     target = F.when(F.col("decision") == "delete left", F.col("left_key")).when(F.col("decision") == "delete right", F.col("right_key"))
-    met = decisions.withColumn("target", target).join(queue.select("left_key", "right_key", F.col("generation").alias("__now")), ["left_key", "right_key"], "left")
-    met = met.join(live.select(F.col("key").alias("target"), F.col("file_id").alias("__live")), "target", "left")
+    met = decisions.withColumn("target", target).join(dealt(queue.select("left_key", "right_key", F.col("generation").alias("__now"))), ["left_key", "right_key"], "left")
+    met = met.join(dealt(live.select(F.col("key").alias("target"), F.col("file_id").alias("__live"))), "target", "left")
     changed = F.col("target").isNotNull() & ~F.coalesce(F.col("__live") == F.col("file_id"), F.lit(False))
     known = F.coalesce(F.col("decision").isin("keep both", "delete left", "delete right"), F.lit(False))
     state = F.when(~known, "invalid").when(F.col("__now").isNull(), "unknown").when(~F.col("seen").eqNullSafe(F.col("__now")), "stale").when(changed, "changed").otherwise("accepted")
@@ -28,5 +30,5 @@ def applied(judged: DataFrame, stored: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("string")
     deleted = good.where("target is not null").select(F.lit("delete").alias("action"), F.col("target").alias("key"), nothing.alias("other"), "file_id").distinct()
     pairs = good.where("target is null").select(F.least("left_key", "right_key").alias("key"), F.greatest("left_key", "right_key").alias("other")).distinct()
-    fresh = pairs.join(stored.select(F.col("first_key").alias("key"), F.col("second_key").alias("other")), ["key", "other"], "left_anti")
+    fresh = pairs.join(dealt(stored.select(F.col("first_key").alias("key"), F.col("second_key").alias("other"))), ["key", "other"], "left_anti")
     return deleted.unionByName(fresh.select(F.lit("exclude").alias("action"), "key", "other", nothing.alias("file_id")))
