@@ -3,10 +3,12 @@
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumenvault.operators import fingerprint
 from lumenvault.plans import prints, queries
 from lumenvault.plans.fixtures import derived
+from lumenvault.sources import shared
 from lumenvault.streaming import ingest
 
 
@@ -68,3 +70,11 @@ def test_moving_fingerprints_come_from_chosen_frames_only(spark, tmp_path):
         assert got[key].majority % (1 << 64) == most(got[key].timeline) and got[key].crop_hashes == fingerprint.crop_hashes(shown[0])
         assert [x % (1 << 64) for x in got[key].majority256] == [most([fingerprint.hash256(x)[w] for x in shown]) for w in range(4)]
     assert got.keys() == chosen.keys()
+
+
+def test_choices_that_are_not_small_are_not_sent_whole(spark):
+    """Written choices repeat so much that their files are small; what counts is what their rows take."""
+    chosen = shared.written(spark.range(50_000).select((F.col("id") % 7).cast("string").alias("key"), (F.col("id") % 48).alias("frame_index")))
+    pixels = spark.range(100).select(F.col("id").cast("string").alias("key"), F.col("id").alias("frame_index"))
+    plan = lambda most: pixels.join(shared.small(chosen, most), ["key", "frame_index"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(8 << 20) and "Broadcast" not in plan(1 << 20)
