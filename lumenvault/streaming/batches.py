@@ -21,6 +21,7 @@ class BatchLog:
     def __init__(self, spark: SparkSession, path: str, schema: str, most: int = 16, target: int = 128 << 20):
         """most: folders below `target` bytes that a version has before they are put together."""
         self.spark, self.path, self.schema, self.most, self.target = spark, path, schema, most, target
+        self._seen = {"number": 0, "batch": -1, "folders": []}
 
     def _place(self, name: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -31,12 +32,20 @@ class BatchLog:
         return [x.getPath().getName() for x in fs.listStatus(place)] if fs.exists(place) else []
 
     def version(self) -> dict:
-        """number, last batch and folders of the last version."""
-        numbers = [int(x) for x in self._names("versions") if x.isdigit()]
-        if not numbers:
-            return {"number": 0, "batch": -1, "folders": []}
-        text = self.spark.read.option("wholetext", "true").text(f"{self.path}/versions/{max(numbers)}").first()[0]
-        return json.loads(text)
+        """number, last batch and folders of the last version.
+
+        Versions are made one after the other, so those after the last one seen are looked for, and the folder is listed only at first.
+        """
+        number = self._seen["number"] or max((int(x) for x in self._names("versions") if x.isdigit()), default=0)
+        while self._exists(f"versions/{number + 1}"):
+            number += 1
+        if number > self._seen["number"]:
+            self._seen = json.loads(self.spark.read.option("wholetext", "true").text(f"{self.path}/versions/{number}").first()[0])
+        return self._seen
+
+    def _exists(self, name: str) -> bool:
+        place, fs = self._place(name)
+        return fs.exists(place)
 
     def _commit(self, last: dict, **new) -> None:
         made = last | new | {"number": last["number"] + 1}
@@ -46,6 +55,7 @@ class BatchLog:
         out.close()
         if not fs.rename(draft, self._place(f"versions/{made['number']}")[0]):
             raise RuntimeError("another writer made this version")
+        self._seen = made
 
     def _write(self, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -66,6 +76,8 @@ class BatchLog:
     def compact(self) -> None:
         """Puts the folders below the target size together, into files of about that size, and removes what the last two versions do not name."""
         last = self.version()
+        if len(last["folders"]) <= self.most:
+            return
         sizes = {f: self._size(f) for f in last["folders"]}
         few = [f for f, n in sizes.items() if n < self.target]
         if len(few) <= self.most:

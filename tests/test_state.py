@@ -151,3 +151,18 @@ def test_tagged_picks_are_of_their_selection(spark):
         fit = {f"k{i}" for i, have in own.items() if set(ts) <= have}
         assert (r in got) == bool(fit) and (not fit or (got[r].key in fit and got[r].total == len(fit)))
     assert len({got[r].key for r, ts in asked.items() if ts == ["all"]}) > 150
+
+
+def test_batches_do_not_list_or_read_the_versions_before(spark, tmp_path, monkeypatch):
+    log = BatchLog(spark, str(tmp_path / "log"), "n long", most=4)
+    rows = lambda n: spark.range(n, n + 1).select(F.col("id").alias("n"))
+    log.add(rows(0), 0)
+    listed, names = [], BatchLog._names
+    monkeypatch.setattr(BatchLog, "_names", lambda self, folder: listed.append(folder) or names(self, folder))
+    for n in range(1, 12):
+        log.add(rows(n), n)
+    assert "versions" not in listed
+    other = BatchLog(spark, str(tmp_path / "log"), "n long", most=4)
+    assert other.version() == log.version() and {r.n for r in other.read().collect()} == set(range(12))
+    other.add(rows(12), 12)  # another writer goes on, and the first one sees it
+    assert log.version() == other.version() and log.version()["batch"] == 12
