@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenvault.operators import fingerprint, summary
-from lumenvault.sources import sinks
+from lumenvault.plans import queries
+from lumenvault.sources import readers, sinks
 from lumenvault.streaming import ingest
 
 
@@ -91,3 +92,25 @@ def test_workers_find_the_package(spark):
     rows = spark.createDataFrame([([1, 2, 3], [1, 2, 3]), ([0], [7])], "a array<long>, b array<long>")
     assert sorted(r[0] for r in rows.select(similarity.timeline_distance("a", "b", F.lit(1.0))).collect()) == [0.0, 3.0]
     assert ROOT in spark.sparkContext.environment["PYTHONPATH"].split(":")
+
+
+def test_staged_folders_are_scanned_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Against a plain walk; no scan lists more folders than it may, and tasks hold more than a few files."""
+    want = set()
+    for k in range(700):
+        place = tmp_path / "staged" / f"part={k // 100}"
+        place.mkdir(parents=True, exist_ok=True)
+        (place / f"{k}.txt").write_bytes(b"x" * (k + 1))
+        want.add((f"{k}.txt", k + 1))
+    tasks, written = [], readers.written
+    monkeypatch.setattr(readers, "written", lambda df: tasks.append((len({p.rsplit("/", 2)[1] for p in df.inputFiles()}), df.rdd.getNumPartitions())) or written(df))
+    found = readers.scanned_files(spark, str(tmp_path / "staged"), lambda files: files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length"), at_once=3)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == 700
+    assert [n for n, _ in tasks] == [3, 3, 1] and all(p <= 8 for _, p in tasks)
+    (tmp_path / "empty").mkdir()
+    assert readers.scanned_files(spark, str(tmp_path / "empty"), lambda files: files.select("path")).count() == 0
+
+
+def test_an_empty_table_stages_nothing(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.QUERIES["staged_scan"](spark, str(tmp_path)).count() == 0
