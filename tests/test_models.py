@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenvault.operators import consolidate, fingerprint, selection, similarity
-from lumenvault.plans import queries
+from lumenvault.operators import consolidate, decisions, fingerprint, selection, similarity
+from lumenvault.plans import prints, queries
 from lumenvault.sources import readers, shared
 
 
@@ -32,6 +32,18 @@ def test_near_hashes_send_no_side_whole(spark, joined):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_pairs_prints_and_decisions_send_no_table_whole(spark, sf):
+    """Prints hold arrays and written keys repeat, so both take far more than their tables show."""
+    p = shared.written(prints.prints(spark, sf))
+    met = shared.written(similarity.moving_candidates(p))
+    cards = shared.written(met.select(F.col("a").alias("left_key"), F.col("b").alias("right_key"), F.lit("g1").alias("generation")))
+    made = cards.select("left_key", "right_key", F.lit("delete left").alias("decision"), F.lit("g1").alias("seen"), F.lit("w").alias("file_id"))
+    live = shared.written(p.select("key", "file_id"))
+    rated = p.select("key", F.col("size").cast("double").alias("quality"))
+    for df in (similarity.moving_edges(met, p), decisions.checked(made, cards, live), consolidate._cards(rated, met.withColumns({"score": F.lit(1.0), "evidence": F.lit("e")}), "g1")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_distance_beyond_the_bands_is_refused(spark):
     df = spark.createDataFrame([(1,)], "h long")
     with pytest.raises(ValueError):
